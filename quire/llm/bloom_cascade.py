@@ -35,6 +35,7 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 class Level:
     words: np.ndarray  # uint64
     probes: int
+    number: int = 0
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -51,9 +52,18 @@ def hashes(key: Column) -> list[Column]:
     return [F.xxhash64(key).alias("h1"), F.xxhash64(key, F.lit("second")).alias("h2")]
 
 
-def positions(h1, h2, probes: int, n_bits: int) -> np.ndarray:
-    """Rows of bit positions by double hashing; ``h1`` and ``h2`` are int64 arrays."""
-    a, b = h1.astype(np.uint64), h2.astype(np.uint64) | np.uint64(1)
+def mixed(h: np.ndarray, number: int) -> np.ndarray:
+    """A hash for each level: keys that collide on one level must not do so on all."""
+    with np.errstate(over="ignore"):
+        h = h.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15 * (number + 1) % 2**64)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def positions(h1, h2, number: int, probes: int, n_bits: int) -> np.ndarray:
+    """Rows of bit positions on level ``number`` by double hashing; ``h1`` and ``h2`` are int64 arrays."""
+    a, b = mixed(h1, number), mixed(h2, number) | np.uint64(1)
     with np.errstate(over="ignore"):
         return (a[:, None] + b[:, None] * np.arange(probes, dtype=np.uint64)[None, :]) % np.uint64(n_bits)
 
@@ -61,20 +71,20 @@ def positions(h1, h2, probes: int, n_bits: int) -> np.ndarray:
 def passes(level: Level, h1, h2) -> np.ndarray:
     if not len(level.words):
         return np.zeros(len(h1), bool)
-    at = positions(h1, h2, level.probes, len(level.words) * 64)
+    at = positions(h1, h2, level.number, level.probes, len(level.words) * 64)
     return ((level.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=1)
 
 
-def build_level(keys: DataFrame, count: int, rate: float) -> Level:
+def build_level(keys: DataFrame, count: int, rate: float, number: int) -> Level:
     """A filter of ``count`` keys (h1, h2) with about that rate of false positives."""
     if not count:
         return Level(np.zeros(0, np.uint64), 1)
-    n_words = math.ceil(count * -math.log(rate) / math.log(2) ** 2 / 64)
+    n_words = math.ceil(count * -math.log(rate) / math.log(2) ** 2 / 64) + 1
     probes = max(1, round(-math.log2(rate)))
 
     def marks(batches):
         for pdf in batches:
-            at = np.unique(positions(pdf["h1"].to_numpy(), pdf["h2"].to_numpy(), probes, n_words * 64))
+            at = np.unique(positions(pdf["h1"].to_numpy(), pdf["h2"].to_numpy(), number, probes, n_words * 64))
             word, bit = (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
             first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.zeros(0, np.int64)
             yield pd.DataFrame({"word": word[first], "bits": (np.bitwise_or.reduceat(bit, first) if len(first) else bit).astype(np.int64)})
@@ -82,7 +92,7 @@ def build_level(keys: DataFrame, count: int, rate: float) -> Level:
     got = keys.select("h1", "h2").mapInPandas(marks, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
     words = np.zeros(n_words, np.uint64)
     words[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).astype(np.uint64)
-    return Level(words, probes)
+    return Level(words, probes, number)
 
 
 def let_pass(spark: SparkSession, keys: DataFrame, level: Level) -> DataFrame:
@@ -106,7 +116,7 @@ def build_cascade(universe: DataFrame, first_rate: float = 0.03, rate: float = 0
     levels: list[Level] = []
     count = inside.count()
     while count:
-        level = build_level(inside, count, rate if levels else first_rate)
+        level = build_level(inside, count, rate if levels else first_rate, len(levels))
         levels.append(level)
         inside, outside = materialize(let_pass(spark, outside, level), tag), inside
         count = inside.count()
