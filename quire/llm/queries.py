@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import adaptive_quality, bloom_cascade, chat_format, poisson_mix
+from quire.llm import adaptive_quality, bloom_cascade, bpe_chunks, chat_format, poisson_mix, poly_hash, simhash_bk, token_counts, wavelet
 from quire.llm.storage import documents
 
 
@@ -18,20 +18,50 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.read_back(chat_format.format_turns(turns)))
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_wavelet_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.write_and_read(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), end_id=2)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts.count_tokens(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adaptive_quality.judge(documents(spark, sf_dir), columns=["doc_id"])
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_chunks.encode_decode(documents(spark, sf_dir), vocabulary("byte_bpe_multi_50k.tiktoken"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_cascade.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return poly_hash.fingerprints(documents(spark, sf_dir))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_bk.near_duplicates(documents(spark, sf_dir))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = poisson_mix.mix(documents(spark, sf_dir).select("doc_id", "source", "text"))
     return mixed.select("doc_id", "source", F.round("rate", 6).alias("rate"), "n_copies", "copy_no", "shuffle_key", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op5_quality_rules, op7_url_filters, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (
+    op1_chat_formatting, op2_wavelet_ids, op3_token_counts, op5_quality_rules, op6_byte_bpe, op7_url_filters, op8_fingerprints, op9_simhash,
+    op10_source_mixing,
+)}
 
 ORACLE_SQL = {
     "op1_chat_formatting": r"""
