@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import adaptive_quality, bloom_cascade, bpe_chunks, chat_format, poisson_mix, poly_hash, simhash_bk, token_counts, wavelet
+from quire.llm import adaptive_quality, bloom_cascade, bpe_chunks, chat_format, crf_lang, poisson_mix, poly_hash, simhash_bk, token_counts, wavelet
 from quire.llm.storage import documents
 
 
@@ -33,6 +33,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return crf_lang.predict(docs, crf_lang.train(docs))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adaptive_quality.judge(documents(spark, sf_dir), columns=["doc_id"])
 
@@ -59,7 +64,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_chat_formatting, op2_wavelet_ids, op3_token_counts, op5_quality_rules, op6_byte_bpe, op7_url_filters, op8_fingerprints, op9_simhash,
+    op1_chat_formatting, op2_wavelet_ids, op3_token_counts, op4_language, op5_quality_rules, op6_byte_bpe, op7_url_filters, op8_fingerprints, op9_simhash,
     op10_source_mixing,
 )}
 
