@@ -29,10 +29,9 @@ def uniform(seed: int, salt: Column, key: Column) -> Column:
 def source_rates(docs: DataFrame, temperature: float = 0.5, epochs: float = 1.0, source: str = "source", text: str = "text") -> DataFrame:
     """(source, rate, parts, cdf): weights are sizes in code points to the power ``temperature``, scaled to one."""
     sizes = materialize(docs.groupBy(F.col(source).alias("_source")).agg(F.sum(F.coalesce(F.length(text), F.lit(0)).cast("long")).alias("_size")), "sizes")
-    totals = sizes.agg(F.sum("_size").alias("_total"), F.sum(F.pow(F.col("_size").cast("double"), F.lit(temperature))).alias("_weights"))
-    rate = F.when(F.col("_size") > 0, F.lit(epochs) * F.col("_total") * F.pow(F.col("_size").cast("double"), F.lit(temperature)) / F.col("_weights") / F.col("_size")).otherwise(F.lit(0.0))
-    # One row of totals beside one row a source.
-    rated = sizes.withColumn("_one", F.lit(1)).join(F.broadcast(totals.withColumn("_one", F.lit(1))), "_one").select("_source", rate.alias("rate"))
+    total, weights = sizes.agg(F.sum("_size"), F.sum(F.pow(F.col("_size").cast("double"), F.lit(temperature)))).first()  # two numbers
+    rate = F.when(F.col("_size") > 0, F.lit(epochs) * F.lit(total) * F.pow(F.col("_size").cast("double"), F.lit(temperature)) / F.lit(weights) / F.col("_size")).otherwise(F.lit(0.0))
+    rated = sizes.select("_source", rate.alias("rate"))
     return with_distribution(rated)
 
 

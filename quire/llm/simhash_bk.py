@@ -47,20 +47,22 @@ def fingerprint(text: str | None, shingle: int = 3, step: int = 1 << 16) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit integer."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text: str = "text", tie: str | None = None) -> DataFrame:
+    """(doc_id, fp): the fingerprint as a signed 64-bit integer; with ``tie``, that column too."""
+    fields = [("doc_id", pa.int64()), ("fp", pa.int64())] + [("tie", pa.int64())] * bool(tie)
+    schema, names = pa.schema(fields), ["doc_id", "text"] + ["tie"] * bool(tie)
 
     def hashed(batches):
         def rows():
             for batch in batches:
-                for doc, body in rows_of(batch, "doc_id", "text"):
+                for doc, body, *rest in rows_of(batch, *names):
                     fp = fingerprint(body, shingle)
-                    yield doc, fp - (1 << 64) if fp >> 63 else fp
+                    yield doc, fp - (1 << 64) if fp >> 63 else fp, *rest
 
         yield from batched(rows(), schema)
 
-    return docs.selectExpr(f"cast({doc_id} as bigint) as doc_id", f"cast({text} as string) as text").mapInArrow(hashed, "doc_id long, fp long")
+    plain = docs.selectExpr(f"cast({doc_id} as bigint) as doc_id", f"cast({text} as string) as text", *[f"{tie} as tie"] * bool(tie))
+    return plain.mapInArrow(hashed, "doc_id long, fp long" + ", tie long" * bool(tie))
 
 
 class BKTree:
@@ -208,12 +210,28 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id): the least doc_id reachable over links."""
-    by_doc = materialize(fingerprints(docs, shingle, doc_id, text), "fingerprints")
+def owners(by_doc: DataFrame, radius: int) -> DataFrame:
+    """(fp, label, component_id) of the distinct fingerprints in (doc_id, fp)."""
     fps = materialize(by_doc.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     labels = components(links(fps.select("fp"), radius))
     labelled = fps.join(labels, fps["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     named = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    owner = materialize(labelled.join(named, "label").select("fp", "component_id"), "owners")
-    return by_doc.join(owner, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return materialize(labelled.join(named, "label").select("fp", "label", "component_id"), "owners")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fingerprint, component_id): the least doc_id reachable over links."""
+    by_doc = materialize(fingerprints(docs, shingle, doc_id, text), "fingerprints")
+    named = owners(by_doc, radius)
+    return by_doc.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def deduplicate(docs: DataFrame, shingle: int = 3, radius: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents, all columns, with one of each component: that with the least doc_id, then the least text hash."""
+    tie = F.xxhash64(F.col(text), F.lit(1))
+    by_doc = materialize(fingerprints(docs.withColumn("_tie", tie), shingle, doc_id, text, "_tie"), "fingerprints")
+    best = by_doc.join(owners(by_doc, radius).select("fp", "label"), "fp").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie")).alias("best"))
+    key = lambda d, t: F.xxhash64(d, F.lit(2), t)
+    keepers = materialize(best.select(key(F.col("best.doc_id"), F.col("best.tie")).alias("_key"), F.col("best.tie").alias("_tie")), "keepers")
+    tagged = docs.withColumn("_tie", tie).withColumn("_key", key(F.col(doc_id).cast("long"), F.col("_tie")))
+    return tagged.join(keepers, ["_key", "_tie"], "left_semi").dropDuplicates(["_key", "_tie"]).drop("_key", "_tie")
