@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
 
 import regex
 
 
+#: All up to here is in Unicode 3.2; most texts need no closer look.
+BEYOND = re.compile("[^\x00-\u0220]")
+
+
 @functools.cache
-def doubtful() -> regex.Pattern:
+def doubtful() -> re.Pattern:
     """Characters that Unicode 3.2 had not assigned: libraries may class them by different later versions.
 
     Strings with such a character are left to the tokenizer library as they are.
@@ -23,11 +28,11 @@ def doubtful() -> regex.Pattern:
         elif not unknown and start is not None:
             spans.append(f"\\U{start:08x}-\\U{cp - 1:08x}")
             start = None
-    return regex.compile("[" + "".join(spans) + "]")
+    return re.compile("[" + "".join(spans) + "]")
 
 
 def certain(text: str) -> bool:
-    return text.isascii() or doubtful().search(text) is None
+    return text.isascii() or BEYOND.search(text) is None or doubtful().search(text) is None
 
 
 @functools.cache

@@ -29,7 +29,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm.arrow import batched, rows_of
-from quire.llm.pretokens import certain
 from quire.llm.storage import fresh_path
 
 MAGIC = b"WVMX1\n"
@@ -38,8 +37,8 @@ BLOCK = 512  # bits between two counts of ones
 #: Bytes of text that a shard holds about; a longer document has a shard to itself.
 SHARD_BYTES = 24 << 20
 
-#: Pre-tokens that a worker remembers.
-MEMO = 400_000
+#: Words that a worker remembers.
+MEMO = 600_000
 
 
 class WaveletMatrix:
@@ -143,40 +142,46 @@ class WaveletMatrix:
 class WordEncoder:
     """Ids by the tokenizers library for a vocabulary of words.
 
-    Its pre-tokens never hold white space and are encoded one by one, so each distinct one is encoded once by the
-    library and remembered. Texts with characters outside ``LETTERS`` and ASCII, or with added tokens, are encoded by
-    the library as a whole.
+    Its pre-tokens never hold white space and are encoded one by one, so each distinct string between white space is
+    cut into pre-tokens and encoded by the library's model once, and remembered. Texts with characters beyond ASCII
+    and the letters and signs of Latin-1, or with added tokens, are encoded by the library as a whole.
     """
 
-    #: Letters of Latin-1, lower-cased; fixed value.
-    LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
+    #: Letters of Latin-1, lower-cased, and its numbers; fixed values.
+    LETTERS, NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         self.known = re.compile(r"[\t\n\v\f\r\x20-\x7e\xa1-\xac\xae-\xff]*")
-        self.pieces = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{self.LETTERS}]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\s{self.LETTERS}0-9\xb2\xb3\xb9\xbc-\xbe]+")
+        self.pieces = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{self.LETTERS}]+|[{self.NUMBERS}]|[^{self.LETTERS}{self.NUMBERS}]+")
         self.added = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or r"(?!)")
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.levels = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xA1, 0x100)}
         self.memo: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def word(self, word: str) -> bytes:
+        ids = [t.id for p in self.pieces.findall(word) for t in self.model.tokenize(p if p.isascii() else p.translate(self.levels))]
+        return b"".join([i.to_bytes(4, "little") for i in ids])
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if not certain(text) or not self.known.fullmatch(text) or self.added.search(text):
+        if not self.known.fullmatch(text) or self.added.search(text):
             return self.whole(text)
-        pieces = self.pieces.findall(text.lower())
-        got = list(map(self.memo.get, pieces))
+        words = text.lower().split()
+        got = list(map(self.memo.get, words))
         if None in got:
             if len(self.memo) > MEMO:
                 self.memo.clear()
-            new = list({p for p, ids in zip(pieces, got) if ids is None})
-            for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-                self.memo[p] = np.array(e.ids, "<u4").tobytes()
-            return b"".join(self.memo[p] if p in self.memo else self.whole(p) for p in pieces)
+            for k, (w, ids) in enumerate(zip(words, got)):
+                if ids is None:
+                    got[k] = self.memo.get(w) or self.memo.setdefault(w, self.word(w))
         return b"".join(got)
 
 
