@@ -25,6 +25,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ BLOCK = 512  # bits between two counts of ones
 SHARD_BYTES = 24 << 20
 
 #: Words that a worker remembers.
-MEMO = 600_000
+MEMO = 800_000
 
 
 class WaveletMatrix:
@@ -111,19 +112,19 @@ class WaveletMatrix:
         """All ids, restored from the last plane to the first."""
         out = np.zeros(self.n, np.uint16 if len(self.alphabet) <= 1 << 16 else np.uint32)
         for k, plane in enumerate(reversed(self.planes)):
-            ones = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
+            bits = np.unpackbits(plane, count=self.n, bitorder="little")
             before = np.empty_like(out)
-            zeros = self.n - np.count_nonzero(ones)
-            before[~ones] = out[:zeros]
-            before[ones] = out[zeros:] | out.dtype.type(1 << k)
+            zeros = self.n - np.count_nonzero(bits)
+            before[np.flatnonzero(bits == 0)] = out[:zeros]
+            before[np.flatnonzero(bits)] = out[zeros:] | out.dtype.type(1 << k)
             out = before
         return self.alphabet[out] if self.n else np.zeros(0, np.uint32)
 
     def dump(self, doc_ids: list[int | None], sizes: np.ndarray) -> bytes:
-        """The file: a line of JSON, then the zlib-compressed tables and planes it lists."""
+        """The file: a line of JSON, then the zstd-compressed tables and planes it lists."""
         known = np.array([d is not None for d in doc_ids], np.uint8)
         parts = [known, np.array([d or 0 for d in doc_ids], "<i8"), np.asarray(sizes, "<i8"), self.alphabet.astype("<u4"), *self.planes]
-        packed = [zlib.compress(p.tobytes(), 1) for p in parts]
+        packed = [zstandard.ZstdCompressor(level=1).compress(p.tobytes()) for p in parts]
         head = json.dumps({"n": self.n, "docs": len(doc_ids), "planes": len(self.planes), "sizes": [len(p) for p in packed]}).encode()
         return MAGIC + head + b"\n" + b"".join(packed)
 
@@ -134,7 +135,7 @@ class WaveletMatrix:
         end = blob.index(b"\n", len(MAGIC))
         head = json.loads(blob[len(MAGIC) : end])
         cuts = np.cumsum([end + 1, *head["sizes"]])
-        known, ids, sizes, alphabet, *planes = [zlib.decompress(blob[a:b]) for a, b in itertools.pairwise(cuts.tolist())]
+        known, ids, sizes, alphabet, *planes = [zstandard.ZstdDecompressor().decompress(blob[a:b]) for a, b in itertools.pairwise(cuts.tolist())]
         docs = [d if k else None for d, k in zip(np.frombuffer(ids, "<i8").tolist(), known)]
         return cls(head["n"], np.frombuffer(alphabet, "<u4"), [np.frombuffer(p, np.uint8) for p in planes]), docs, np.frombuffer(sizes, "<i8")
 
@@ -161,14 +162,22 @@ class WordEncoder:
         self.added = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or r"(?!)")
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.levels = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xA1, 0x100)}
+        self.ids = [i.to_bytes(4, "little") for i in range(max(self.library.get_vocab().values()) + 1)]
         self.memo: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def piece(self, piece: str) -> bytes:
+        ids = self.memo.get(piece)
+        if ids is None:
+            found = self.model.tokenize(piece if piece.isascii() else piece.translate(self.levels))
+            ids = self.memo[piece] = b"".join([self.ids[t.id] for t in found])
+        return ids
+
     def word(self, word: str) -> bytes:
-        ids = [t.id for p in self.pieces.findall(word) for t in self.model.tokenize(p if p.isascii() else p.translate(self.levels))]
-        return b"".join([i.to_bytes(4, "little") for i in ids])
+        """A single pre-token is remembered as itself, so that ``word,`` finds ``word``."""
+        return self.piece(word) if word.isascii() and word.isalpha() else b"".join(map(self.piece, self.pieces.findall(word)))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""

@@ -176,7 +176,7 @@ def test_prefix_hashes():
 
 
 def test_fingerprints(docs, rows, empty):
-    got = poly_hash.fingerprints(docs, part_bytes=50_000).collect()
+    got = poly_hash.fingerprints(docs, spread=50).collect()
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0], r[1]))
     assert len(got) == len(order)
     want = []
