@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quire.functions.text import let
+
 
 @dataclass(frozen=True)
 class Layout:
@@ -50,37 +52,46 @@ def section_count(height: Column, ceiling: Column, layout: Layout = Layout()) ->
 
 def cut_points(runs: Column, height: Column, ceiling: Column, layout: Layout = Layout()) -> Column:
     """Ascending cuts near even intervals, each at the nearest middle of a blank run (``runs``: array of start, end)."""
-    h, count = height.cast("double"), section_count(height, ceiling, layout)
+    h = height.cast("double")
     middles = F.transform(runs, lambda r: (r["start"] + F.floor((r["end"] - r["start"]) / 2)).cast("int"))
 
-    def snap(cuts: Column, i: Column) -> Column:
-        ideal = h * i / count
-        near = F.filter(F.transform(F.filter(middles, lambda m: ~m.eqNullSafe(F.try_element_at(cuts, F.lit(-1)))), lambda m: F.struct(F.abs(m - ideal).alias("d"), m.alias("m"))), lambda x: x["d"] <= h * F.lit(layout.snap_radius))
-        return F.concat(cuts, F.array(F.coalesce(F.array_min(near)["m"], ideal.cast("int"))))
+    def fold(known: Column) -> Column:
+        count = known["n"]
+
+        def snap(cuts: Column, i: Column) -> Column:
+            ideal = h * i / count
+            near = F.filter(F.transform(F.filter(known["middles"], lambda m: ~m.eqNullSafe(F.try_element_at(cuts, F.lit(-1)))), lambda m: F.struct(F.abs(m - ideal).alias("d"), m.alias("m"))), lambda x: x["d"] <= h * F.lit(layout.snap_radius))
+            return F.concat(cuts, F.array(F.coalesce(F.array_min(near)["m"], ideal.cast("int"))))
 
-    steps = F.when(count < 2, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), count - 1))
-    return F.array_sort(F.array_distinct(F.aggregate(steps, F.array().cast("array<int>"), snap)))
+        steps = F.when(count < 2, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), count - 1))
+        return F.array_sort(F.array_distinct(F.aggregate(steps, F.array().cast("array<int>"), snap)))
+
+    return let(F.struct(section_count(height, ceiling, layout).alias("n"), middles.alias("middles")), fold)
 
 
 def sections(cuts: Column, height: Column, ceiling: Column, layout: Layout = Layout()) -> Column:
     """Overlapping sections between the cuts; what exceeds the ceiling is given back where it was reached for."""
-    total = F.size(cuts) + 1
-    reach = F.when(total > 1, (height.cast("double") * F.lit(layout.overlap_percent) / F.lit(100.0) / (total - 1)).cast("int")).otherwise(F.lit(0))
-
-    def one(i: Column) -> Column:
-        first, last = i == 0, i + 1 == total
-        top = F.greatest(F.when(first, F.lit(0)).otherwise(F.get(cuts, i - 1)) - reach, F.lit(0))
-        bottom = F.least(F.coalesce(F.get(cuts, i), height) + reach, height)
-        excess = F.when(total > 1, F.greatest(bottom - top - ceiling, F.lit(0))).otherwise(F.lit(0))
-        half = F.floor(excess / 2).cast("int")
-        return F.struct(
-            F.when(first, top).when(last, top + excess).otherwise(top + half).cast("int").alias("top"),
-            F.when(first, bottom - excess).when(last, bottom).otherwise(bottom - (excess - half)).cast("int").alias("bottom"),
-            i.alias("index"),
-            total.alias("total"),
-        )
-
-    return F.when(height > 0, F.transform(F.sequence(F.lit(0), total - 1), one)).otherwise(F.array().cast(f"array<{SECTION}>"))
+
+    def between(cuts: Column) -> Column:
+        total = F.size(cuts) + 1
+        reach = F.when(total > 1, (height.cast("double") * F.lit(layout.overlap_percent) / F.lit(100.0) / (total - 1)).cast("int")).otherwise(F.lit(0))
+
+        def one(i: Column) -> Column:
+            first, last = i == 0, i + 1 == total
+            top = F.greatest(F.when(first, F.lit(0)).otherwise(F.get(cuts, i - 1)) - reach, F.lit(0))
+            bottom = F.least(F.coalesce(F.get(cuts, i), height) + reach, height)
+            excess = F.when(total > 1, F.greatest(bottom - top - ceiling, F.lit(0))).otherwise(F.lit(0))
+            half = F.floor(excess / 2).cast("int")
+            return F.struct(
+                F.when(first, top).when(last, top + excess).otherwise(top + half).cast("int").alias("top"),
+                F.when(first, bottom - excess).when(last, bottom).otherwise(bottom - (excess - half)).cast("int").alias("bottom"),
+                i.alias("index"),
+                total.alias("total"),
+            )
+
+        return F.when(height > 0, F.transform(F.sequence(F.lit(0), total - 1), one)).otherwise(F.array().cast(f"array<{SECTION}>"))
+
+    return let(cuts, between)
 
 
 def budget_size(width: Column, height: Column) -> Column:

@@ -15,17 +15,17 @@ ANCHOR, EXTEND, DEPTH = 0.80, 0.62, 14
 
 
 def seam_candidates(pairs: DataFrame) -> DataFrame:
-    """(page, index, i, j, sim): similar line pairs of a section's end and the next one's beginning.
-
-    ``pairs`` has ``above`` and ``below`` as arrays of lines; at most DEPTH lines of each side meet, all in one row.
+    """(page, index, n_above, n_below, i, j, a_blank, b_blank, sim): every line pair of a section's end and the next
+    one's beginning. ``pairs`` has ``above`` and ``below`` as arrays of lines; at most DEPTH lines of each side meet,
+    inside one row, and each line's bigrams are taken once.
     """
+    with_grams = lambda ls: F.transform(ls, lambda x: F.struct(X.is_empty(x).alias("blank"), X.grams(x).alias("g")))
     tail = F.slice("above", F.greatest(F.size("above") - DEPTH + 1, F.lit(1)), DEPTH)
-    head = F.slice("below", 1, DEPTH)
     offset = F.greatest(F.size("above") - DEPTH, F.lit(0))
-    with_grams = lambda ls: F.transform(ls, lambda x: F.struct(x.alias("line"), X.grams(x).alias("g")))
-    exploded = pairs.select("page", "index", F.size("above").alias("n_above"), F.size("below").alias("n_below"), offset.alias("_from"), with_grams(tail).alias("_tail"), with_grams(head).alias("_head"))
-    exploded = exploded.select("*", F.posexplode("_tail").alias("_i", "x")).select("*", F.posexplode("_head").alias("j", "y"))
-    return exploded.select("page", "index", "n_above", "n_below", (F.col("_i") + F.col("_from")).alias("i"), "j", F.col("x.line").alias("a"), F.col("y.line").alias("b"), X.dice(F.col("x.g"), F.col("y.g")).alias("sim"))
+    ends = F.struct(with_grams(tail).alias("tail"), with_grams(F.slice("below", 1, DEPTH)).alias("head"))
+    meet = lambda e: F.flatten(F.transform(e["tail"], lambda x, i: F.transform(e["head"], lambda y, j: F.struct(
+        (i + offset).alias("i"), j.alias("j"), x["blank"].alias("a_blank"), y["blank"].alias("b_blank"), X.dice(x["g"], y["g"]).alias("sim")))))
+    return pairs.select("page", "index", F.size("above").alias("n_above"), F.size("below").alias("n_below"), F.inline(X.let(ends, meet)))
 
 
 def best_seams(pairs: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def best_seams(pairs: DataFrame) -> DataFrame:
     Diagonals are runs: a pair extends the run above it while both lines are blank or alike. The run of an anchor ends
     before the next pair of its diagonal that breaks it.
     """
-    c = seam_candidates(pairs).withColumn("blank", X.is_empty(F.col("a")) & X.is_empty(F.col("b")))
+    c = seam_candidates(pairs).withColumn("blank", F.col("a_blank") & F.col("b_blank"))
     c = c.withColumn("goes", F.col("blank") | (F.col("sim") >= EXTEND)).withColumn("diagonal", F.col("i") - F.col("j"))
     ahead = Window.partitionBy("page", "index", "diagonal").orderBy("i")
     c = c.withColumn("_block", F.sum((~F.col("goes")).cast("int")).over(ahead))
@@ -42,7 +42,7 @@ def best_seams(pairs: DataFrame) -> DataFrame:
     counted = lambda v: F.sum(F.when(F.col("goes"), v).otherwise(F.lit(0.0))).over(along)
     c = c.withColumn("run", F.sum(F.col("goes").cast("int")).over(along)).withColumn("vouched", counted(F.when(F.col("blank"), 0.0).otherwise(1.0))).withColumn("agreed", counted(F.when(F.col("blank"), 0.0).otherwise(F.col("sim"))))
     score = F.col("vouched") * 2 + F.col("agreed") + F.col("i") / F.greatest("n_above", F.lit(1)) + (1 - F.col("j") / F.greatest("n_below", F.lit(1))) * 0.5
-    anchors = c.where(~X.is_empty(F.col("a")) & (F.col("sim") >= ANCHOR)).withColumn("score", F.round(score, 6))
+    anchors = c.where(~F.col("a_blank") & (F.col("sim") >= ANCHOR)).withColumn("score", F.round(score, 6))
     best = F.max_by(F.struct((F.col("i") + F.col("run")).alias("keep"), (F.col("j") + F.col("run")).alias("resume"), "score"), F.struct("score", -F.col("i"), -F.col("j")))
     return anchors.groupBy("page", "index").agg(best.alias("b")).select("page", "index", "b.keep", "b.resume", "b.score")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import layout as L
+from quire.functions.text import let
 
 
 def blank_runs(profile: DataFrame, threshold: int, least: Column, key: str = "doc_id") -> DataFrame:
@@ -34,8 +35,10 @@ def pages(profile: DataFrame, threshold: int, least: Column, key: str = "doc_id"
 
 def with_sections(paged: DataFrame, ceiling: Column, layout: L.Layout = L.Layout()) -> DataFrame:
     """Add ``cuts`` and ``sections`` to (key, height, runs)."""
-    cut = paged.withColumn("cuts", L.cut_points(F.col("runs"), F.col("height"), ceiling, layout))
-    return cut.withColumn("sections", L.sections(F.col("cuts"), F.col("height"), ceiling, layout))
+    def both(cuts: Column) -> Column:
+        return F.struct(cuts.alias("cuts"), L.sections(cuts, F.col("height"), ceiling, layout).alias("sections"))
+
+    return paged.select("*", F.inline(F.array(let(L.cut_points(F.col("runs"), F.col("height"), ceiling, layout), both))))
 
 
 def section_rows(sectioned: DataFrame, key: str = "doc_id") -> DataFrame:
