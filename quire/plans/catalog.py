@@ -16,7 +16,9 @@ from quire.operators import recall as R
 from quire.operators import segments as S
 from quire.plans import prompts as P
 from quire.plans import render as RE
+from quire.sources import images as I
 from quire.sources import tables as T
+from quire.streaming import progress as ST
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -37,7 +39,6 @@ def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Pieces of SQL that the catalogue shares.
-WS = X.WS.replace("\\x{", "\\x{")
 LINES = """lines as (
   select doc_id, unnest(range(len(a))) as row, unnest(a) as line from (
     select doc_id, string_split(regexp_replace(text, '\\r?\\n\\z', ''), chr(10)) as a from documents where text <> ''))"""
@@ -99,6 +100,25 @@ SECTIONS = f"""{CUTS}, edges as (
     case when idx = 0 then t when idx + 1 = total then t + excess else t + excess // 2 end as top,
     case when idx = 0 then b - excess when idx + 1 = total then b else b - (excess - excess // 2) end as bottom from trimmed
 )"""
+PAIRS = f"""{SECTIONS}, read_ as (
+  select s.doc_id, s.idx, l.row - s.top as pos, case when mod(l.row - s.top + s.idx, 9) = 0 then line || 'e' else line end as line, s.bottom - s.top as n
+  from sections s join lines l on s.doc_id = l.doc_id and l.row >= s.top and l.row < s.bottom
+), held as (
+  select doc_id, idx, pos, line, n - ended as n from (
+    select *, max(case when pos = n - 1 and line = '' then 1 else 0 end) over (partition by doc_id, idx) as ended from read_) where pos < n - ended
+), ends as (
+  select *, lower(regexp_replace(line, '[^\\p{{L}}\\p{{N}}]', '', 'g')) as normal, regexp_replace(line, '\\s', '', 'g') = '' as blank from held
+), grams as (
+  select doc_id, idx, pos, g, count(*) as c from (select doc_id, idx, pos, substr(normal, i, 2) as g from ends, lateral (select unnest(range(1, length(normal))) as i) where pos < 14 or pos >= n - 14) group by all
+), met as (
+  select b.doc_id, b.idx, a.pos as i, b.pos as j, a.n as n_above, b.n as n_below, a.blank as a_blank, b.blank as b_blank, a.normal as an, b.normal as bn
+  from ends a join ends b on a.doc_id = b.doc_id and b.idx = a.idx + 1 and a.pos >= a.n - 14 and b.pos < 14
+), common as (
+  select b.doc_id, b.idx, a.pos as i, b.pos as j, sum(least(a.c, b.c)) as s from grams a join grams b on a.doc_id = b.doc_id and b.idx = a.idx + 1 and a.g = b.g group by all
+), sims as (
+  select m.*, case when an = bn then 1e0 when length(an) < 2 or length(bn) < 2 then 0e0 else 2e0 * coalesce(s, 0) / (length(an) + length(bn) - 2) end as sim
+  from met m left join common c on m.doc_id = c.doc_id and m.idx = c.idx and m.i = c.i and m.j = c.j
+)"""
 TURNS = """turns as (
   select conv_id as page, cast(turn as integer) as idx, case when role <> 'system' then text end as text,
     case when role = 'system' then 'failed' when length(text) > 300 then 'truncated' end as lapse from conversations)"""
@@ -255,6 +275,14 @@ def render_width(spark, sf_dir):
     return T.table(spark, sf_dir, "part").select("p_partkey", L.render_width(F.col("p_size") / F.lit(10.0)).alias("width"))
 
 
+@query()
+def image_profile(spark, sf_dir):
+    """Texts as raw RGB images, 16 pixels wide: the bytes of the text are the pixels."""
+    data = F.encode(X.text_of("text"), "UTF-8")
+    shaped = docs_of(spark, sf_dir).select("doc_id", F.lit(16).alias("width"), F.floor(F.octet_length(X.text_of("text")) / 48).cast("int").alias("height"), F.lit(3).alias("channels"), data.alias("data"))
+    return I.profile_rows(shaped, "doc_id")
+
+
 # ---- similarity, seams and merging
 
 GRAMS = """pairs as (
@@ -299,13 +327,26 @@ def _pairs(spark, sf_dir) -> DataFrame:
     return answers.withColumn("above", F.lag("ls").over(Window.partitionBy("page").orderBy("index"))).where("above is not null").select("page", "index", "above", F.col("ls").alias("below"))
 
 
-@query()
+@query(f"with {PAIRS} select doc_id as page, idx as \"index\", i, j, round(sim, 6) as sim from sims where sim >= 0.8e0")
 def seam_pairs(spark, sf_dir):
     c = M.seam_candidates(_pairs(spark, sf_dir))
     return c.where(F.col("sim") >= M.ANCHOR).select("page", "index", "i", "j", F.round("sim", 6).alias("sim"))
 
 
-@query()
+@query(f"""with {PAIRS}, steps as (
+  select *, a_blank and b_blank as blank, (a_blank and b_blank) or sim >= 0.62e0 as goes, i - j as diagonal from sims
+), blocks as (
+  select *, sum(case when goes then 0 else 1 end) over (partition by doc_id, idx, diagonal order by i) as block from steps
+), runs2 as (
+  select *, sum(case when goes then 1 else 0 end) over w as run, sum(case when goes and not blank then 1e0 else 0e0 end) over w as vouched,
+    sum(case when goes and not blank then sim else 0e0 end) over w as agreed
+  from blocks window w as (partition by doc_id, idx, diagonal, block order by i rows between current row and unbounded following)
+), scored as (
+  select *, round(vouched * 2 + agreed + cast(i as double) / greatest(n_above, 1) + (1 - cast(j as double) / greatest(n_below, 1)) * 0.5e0, 6) as score from runs2 where not a_blank and sim >= 0.8e0
+), ranked as (
+  select *, row_number() over (partition by doc_id, idx order by score desc, i, j) as rn from scored
+)
+select doc_id as page, idx as "index", i + run as keep, j + run as resume, score from ranked where rn = 1""")
 def best_seam(spark, sf_dir):
     return M.best_seams(_pairs(spark, sf_dir))
 
@@ -386,6 +427,16 @@ def lapse_summary(spark, sf_dir):
     return J.lapse_summary(T.conversation_answers(spark, sf_dir))
 
 
+@query(f"""with {TURNS} select page, count(text) as answered, count(lapse) as lapsed, cast(coalesce(sum(length(text)), 0) as bigint) as characters from turns group by page""")
+def stream_progress(spark, sf_dir):
+    """The conversations as a stream of answers; an extension."""
+    from pyspark.sql.types import LongType, StringType, StructType
+
+    schema = StructType().add("conv_id", LongType()).add("turn", LongType()).add("role", StringType()).add("text", StringType())
+    stream = T.answers_of(spark.readStream.schema(schema).parquet(f"{sf_dir}/conversations.parque?"))  # a glob takes a file as well as a folder
+    return ST.run_once(spark, ST.page_progress(stream), T.shared_folder(spark, "stream"))
+
+
 @query()
 def accepted_answers(spark, sf_dir):
     turns = T.conversation_answers(spark, sf_dir)

@@ -6,6 +6,9 @@ doc_id and on line numbers; the same rules are in the SQL of the catalogue.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,11 +78,20 @@ def row_profile(docs: DataFrame) -> DataFrame:
     return line_relation(docs).select("doc_id", "row", (255 - F.least(F.lit(255), F.length("line"))).alias("brightness"))
 
 
-def conversation_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def answers_of(turns: DataFrame) -> DataFrame:
     """(page, index, text, lapse): a conversation is a page and a turn a section; turns of a system lapsed."""
-    t = table(spark, sf_dir, "conversations")
-    lapse = F.when(t["role"] == "system", F.lit("failed")).when(F.length("text") > 300, F.lit("truncated"))
-    return t.select(F.col("conv_id").alias("page"), F.col("turn").cast("int").alias("index"), F.when(t["role"] != "system", F.col("text")).alias("text"), lapse.alias("lapse"))
+    lapse = F.when(F.col("role") == "system", F.lit("failed")).when(F.length("text") > 300, F.lit("truncated"))
+    return turns.select(F.col("conv_id").alias("page"), F.col("turn").cast("int").alias("index"), F.when(F.col("role") != "system", F.col("text")).alias("text"), lapse.alias("lapse"))
+
+
+def conversation_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answers_of(table(spark, sf_dir, "conversations"))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of ``spark.checkpoint.dir``; a temporary one only where that setting is missing."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quire-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def layout_of_lines() -> tuple[Column, Column, L.Layout]:
