@@ -67,14 +67,17 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     words = F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, r"[ \x09-\x0D]+"))
     lines = F.filter(F.split(body, "\n"), lambda x: F.trim(x, F.lit(SPACE)) != "")
     without = lambda drop: F.length(body) - F.length(F.translate(body, drop, ""))
-    df = docs.select(*kept, let(words, lambda w: F.transform(w, lambda x: F.xxhash64(x))).alias("_hashes"), let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d"))).alias("_lines"))
+    # Each array is bound once inside its own expression: a filter on the counts may be pushed below them.
+    by_word = let(F.transform(words, lambda x: F.xxhash64(x)), lambda hs: F.struct(F.size(hs).alias("n"), repeated_words(hs).alias("twice")))
+    by_line = let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d")))
+    df = docs.select(*kept, by_word.alias("_words"), by_line.alias("_lines"))
     df = df.select(
         *kept,
-        F.size("_hashes").cast("long").alias("n_words"),
+        F.col("_words.n").cast("long").alias("n_words"),
         (F.length(body) - without(SPACE)).cast("long").alias("word_chars"),
         without(SYMBOLS).cast("long").alias("n_symbols"),
         (F.col("_lines.n") - F.col("_lines.d")).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("_hashes")).alias("n_repeat_words"),
+        F.col("_words.twice").alias("n_repeat_words"),
         F.col("_lines.n").cast("long").alias("n_lines"),
     )
     return df.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
