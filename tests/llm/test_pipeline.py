@@ -25,7 +25,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    more = spark.createDataFrame([(10_000, None, "en", "src0", 0), (10_001, "", None, None, 0), (10_002, "1 2 3 4 5 6 7 8 9 10 11", None, None, 0), (None, docs.first().text, "en", None, 1)], docs.schema)
+    more = spark.createDataFrame([(10_000, None, "en", "src0", 0), (10_001, "", None, None, 0), (10_002, "1234 56789 12345 67890 1234 5678 90123 4567 89012 3456 7890 12345", None, None, 0), (None, docs.first().text, "en", None, 1)], docs.schema)
     docs = materialize(docs.unionByName(more).unionByName(docs.limit(3)), "in")
     seen = {}
     for name, stage in corpus_pipeline.STAGES:
