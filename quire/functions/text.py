@@ -162,10 +162,10 @@ def bigrams(word: Column) -> Column:
 
 
 def grams(line: Column) -> Column:
-    """(normal, grams) of a line: its bigrams, each with the number of its occurrence, so that sets act as multisets."""
+    """(normal, grams) of a line: its bigrams, each hashed with the number of its occurrence, so that sets act as multisets."""
     def numbered(s: Column) -> Column:
         ends = F.filter(F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>")), lambda i: ~F.get(s, i).eqNullSafe(F.get(s, i + 1)))
-        return let(ends, lambda e: F.flatten(F.transform(e, lambda at, k: F.transform(F.sequence(F.lit(1), at - F.coalesce(F.get(e, k - 1), F.lit(-1))), lambda c: F.concat(F.get(s, at), c.cast("string"))))))
+        return let(ends, lambda e: F.flatten(F.transform(e, lambda at, k: F.transform(F.sequence(F.lit(1), at - F.coalesce(F.get(e, k - 1), F.lit(-1))), lambda c: F.xxhash64(F.get(s, at), c)))))
 
     return let(normalise(line), lambda n: F.struct(n.alias("normal"), let(F.array_sort(bigrams(n)), numbered).alias("grams")))
 
