@@ -84,6 +84,49 @@ select conv_id, count(*) as n_turns,
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
   cast(sum(chars) as bigint) as formatted_chars
 from sized group by conv_id""",
+    "op5_quality_rules": r"""
+with texts as (
+  select doc_id, coalesce('=' || lang, '?') as lk, coalesce('=' || source, '?') as sk, coalesce(text, '') as t from documents
+), worded as (
+  select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws from texts
+), wins as (
+  select doc_id, i, concat_ws(' ', ws[i], ws[i + 1], ws[i + 2], ws[i + 3], ws[i + 4]) as g from worded, lateral (select unnest(range(1, len(ws) - 3)) as i)
+), twice as (
+  select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) as n from wins) where n > 1
+), covered as (
+  select doc_id, count(distinct p) as n from twice, lateral (select unnest(range(i, i + 5)) as p) group by doc_id
+), lined as (
+  select doc_id, count(*) as n, count(distinct x) as d from (select doc_id, unnest(string_split(t, chr(10))) as x from texts) where regexp_matches(x, '[^\x20\x09-\x0D]') group by doc_id
+), counts as (
+  select w.doc_id, lk, sk, cast(len(ws) as bigint) as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) as word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols, coalesce(l.n - l.d, 0) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words, coalesce(l.n, 0) as n_lines
+  from worded w left join covered c on w.doc_id = c.doc_id left join lined l on w.doc_id = l.doc_id
+), judged as (
+  select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, 1000 * n_symbols // greatest(word_chars, 1) as m0, 1000 * n_dup_lines // greatest(n_lines, 1) as m1,
+    1000 * n_repeat_words // greatest(n_words, 1) as m2, 100 * word_chars // greatest(n_words, 1) as m3 from counts
+), measured as (
+  select lk, sk, 0 as m, m0 as v from judged where not base_failed union all select lk, sk, 1, m1 from judged where not base_failed
+  union all select lk, sk, 2, m2 from judged where not base_failed union all select lk, sk, 3, m3 from judged where not base_failed
+), sketch as (
+  select lk, sk, m, case when v < 64 then v else (v >> (length(bin(v)) - 6)) << (length(bin(v)) - 6) end as b, count(*) as n from measured group by all
+), levels as (
+  select 0 as level, lk, sk, m, b, n from sketch union all select 1, lk, '*', m, b, sum(n) from sketch group by lk, m, b union all select 2, '*', '*', m, b, sum(n) from sketch group by m, b
+), cums as (
+  select *, sum(n) over (partition by level, lk, sk, m order by b) as cum, sum(n) over (partition by level, lk, sk, m) as total from levels
+), quarts as (
+  select level, lk, sk, m, max(total) as total, min(b) filter (where 4 * cum >= total) as q1, min(b) filter (where 4 * cum >= 3 * total) as q3 from cums group by all
+), picked as (
+  select g.lk, g.sk, q.m, arg_min(q1, level) as q1, arg_min(q3, level) as q3
+  from (select distinct lk, sk from sketch) g join quarts q on (q.level = 0 and q.lk = g.lk and q.sk = g.sk) or (q.level = 1 and q.lk = g.lk) or q.level = 2
+  where q.total >= 50 or q.level = 2 group by g.lk, g.sk, q.m
+), fences as (
+  select lk, sk, max(q3 + 3 * (q3 - q1)) filter (where m = 0) as h0, max(q3 + 3 * (q3 - q1)) filter (where m = 1) as h1, max(q3 + 3 * (q3 - q1)) filter (where m = 2) as h2,
+    max(q3 + 3 * (q3 - q1)) filter (where m = 3) as h3, max(q1 - 3 * (q3 - q1)) filter (where m = 3) as l3 from picked group by lk, sk
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and coalesce(m0 <= h0 + (50 + 300 / sqrt(greatest(n_words, 1))) and m1 <= h1 + (150 + 1500 / sqrt(greatest(n_words, 1)))
+    and m2 <= h2 + (60 + 600 / sqrt(greatest(n_words, 1))) and m3 <= h3 + (60 + 600 / sqrt(greatest(n_words, 1))) and m3 >= l3 - (60 + 600 / sqrt(greatest(n_words, 1))), true) as kept
+from judged j left join fences f on j.lk = f.lk and j.sk = f.sk""",
     "op10_source_mixing": r"""
 with recursive sizes as (
   select source, sum(coalesce(length(text), 0)) as size from documents group by source
