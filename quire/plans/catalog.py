@@ -361,6 +361,39 @@ def merge_conversations(spark, sf_dir):
     return M.merge_pages(T.conversation_answers(spark, sf_dir))
 
 
+# Copied blocks and all faults, over ``texts`` (doc_id, text), ``tl`` (doc_id, row, line) and ``full_``.
+COPIES = """meaty as (
+  select doc_id, row, row_number() over (partition by doc_id order by row) as k, lower(regexp_replace(line, '[^\\p{L}\\p{N}]', '', 'g')) as w from tl
+  where strlen(regexp_replace(line, '^\\s+|\\s+$', '', 'g')) > 8
+), mgrams as (
+  select doc_id, k, g, count(*) as c from (select doc_id, k, substr(w, i, 2) as g from meaty, lateral (select unnest(range(1, length(w))) as i)) group by all
+), close_ as (
+  select a.doc_id, a.k as p, b.k as q, a.w as aw, b.w as bw from meaty a join meaty b on a.doc_id = b.doc_id and b.k >= a.k + 3
+  where a.w = b.w or (length(a.w) > 1 and length(b.w) > 1 and 20 * (least(length(a.w), length(b.w)) - 1) > 9 * (length(a.w) + length(b.w) - 2))
+), alike as (
+  select c.doc_id, c.p, c.q from close_ c left join mgrams x on x.doc_id = c.doc_id and x.k = c.p and c.aw <> c.bw left join mgrams y on y.doc_id = c.doc_id and y.k = c.q and y.g = x.g
+  group by c.doc_id, c.p, c.q, c.aw, c.bw having c.aw = c.bw or 2e0 * sum(case when y.c is null then 0 else least(x.c, y.c) end) / (length(c.aw) + length(c.bw) - 2) > 0.9e0
+), blocks_ as (
+  select a.doc_id, a.p, a.q, row_number() over (partition by a.doc_id order by a.p, a.q) as rn
+  from alike a join alike b on a.doc_id = b.doc_id and b.p = a.p + 1 and b.q = a.q + 1 join alike c on a.doc_id = c.doc_id and c.p = a.p + 2 and c.q = a.q + 2
+), copied as (
+  select b.doc_id, m.row as first_, n.row as second_ from blocks_ b join meaty m on b.doc_id = m.doc_id and b.p = m.k join meaty n on b.doc_id = n.doc_id and b.q = n.k where rn = 1
+)"""
+PLAIN_TEXT = f"""{LINES}, texts as (select doc_id, coalesce(text, '') as text from documents), tl as (select * from lines),
+full_ as (select *, lag(line) over w as before, lead(line) over w as after from tl where trim(line) <> '' window w as (partition by doc_id order by row))"""
+BROKEN = f"""{COPIES}, broken as (
+  select doc_id, 1 as n, 'not empty' as rule from texts where trim(text, ' ' || chr(10)) = ''
+  union select doc_id, 2, 'no code fence' from texts where starts_with(ltrim(text), '```')
+  union select doc_id, 3, 'no preamble' from full_ where before is null and regexp_matches(lower(trim(line)), '^(here is|here''s|sure,|certainly|i''ve transcribed|the transcription|below is)')
+  union select doc_id, 4, 'no rule between bullets' from full_ where regexp_matches(line, '^\\s*-{{3,}}\\s*$') and regexp_matches(before, '^\\s*([-*] |[0-9]*\\. )') and regexp_matches(after, '^\\s*([-*] |[0-9]*\\. )')
+  union select doc_id, 5, 'nesting in twos' from tl where regexp_matches(line, '^\\s*([-*] |[0-9]*\\. )') and mod(length(line) - length(ltrim(line)), 2) <> 0
+  union select doc_id, 6, 'no repetition loop' from (select doc_id, trim(line) as t, trim(lead(line) over w) as t1, trim(lead(line, 2) over w) as t2, trim(lead(line, 3) over w) as t3 from tl window w as (partition by doc_id order by row)) where t <> '' and t = t1 and t = t2 and t = t3
+  union select doc_id, 7, 'no duplicated seam' from copied
+), faulted as (
+  select t.doc_id, coalesce(string_agg(rule, '; ' order by n), '') as faults from texts t left join broken b on t.doc_id = b.doc_id group by t.doc_id
+)"""
+
+
 # ---- the run
 
 
@@ -514,12 +547,12 @@ def fault_repetition(spark, sf_dir):
     return FA.fault_details(docs_of(spark, sf_dir)).select("doc_id", "repeat_at")
 
 
-@query()
+@query(f"with {PLAIN_TEXT}, {COPIES} select t.doc_id, first_ || ',' || second_ as places from texts t left join copied c on t.doc_id = c.doc_id")
 def fault_duplicate(spark, sf_dir):
     return docs_of(spark, sf_dir).select("doc_id", F.array_join(F.transform(FA.duplicated_block(X.lines("text")), lambda x: x.cast("string")), ",").alias("places"))
 
 
-@query()
+@query(f"with {MARKED_TEXT}, {BROKEN} select doc_id, faults from faulted")
 def faults(spark, sf_dir):
     named = FA.fault_names(FA.fault_details(T.marked_up_text(docs_of(spark, sf_dir))))
     return named.select("doc_id", F.array_join("faults", "; ").alias("faults"))
@@ -539,12 +572,19 @@ def _scores(spark, sf_dir) -> DataFrame:
     return FA.grade(named, recalled, docs, expected)
 
 
-@query()
+SCORES = f"""{PLAIN_TEXT}, {BROKEN}, {HITS}, scored as (
+  select f.doc_id, f.faults, h.fraction, coalesce(l.quality = 0, false) and not contains(t.text, '[unclear:') and trim(t.text, ' ' || chr(10)) <> '' as warned,
+    (length(t.text) - length(replace(t.text, '[unclear:', ''))) // 9 as uncertainty, length(t.text) as characters, f.faults = '' and h.fraction >= 0.85e0 as passed
+  from faulted f join texts t on f.doc_id = t.doc_id join (select doc_id, cast(count(*) filter (where found) as double) / count(*) as fraction from hits group by doc_id) h on f.doc_id = h.doc_id
+  left join labels l on f.doc_id = l.doc_id)"""
+
+
+@query(f"with {SCORES} select doc_id, fraction, faults, warned, uncertainty, characters, passed from scored")
 def grade(spark, sf_dir):
     return _scores(spark, sf_dir)
 
 
-@query()
+@query(f"with {SCORES} select count(*) filter (where passed) as passed, count(*) as total, round(avg(fraction), 9) as mean_recall from scored")
 def report(spark, sf_dir):
     return FA.report(_scores(spark, sf_dir))
 
