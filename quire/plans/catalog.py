@@ -275,7 +275,9 @@ def render_width(spark, sf_dir):
     return T.table(spark, sf_dir, "part").select("p_partkey", L.render_width(F.col("p_size") / F.lit(10.0)).alias("width"))
 
 
-@query()
+@query("""with bytes_ as (
+  select doc_id, i, cast('0x' || substr(h, i * 2 + 1, 2) as integer) as v from (select doc_id, hex(encode(text)) as h from documents), lateral (select unnest(range(0, length(h) // 96 * 48)) as i))
+select doc_id, i // 48 as row, cast(sum(v) // 48 as integer) as brightness from bytes_ group by all""")
 def image_profile(spark, sf_dir):
     """Texts as raw RGB images, 16 pixels wide: the bytes of the text are the pixels."""
     data = F.encode(X.text_of("text"), "UTF-8")
