@@ -38,8 +38,8 @@ BLOCK = 512  # bits between two counts of ones
 #: Bytes of text that a shard holds about; a longer document has a shard to itself.
 SHARD_BYTES = 24 << 20
 
-#: Words that a worker remembers.
-MEMO = 800_000
+#: Words that a worker remembers: the first ones it sees, among which are the frequent ones.
+MEMO = 1_000_000
 
 
 class WaveletMatrix:
@@ -58,9 +58,11 @@ class WaveletMatrix:
         codes = lookup[ids].astype(np.uint16 if len(alphabet) <= 1 << 16 else np.uint32)
         planes = []
         for bit in range(cls.width_of(len(alphabet)) - 1, -1, -1):
-            ones = ((codes >> bit) & 1).astype(bool)
+            codes = codes.astype(np.uint8) if bit == 7 else codes
+            ones = (codes & codes.dtype.type(1 << bit)) != 0
             planes.append(np.packbits(ones, bitorder="little"))
-            codes = np.concatenate([codes[~ones], codes[ones]])
+            if bit:
+                codes = np.concatenate([codes.compress(~ones), codes.compress(ones)])
         return cls(len(ids), alphabet.astype(np.uint32), planes)
 
     @staticmethod
@@ -110,8 +112,9 @@ class WaveletMatrix:
 
     def tokens(self) -> np.ndarray:
         """All ids, restored from the last plane to the first."""
-        out = np.zeros(self.n, np.uint16 if len(self.alphabet) <= 1 << 16 else np.uint32)
+        out, wide = np.zeros(self.n, np.uint8), np.uint16 if len(self.alphabet) <= 1 << 16 else np.uint32
         for k, plane in enumerate(reversed(self.planes)):
+            out = out.astype(wide) if k == 8 else out
             bits = np.unpackbits(plane, count=self.n, bitorder="little")
             before = np.empty_like(out)
             zeros = self.n - np.count_nonzero(bits)
@@ -172,7 +175,9 @@ class WordEncoder:
         ids = self.memo.get(piece)
         if ids is None:
             found = self.model.tokenize(piece if piece.isascii() else piece.translate(self.levels))
-            ids = self.memo[piece] = b"".join([self.ids[t.id] for t in found])
+            ids = b"".join([self.ids[t.id] for t in found])
+            if len(self.memo) < MEMO:
+                self.memo[piece] = ids
         return ids
 
     def word(self, word: str) -> bytes:
@@ -186,11 +191,11 @@ class WordEncoder:
         words = text.lower().split()
         got = list(map(self.memo.get, words))
         if None in got:
-            if len(self.memo) > MEMO:
-                self.memo.clear()
             for k, (w, ids) in enumerate(zip(words, got)):
                 if ids is None:
-                    got[k] = self.memo.get(w) or self.memo.setdefault(w, self.word(w))
+                    got[k] = self.memo.get(w) or self.word(w)
+                    if len(self.memo) < MEMO:
+                        self.memo[w] = got[k]
         return b"".join(got)
 
 
