@@ -34,6 +34,7 @@ from quire.llm.storage import fresh_path
 
 MAGIC = b"WVMX1\n"
 BLOCK = 512  # bits between two counts of ones
+STRETCH = 1 << 16  # places restored at once
 
 #: Bytes of text that a shard holds about; a longer document has a shard to itself.
 SHARD_BYTES = 24 << 20
@@ -115,11 +116,15 @@ class WaveletMatrix:
         out, wide = np.zeros(self.n, np.uint8), np.uint16 if len(self.alphabet) <= 1 << 16 else np.uint32
         for k, plane in enumerate(reversed(self.planes)):
             out = out.astype(wide) if k == 8 else out
-            bits = np.unpackbits(plane, count=self.n, bitorder="little")
+            ones = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
             before = np.empty_like(out)
-            zeros = self.n - np.count_nonzero(bits)
-            before[np.flatnonzero(bits == 0)] = out[:zeros]
-            before[np.flatnonzero(bits)] = out[zeros:] | out.dtype.type(1 << k)
+            low, high = 0, self.n - np.count_nonzero(ones)
+            for at in range(0, self.n, STRETCH):  # both sides advance in order, so a stretch stays in the cache
+                part, here = ones[at : at + STRETCH], before[at : at + STRETCH]
+                zero, one = np.flatnonzero(~part), np.flatnonzero(part)
+                here[zero] = out[low : low + len(zero)]
+                here[one] = out[high : high + len(one)] | out.dtype.type(1 << k)
+                low, high = low + len(zero), high + len(one)
             out = before
         return self.alphabet[out] if self.n else np.zeros(0, np.uint32)
 
