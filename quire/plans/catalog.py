@@ -475,8 +475,8 @@ def stream_progress(spark, sf_dir):
 @query()
 def accepted_answers(spark, sf_dir):
     turns = T.conversation_answers(spark, sf_dir)
-    raw = T.raw_answers(turns.select(F.col("page").alias("doc_id"), "text", "index").where("text is not null").groupBy("doc_id").agg(F.min_by("text", "index").alias("text")))
-    return J.accept(turns.select("page", "index"), raw.select(F.col("doc_id").alias("page"), F.lit(0).alias("index"), "raw"))
+    raw = T.raw_answers(turns.where("text is not null").select(F.col("page").alias("doc_id"), "index", "text"), "index")
+    return J.accept(turns.select("page", "index"), raw.select(F.col("doc_id").alias("page"), "index", "raw"))
 
 
 # ---- evaluation

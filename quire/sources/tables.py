@@ -28,8 +28,8 @@ def line_relation(docs: DataFrame, text: Column | str = "text") -> DataFrame:
     return docs.select("doc_id", F.posexplode(X.lines(text)).alias("row", "line"))
 
 
-def raw_answers(docs: DataFrame) -> DataFrame:
-    """(doc_id, raw): each document as a model would wrap it, in one of six ways."""
+def raw_answers(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, raw): each document as a model would wrap it, in one of six ways; with ``more``, those columns too."""
     t, word = X.text_of("text"), lambda k: F.split_part(X.text_of("text"), F.lit(" "), F.lit(k))
     k = F.pmod("doc_id", F.lit(6))
     raw = (
@@ -40,7 +40,7 @@ def raw_answers(docs: DataFrame) -> DataFrame:
         .when(k == 4, F.concat(F.lit("```\n"), t))
         .otherwise(F.concat(F.lit("\n\n"), t, F.lit("\n\n\n\n"), t))
     )
-    return docs.select("doc_id", raw.alias("raw"))
+    return docs.select("doc_id", *more, raw.alias("raw"))
 
 
 def marked_up(docs: DataFrame) -> DataFrame:
