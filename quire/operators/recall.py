@@ -2,49 +2,104 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
 
-#: A flattened anchor set larger than this many bytes is not held in one row a task.
-ANCHOR_BYTES = 32 << 20
+#: Characters of a gram, and of the window whose least gram stands for an anchor; shorter anchors stand for themselves.
+GRAM, WINDOW = 12, 40
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+
+
+@dataclass
+class Hits:
+    """``docs`` (doc_id, _row, dense), ``anchors`` (item_id, _item, dense) and the pairs ``found`` (_row, _item)."""
+
+    docs: DataFrame
+    anchors: DataFrame
+    found: DataFrame
+
+
+def gram_hashes(codes: np.ndarray, size: int) -> np.ndarray:
+    n = len(codes) - size + 1
+    out = np.full(max(n, 0), size, np.uint64)
+    for k in range(size if n > 0 else 0):
+        out = out * MULTIPLIER + codes[k : k + n]
+        out ^= out >> np.uint64(29)
+    return out * MULTIPLIER
+
+
+def document_keys(text: str, lengths: list[int]) -> np.ndarray:
+    """The least gram of every window of a text, and its spans of the given lengths below a window's."""
+    codes = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
+    found = [gram_hashes(codes, n) for n in lengths]
+    if len(codes) >= WINDOW:
+        found.append(np.lib.stride_tricks.sliding_window_view(gram_hashes(codes, GRAM), WINDOW - GRAM + 1).min(axis=1))
+    return np.unique(np.concatenate(found)).view(np.int64) if found else np.zeros(0, np.int64)
+
+
+def anchor_key(text: str) -> int:
+    """A key that any text which contains the anchor has as well."""
+    codes = np.frombuffer(text[:WINDOW].encode("utf-32-le"), "<u4").astype(np.uint64)
+    return int(gram_hashes(codes, GRAM if len(text) >= WINDOW else len(text)).min().view(np.int64))
+
+
+def keyed(rows: DataFrame, name: str, keys) -> DataFrame:
+    """(name, key) with the keys of each row's ``dense``."""
+    schema = pa.schema([(name, pa.int64()), ("key", pa.int64())])
 
+    def each(batches):
+        for batch in batches:
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                some = keys(text)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), row, np.int64)), pa.array(some)], schema=schema)
 
-def anchor_array(anchors: DataFrame) -> DataFrame:
-    """One row: the flattened anchors in order. The set is an evaluation suite's, whose size is checked."""
-    flat = anchors.select("item_id", X.flatten("text").alias("flat"))
-    size = flat.agg(F.sum(F.octet_length("flat"))).first()[0] or 0
-    if size > ANCHOR_BYTES:
-        raise ValueError(f"anchors of {size} bytes: evaluate them in blocks of at most {ANCHOR_BYTES}")
-    return flat.agg(F.sort_array(F.collect_list(F.struct("item_id", "flat"))).alias("anchors"))
+    return rows.select(name, "dense").mapInArrow(each, f"{name} long, key long")
 
 
-def anchor_hits(docs: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(doc_id, hits): an array of (item_id, found) in anchor order, in one pass over the documents.
+def anchor_hits(docs: DataFrame, anchors: DataFrame) -> Hits:
+    """A document holds an anchor if its flattened text does, or does without spaces; the first implies the second.
 
-    A document holds an anchor if its flattened text does, or does without spaces. The anchors go to the tasks as a
-    literal array, so neither a cross join nor rows for all pairs arise.
+    Documents and anchors meet on hashed keys, and each meeting is verified. Only the lengths of anchors below a
+    window's come to the driver. Empty anchors are in every document.
     """
-    row = anchor_array(anchors).first()
-    known = [(a["item_id"], a["flat"]) for a in row["anchors"]]
-    flat = docs.select("doc_id", X.flatten("text").alias("flat")).withColumn("dense", F.replace("flat", F.lit(" "), F.lit("")))
-    literal = F.array(*[F.struct(F.lit(i).cast("long").alias("item_id"), F.lit(a).alias("a"), F.lit(a.replace(" ", "")).alias("d")) for i, a in known]) if known else F.array().cast("array<struct<item_id:bigint,a:string,d:string>>")
-    hits = F.transform(literal, lambda x: F.struct(x["item_id"].alias("item_id"), (F.contains(F.col("flat"), x["a"]) | F.contains(F.col("dense"), x["d"])).alias("found")))
-    return flat.select("doc_id", hits.alias("hits"))
+    dense = F.replace(X.flatten("text"), F.lit(" "), F.lit(""))
+    known = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_row"), dense.alias("dense"))
+    asked = anchors.select("item_id", F.xxhash64("item_id", "text").alias("_item"), dense.alias("dense"))
+    lengths = [r[0] for r in asked.select(F.length("dense")).where(F.length("dense").between(1, WINDOW - 1)).distinct().collect()]  # 39 at most
+    each, one = known.dropDuplicates(["_row"]), asked.dropDuplicates(["_item"])
+    has = keyed(each, "_row", lambda text: document_keys(text, lengths))
+    wants = keyed(one.where("dense <> ''"), "_item", lambda text: np.array([anchor_key(text)], np.int64))
+    met = has.join(wants, "key").select("_row", "_item").distinct()
+    texts = met.join(each.select("_row", F.col("dense").alias("_text")), "_row").join(one.select("_item", "dense"), "_item")
+    found = texts.where(F.contains("_text", "dense")).select("_row", "_item")
+    everywhere = each.select("_row").crossJoin(one.where("dense = ''").select("_item"))
+    return Hits(known, asked, found.unionByName(everywhere))
 
 
-def found_anchors(hits: DataFrame) -> DataFrame:
+def found_anchors(hits: Hits) -> DataFrame:
     """(doc_id, item_id) of the anchors that were found."""
-    return hits.select("doc_id", F.explode(F.filter("hits", lambda h: h["found"])["item_id"]).alias("item_id"))
+    return hits.docs.select("doc_id", "_row").join(hits.found, "_row").join(hits.anchors.select("item_id", "_item"), "_item").select("doc_id", "item_id")
 
 
-def recall(hits: DataFrame) -> DataFrame:
+def recall(hits: Hits) -> DataFrame:
     """(doc_id, found, total, fraction): the fraction of no anchors is 1."""
-    n = F.size(F.filter("hits", lambda h: h["found"]))
-    return hits.select("doc_id", n.alias("found"), F.size("hits").alias("total"), F.when(F.size("hits") == 0, F.lit(1.0)).otherwise(n / F.size("hits")).alias("fraction"))
+    copies = hits.anchors.groupBy("_item").agg(F.count("*").alias("copies"))
+    counts = hits.found.join(copies, "_item").groupBy("_row").agg(F.sum("copies").alias("n"))
+    total = hits.anchors.agg(F.count("*").cast("int").alias("total"))
+    n = F.coalesce("n", F.lit(0)).cast("int")
+    joined = hits.docs.select("doc_id", "_row").join(counts, "_row", "left").crossJoin(F.broadcast(total))  # one row
+    return joined.select("doc_id", n.alias("found"), "total", F.when(F.col("total") == 0, F.lit(1.0)).otherwise(n / F.col("total")).alias("fraction"))
 
 
-def missing(hits: DataFrame) -> DataFrame:
+def missing(hits: Hits) -> DataFrame:
     """(doc_id, missing): the anchors that were not found, in order."""
-    return hits.select("doc_id", F.array_join(F.transform(F.filter("hits", lambda h: ~h["found"]), lambda h: h["item_id"].cast("string")), ",").alias("missing"))
+    pairs = hits.docs.select("_row").distinct().crossJoin(hits.anchors.select("item_id", "_item"))
+    lacked = pairs.join(hits.found, ["_row", "_item"], "left_anti").groupBy("_row").agg(F.sort_array(F.collect_list("item_id")).alias("ids"))
+    listed = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
+    return hits.docs.select("doc_id", "_row").join(lacked, "_row", "left").select("doc_id", F.coalesce(listed, F.lit("")).alias("missing"))
