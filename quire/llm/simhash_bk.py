@@ -2,23 +2,28 @@
 
 A fingerprint is the bitwise majority of the XXH64 hashes (seed 42) of a text's word shingles. Linked fingerprints
 differ in at most ``radius`` bits. The distinct fingerprints are dealt to shards such that no link is lost: of
-``radius + 3`` blocks of bits a linked pair agrees in three at least, so each fingerprint goes to the shard of every
-choice of three blocks. A shard of more than ``shard_size`` fingerprints is divided; each part's tree is then also met
-by the fingerprints of the other parts. In a task each shard has a BK-tree, whose children are keyed by the integer
-Hamming distance to the parent; a query follows only the edges within the radius of its own distance. Links leave a
-task as a forest, never as all pairs, and label propagation with shortcuts joins the forests into components.
+``radius + 1`` blocks of bits a linked pair agrees in one at least, hence also in the leading bits of that block, so a
+fingerprint goes to one shard for each block. The number of leading bits grows with the corpus, so that shards stay at
+about ``tree_size`` fingerprints; a prefix with more of them is dealt by its whole block, and a block value with still
+more is divided into parts, each of whose trees is also met by the fingerprints of the other parts.
 
-Trees are sent to the tasks by the shuffle, not broadcast: a broadcast of all trees would grow with the corpus.
+In a task each shard has a BK-tree, whose children are keyed by the integer Hamming distance to the parent; a query
+follows only the edges within the radius of its own distance. Links leave a task as a forest, never as all pairs, and
+label propagation with shortcuts joins the forests into components.
+
+Trees travel by the shuffle of their shards. A broadcast of all shard trees would take the fingerprints of all documents
+through the driver, however small its groups.
 
 Defined cases: a null or empty text, or one without words, has fingerprint 0 and links like any other; fewer words
-than a shingle holds give one shingle of them all; repeated rows share a fingerprint; a null doc_id is a document
-that no component is named after, unless it holds no other; other columns are ignored; an empty table gives an
-empty result.
+than a shingle holds give one shingle of them all; a very long text is hashed in pieces of ``PIECE`` bytes; repeated rows share a fingerprint; a null doc_id is a document that no component is named
+after, unless it holds no other; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -27,83 +32,101 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.arrow import batched, rows_of
-from quire.llm.storage import materialize
+from quire.llm.storage import hot_keys, join_unique, materialize
 
 SEED = 42
 
+#: Bytes of a text that are split into words at once; fingerprints that one tree holds about; queries that go down a
+#: tree together.
+PIECE, TREE_SIZE, QUERIES = 1 << 20, 32_768, 1024
+
+GAP = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def pieces(text: str | None, size: int = PIECE):
+    """Lists of words, with A-Z lower-cased; bytes are split as ASCII, which leaves all other characters alone."""
+    data, at = (text or "").encode(), 0
+    while at < len(data):
+        gap = GAP.search(data, at + size)
+        stop = gap.start() if gap else len(data)
+        yield data[at:stop].lower().split()
+        at = stop
+
 
-def fingerprint(text: str | None, shingle: int = 3, step: int = 1 << 16) -> int:
-    """64 bits, unsigned. Bytes are lower-cased and split as ASCII, which leaves all other characters alone."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0
-    if len(words) < shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
-    digest, ones, total = xxhash.xxh64_intdigest, np.zeros(64, np.int64), len(words) - shingle + 1
-    spans = zip(*(words[i:] for i in range(shingle)))
-    while some := [digest(b" ".join(w), SEED) for w in itertools.islice(spans, step)]:
+def fingerprint(text: str | None, shingle: int = 3, size: int = PIECE) -> int:
+    """64 bits, unsigned."""
+    digest, ones, total, words = xxhash.xxh64_intdigest, np.zeros(64, np.int64), 0, []
+    for more in pieces(text, size):
+        words = words[-(shingle - 1) :] + more if shingle > 1 else more
+        some = [digest(b" ".join(w), SEED) for w in zip(*(words[i:] for i in range(shingle)))]
         bits = np.unpackbits(np.array(some, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
+        total += len(some)
+    if not total:
+        return xxhash.xxh64_intdigest(b" ".join(words), SEED) if words else 0
     return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text: str = "text", tie: str | None = None) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit integer; with ``tie``, that column too."""
-    fields = [("doc_id", pa.int64()), ("fp", pa.int64())] + [("tie", pa.int64())] * bool(tie)
-    schema, names = pa.schema(fields), ["doc_id", "text"] + ["tie"] * bool(tie)
+def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fp): the fingerprint as a signed 64-bit integer."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def hashed(batches):
         def rows():
             for batch in batches:
-                for doc, body, *rest in rows_of(batch, *names):
+                for doc, body in rows_of(batch, "doc_id", "text"):
                     fp = fingerprint(body, shingle)
-                    yield doc, fp - (1 << 64) if fp >> 63 else fp, *rest
+                    yield doc, fp - (1 << 64) if fp >> 63 else fp
 
         yield from batched(rows(), schema)
 
-    plain = docs.selectExpr(f"cast({doc_id} as bigint) as doc_id", f"cast({text} as string) as text", *[f"{tie} as tie"] * bool(tie))
-    return plain.mapInArrow(hashed, "doc_id long, fp long" + ", tie long" * bool(tie))
+    return docs.selectExpr(f"cast({doc_id} as bigint) as doc_id", f"cast({text} as string) as text").mapInArrow(hashed, "doc_id long, fp long")
 
 
 class BKTree:
-    """Built from the top: an array's first item is the node, the rest go to children by their distance to it."""
-
-    LEAF = 24
+    """One node an item. Nodes are built level by level: of the items that took the same edges so far the first becomes
+    a node, and the others go on by their distance to it. ``children[node, d]`` to ``children[node, d + 1]`` are the
+    nodes below the edge ``d``, of which there is one at most."""
 
     def __init__(self, items: np.ndarray):
-        self.items = items
-        self.root = self._node(np.arange(len(items)))
-
-    def _node(self, at: np.ndarray):
-        """A leaf is its items' places; a node is (place, {distance: child})."""
-        if len(at) <= self.LEAF:
-            return at
-        rest = at[1:]
-        far = np.bitwise_count(self.items[rest] ^ self.items[at[0]])
-        order = np.argsort(far, kind="stable")
-        keys, first = np.unique(far[order], return_index=True)
-        return int(at[0]), {int(d): self._node(part) for d, part in zip(keys, np.split(rest[order], first[1:]))}
+        n = len(items)
+        self.place = np.zeros(n, np.int64)  # of a node's item
+        self.levels = 0
+        self.children = np.zeros((n, 67), np.int32)
+        waiting, group, nodes = np.arange(n), np.zeros(n, np.int64), 0
+        owners = np.zeros(0, np.int64)
+        while len(waiting):
+            keys, first, group = np.unique(group, return_index=True, return_inverse=True)
+            own = nodes + np.arange(len(keys))
+            self.place[own] = waiting[first]
+            if self.levels:
+                # Nodes of this level are in the order of (parent, distance), which ``keys`` holds as one number.
+                counts = np.zeros((len(owners), 66), np.int64)
+                counts[keys // 66, keys % 66] = 1
+                ends = nodes + np.cumsum(counts, axis=None).reshape(counts.shape)
+                self.children[owners, 1:] = ends
+                self.children[owners, 0] = np.concatenate([[nodes], ends[:-1, -1]])
+            rest = np.ones(len(waiting), bool)
+            rest[first] = False
+            waiting, group = waiting[rest], group[rest]
+            far = np.bitwise_count(items[waiting] ^ items[self.place[own][group]]).astype(np.int64)
+            group = group * 66 + far
+            owners, nodes = own, nodes + len(own)
+            self.levels += 1
+        self.values = items[self.place] if n else items
 
     def near(self, queries: np.ndarray, radius: int):
-        """Yield (places of queries, places of items) within the radius; all queries go down together."""
-        stack = [(self.root, np.arange(len(queries)))]
-        while stack:
-            node, who = stack.pop()
-            if isinstance(node, np.ndarray):
-                for place in node:
-                    hit = who[np.bitwise_count(queries[who] ^ self.items[place]) <= radius]
-                    if len(hit):
-                        yield hit, int(place)
-                continue
-            place, children = node
-            far = np.bitwise_count(queries[who] ^ self.items[place]).astype(np.int16)
-            hit = who[far <= radius]
-            if len(hit):
-                yield hit, place
-            for key, child in children.items():
-                inside = who[np.abs(far - key) <= radius]
-                if len(inside):
-                    stack.append((child, inside))
+        """Yield arrays (places of queries, places of items) within the radius; the queries go down together."""
+        who, node = np.arange(len(queries)), np.zeros(len(queries), np.int64)
+        while len(who):
+            far = np.bitwise_count(queries[who] ^ self.values[node]).astype(np.int64)
+            hit = far <= radius
+            if hit.any():
+                yield who[hit], self.place[node[hit]]
+            low = self.children[node, np.maximum(far - radius, 0)].astype(np.int64)
+            count = self.children[node, np.minimum(far + radius, 65) + 1] - low
+            who, total = np.repeat(who, count), int(count.sum())
+            node = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(total) if total else np.zeros(0, np.int64)
 
 
 def forest(tree_items: np.ndarray, queries: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -117,40 +140,47 @@ def forest(tree_items: np.ndarray, queries: np.ndarray, radius: int) -> list[tup
             x = int(parent[x])
         return x
 
-    edges = []
-    for hits, place in BKTree(tree_items).near(queries, radius):
-        other = root(n + place)
-        # Most hits of a dense shard are joined already; only those with another label are looked at one by one.
-        for q in hits[parent[hits] != other].tolist():
-            r = root(q)
-            if r != other:
-                edges.append((q, n + place))
-                parent[max(r, other)] = min(r, other)
-                other = min(r, other)
+    tree, edges = BKTree(tree_items), []
+    for at in range(0, n, QUERIES):
+        for who, place in tree.near(queries[at : at + QUERIES], radius):
+            a, b = who + at, place + n
+            # Most hits of a dense shard are joined already; only those with another label are looked at one by one.
+            new = parent[a] != parent[b]
+            for x, y in zip(a[new].tolist(), b[new].tolist()):
+                r, s = root(x), root(y)
+                if r != s:
+                    edges.append((x, y))
+                    parent[max(r, s)] = min(r, s)
+            while (up := parent[parent]).tobytes() != parent.tobytes():
+                parent = up
     return edges
 
 
-def shard_keys(fps: DataFrame, radius: int) -> DataFrame:
-    """(fp, choice, masked): the shards of each distinct fingerprint."""
-    blocks = radius + 3
+def shards(fps: DataFrame, radius: int, tree_size: int = TREE_SIZE) -> tuple[DataFrame, int]:
+    """(choice, key, parts, fp): the shards of each distinct fingerprint, and how many of them there are about."""
+    total, blocks = fps.count(), radius + 1
     cuts = [64 * i // blocks for i in range(blocks + 1)]
-    mask = [((1 << (b - a)) - 1) << a for a, b in itertools.pairwise(cuts)]
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    choices = [signed(sum(mask[i] for i in c)) for c in itertools.combinations(range(blocks), 3)]
-    keys = F.array(*[F.struct(F.lit(k).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("masked")) for k, m in enumerate(choices)])
-    return fps.select("fp", F.inline(keys))
-
-
-def links(fps: DataFrame, radius: int = 2, shard_size: int = 256) -> DataFrame:
+    bits = min(64 // blocks, max(0, math.ceil(math.log2(max(1, total) / tree_size))))
+    signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m)
+    ends = [(((1 << bits) - 1) << (b - bits), ((1 << (b - a)) - 1) << a) for a, b in itertools.pairwise(cuts)]
+    keys = F.array(*[F.struct(F.lit(k).alias("choice"), F.col("fp").bitwiseAND(signed(p)).alias("key"), F.col("fp").bitwiseAND(signed(w)).alias("block")) for k, (p, w) in enumerate(ends[: blocks if bits else 1])])
+    dealt = fps.select("fp", F.inline(keys))
+    crowded = materialize(dealt.groupBy("choice", "key").agg(F.count("*").alias("n")).where(F.col("n") > 2 * tree_size).select("choice", "key"), "crowded")
+    one = F.lit(1).alias("parts")
+    if crowded.isEmpty():
+        return dealt.select("choice", "key", one, "fp"), blocks << bits
+    by_block = dealt.join(crowded, ["choice", "key"], "left_semi").select((F.col("choice") + blocks).alias("choice"), F.col("block").alias("key"), "fp")
+    sizes = materialize(by_block.groupBy("choice", "key").agg(F.ceil(F.count("*") / tree_size).cast("int").alias("parts")), "parts")
+    rest = dealt.join(crowded, ["choice", "key"], "left_anti").select("choice", "key", one, "fp")
+    return rest.unionByName(by_block.join(sizes, ["choice", "key"]).select("choice", "key", "parts", "fp")), (blocks << bits) + sizes.count()
+
+
+def links(fps: DataFrame, radius: int = 2, tree_size: int = TREE_SIZE) -> DataFrame:
     """Forest edges (a, b) between distinct fingerprints that connect every linked pair."""
-    keys = materialize(shard_keys(fps, radius), "keys")
-    sizes = keys.groupBy("choice", "masked").agg(F.count("*").alias("size")).where("size > 1")
-    sized = keys.join(sizes, ["choice", "masked"]).withColumn("parts", F.ceil(F.col("size") / shard_size).cast("int"))
+    sharded, count = shards(fps, radius, tree_size)
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    sized = sized.withColumn("part", part)
     units = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
-    dealt = sized.select("choice", "masked", "part", "fp", F.inline(units))
-
+    dealt = sharded.withColumn("part", part).select("choice", "key", "part", "fp", F.inline(units))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def trees(batches):
@@ -158,10 +188,7 @@ def links(fps: DataFrame, radius: int = 2, shard_size: int = 256) -> DataFrame:
             i, j = unit[2:]
             items = np.array(fps_, np.int64).view(np.uint64)
             side = np.array(parts)
-            if i == j:
-                tree, queries = items, items
-            else:
-                tree, queries = items[side == i], items[side == j]
+            tree, queries = (items, items) if i == j else (items[side == i], items[side == j])
             if len(tree) and len(queries) and len(items) > 1:
                 both = np.concatenate([queries, tree]).view(np.int64)
                 for x, y in forest(tree, queries, radius):
@@ -171,11 +198,11 @@ def links(fps: DataFrame, radius: int = 2, shard_size: int = 256) -> DataFrame:
         def rows():
             unit, held, parts = None, [], []
             for batch in batches:
-                for c, m, i, j, fp, p in rows_of(batch, "choice", "masked", "i", "j", "fp", "part", step=4096):
-                    if unit != (c, m, i, j):
+                for *found, fp, p in rows_of(batch, "choice", "key", "i", "j", "fp", "part", step=4096):
+                    if unit != found:
                         if unit is not None:
                             yield from of(unit, held, parts)
-                        unit, held, parts = (c, m, i, j), [], []
+                        unit, held, parts = found, [], []
                     held.append(fp)
                     parts.append(p)
             if unit is not None:
@@ -183,7 +210,8 @@ def links(fps: DataFrame, radius: int = 2, shard_size: int = 256) -> DataFrame:
 
         yield from batched(rows(), schema)
 
-    by_unit = dealt.repartition("choice", "masked", "i", "j").sortWithinPartitions("choice", "masked", "i", "j", "fp")
+    tasks = min(count, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    by_unit = dealt.repartition(tasks, "choice", "key", "i", "j").sortWithinPartitions("choice", "key", "i", "j", "fp")
     return by_unit.mapInArrow(trees, "a long, b long").distinct()
 
 
@@ -191,14 +219,16 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label) of the nodes in ``edges`` (a, b): label is one node of the component.
 
     Each round hooks trees on their neighbours' grandparents and shortcuts, so the rounds grow with the logarithm of
-    the longest path; minima are aggregated before the shuffle, and each round is a table in the shared folder.
+    the longest path; minima are aggregated before the shuffle, and each round is a table in the shared folder. Nodes
+    with many edges and labels with many nodes are joined apart from the rest.
     """
     both = materialize(edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
+    hubs = hot_keys(both, "b")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "labels")
     while True:
         upper = labels.select(F.col("node").alias("label"), F.col("label").alias("grand"))
-        seen = materialize(labels.join(upper, "label").select("node", "label", "grand"), "grand")
-        near = both.join(seen.select(F.col("node").alias("b"), F.col("grand").alias("offer")), "b").groupBy("a").agg(F.min("offer").alias("offer"))
+        seen = materialize(join_unique(labels, upper, "label").select("node", "label", "grand"), "grand")
+        near = join_unique(both, seen.select(F.col("node").alias("b"), F.col("grand").alias("offer")), "b", hubs).groupBy("a").agg(F.min("offer").alias("offer"))
         offered = materialize(seen.join(near, seen["node"] == near["a"]).select("node", "label", "grand", "offer"), "offers")
         moves = offered.select(F.inline(F.array(
             F.struct(F.col("node"), F.least("offer", "grand").alias("label")),
@@ -211,27 +241,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def owners(by_doc: DataFrame, radius: int) -> DataFrame:
-    """(fp, label, component_id) of the distinct fingerprints in (doc_id, fp)."""
+    """(fp, component_id) of the distinct fingerprints in (doc_id, fp)."""
     fps = materialize(by_doc.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     labels = components(links(fps.select("fp"), radius))
-    labelled = fps.join(labels, fps["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    named = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    return materialize(labelled.join(named, "label").select("fp", "label", "component_id"), "owners")
+    labelled = materialize(fps.join(labels, fps["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label")), "labelled")
+    named = materialize(labelled.groupBy("label").agg(F.min("least").alias("component_id")), "named")
+    return materialize(join_unique(labelled, named, "label").select("fp", "component_id"), "owners")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id): the least doc_id reachable over links."""
     by_doc = materialize(fingerprints(docs, shingle, doc_id, text), "fingerprints")
-    named = owners(by_doc, radius)
-    return by_doc.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def deduplicate(docs: DataFrame, shingle: int = 3, radius: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, all columns, with one of each component: that with the least doc_id, then the least text hash."""
-    tie = F.xxhash64(F.col(text), F.lit(1))
-    by_doc = materialize(fingerprints(docs.withColumn("_tie", tie), shingle, doc_id, text, "_tie"), "fingerprints")
-    best = by_doc.join(owners(by_doc, radius).select("fp", "label"), "fp").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie")).alias("best"))
-    key = lambda d, t: F.xxhash64(d, F.lit(2), t)
-    keepers = materialize(best.select(key(F.col("best.doc_id"), F.col("best.tie")).alias("_key"), F.col("best.tie").alias("_tie")), "keepers")
-    tagged = docs.withColumn("_tie", tie).withColumn("_key", key(F.col(doc_id).cast("long"), F.col("_tie")))
-    return tagged.join(keepers, ["_key", "_tie"], "left_semi").dropDuplicates(["_key", "_tie"]).drop("_key", "_tie")
+    named = join_unique(by_doc, owners(by_doc, radius), "fp")
+    return named.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -6,12 +6,15 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that setting is missing (local runs)."""
+    """The folder in ``spark.checkpoint.dir``. Where that is unset a temporary folder serves a local master only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -32,5 +35,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hot_keys(df: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """(key) of the keys that hold more than one in ``share`` of the rows, of which there are fewer than ``share``."""
+    counts = df.groupBy(key).agg(F.count("*").alias("_n"))
+    total = df.count()
+    return materialize(counts.where(F.col("_n") * share > total).select(key), "hot")
+
+
+def join_unique(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None = None) -> DataFrame:
+    """Inner join on ``key``, which is unique in ``right`` while a few keys may hold much of ``left``.
+
+    Rows of ``left`` with a hot key stay where they are and meet a broadcast of fewer than 1,000 rows; the others
+    are joined as Spark chooses, and none of their keys has more than a thousandth of the rows.
+    """
+    hot = hot_keys(left, key) if hot is None else hot
+    few = right.join(F.broadcast(hot), key, "left_semi")
+    apart = left.join(F.broadcast(few), key)
+    return apart.unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

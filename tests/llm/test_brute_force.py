@@ -160,12 +160,57 @@ def test_bk_forest_connects_all_links():
     assert roots([(a % n, b % n) for a, b in edges]) == roots(exact)
 
 
-def test_divided_shards_lose_no_link(spark):
-    base = 0x0123456789ABCDEF
-    fps = sorted({base ^ (1 << a) ^ (1 << b) for a in range(64) for b in range(a)} | {base})
-    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
-    labels = simhash_bk.components(simhash_bk.links(df, 2, shard_size=50))
-    assert labels.count() == len(fps) and labels.select("label").distinct().count() == 1
+def clusters(n, seed):
+    """Distinct fingerprints around a few centres and anywhere."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    flip = lambda size: np.uint64(1) << rng.integers(0, 64, size, dtype=np.uint64)
+    centres = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
+    near = rng.choice(centres, n // 2) ^ flip(n // 2) ^ flip(n // 2) ^ flip(n // 2)
+    return np.unique(np.concatenate([near, rng.integers(0, 1 << 63, n - n // 2, dtype=np.uint64)]))
+
+
+@pytest.mark.parametrize("tree_size", [50, 400, 100_000])
+def test_shards_of_thousands_lose_no_link(spark, tree_size):
+    import numpy as np
+
+    items = clusters(4000, tree_size)
+    label = np.arange(len(items))
+    far = [np.flatnonzero(np.bitwise_count(items ^ x) <= 2) for x in items]
+    while any((label[f] != label[f].min()).any() for f in far):
+        for f in far:
+            label[f] = label[f].min()
+    df = spark.createDataFrame([(int(x),) for x in items.view(np.int64)], "fp long")
+    got = {r.node: r.label for r in simhash_bk.components(simhash_bk.links(df, 2, tree_size)).collect()}
+    named = np.array([got.get(x, x) for x in items.view(np.int64).tolist()])
+    assert all(len(set(named[label == k])) == 1 for k in set(label.tolist())) and len(set(named)) == len(set(label.tolist()))
+
+
+def test_trees_follow_only_edges_within_the_radius(spark):
+    """The trees of sf0.1 have inner nodes, and find what a scan finds."""
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").repartition(8)
+    items = np.array([r.fp for r in simhash_bk.fingerprints(docs).select("fp").distinct().collect()]).view(np.uint64)
+    tree = simhash_bk.BKTree(items)
+    inner = int((tree.children[:, 66] > tree.children[:, 0]).sum())
+    assert sorted(tree.place.tolist()) == list(range(len(items))) and inner > len(items) // 5 and tree.levels > 4
+    queries = items[::50]
+    found = {(int(a), int(b)) for who, place in tree.near(queries, 2) for a, b in zip(who, place)}
+    assert found == {(k, int(j)) for k, q in enumerate(queries) for j in np.flatnonzero(np.bitwise_count(items ^ q) <= 2)}
+    for node in np.flatnonzero(tree.children[:, 66] > tree.children[:, 0])[:200]:
+        for d in range(66):
+            below = tree.children[node, d + 1] - tree.children[node, d]
+            assert below in (0, 1)
+            if below:
+                assert int(tree.values[node] ^ tree.values[tree.children[node, d]]).bit_count() == d
+
+
+def test_long_texts_are_hashed_in_pieces():
+    text = " ".join(f"Word{k % 77} \t\n é{k % 13}" for k in range(3000))
+    assert all(simhash_bk.fingerprint(text, 3, size) == simhash(text) for size in (1, 10, 1000, 1 << 20))
+    assert simhash_bk.fingerprint("a b", 3, 1) == simhash("a b") and simhash_bk.fingerprint(" \n", 3, 1) == 0
 
 
 def test_prefix_hashes():
