@@ -14,7 +14,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import corpus_pipeline
-from test_brute_force import counts, simhash
+from test_brute_force import counts
+from test_near_copies import plain_groups
 from test_operators_llm import poisson
 
 from quire.llm import poisson_mix
@@ -43,15 +44,7 @@ def test_stages(spark):
     assert {r.doc_id for r in given} - {r.doc_id for r in kept} == {10_002}
 
     given, kept, _ = seen["simhash_dedup"]
-    fps = [simhash(r.text) for r in given]
-    label = list(range(len(given)))
-    moved = True
-    while moved:
-        moved = False
-        for i, a in enumerate(fps):
-            for j, b in enumerate(fps):
-                if label[j] > label[i] and (a ^ b).bit_count() <= 2:
-                    label[j], moved = label[i], True
+    label = plain_groups([r.text for r in given])
     groups = {}
     for r, k in zip(given, label):
         groups.setdefault(k, []).append((r.doc_id is None, r.doc_id))
