@@ -46,7 +46,7 @@ def test_chat_round_trip(spark):
     assert len(back[2].parsed) == 2 and len(back) == 3
     for r in formatted.collect():
         learnt = [unescape(r.formatted[s.start : s.end]) for s in r.loss_spans]
-        assert learnt == [p.text for p in back[r.conv_id].parsed if p.role == "assistant"]
+        assert learnt == back[r.conv_id].learnt == [p.text for p in back[r.conv_id].parsed if p.role == "assistant"]
     got = {r.conv_id: r for r in chat_format.digest(chat_format.read_back(formatted)).collect()}
     assert got[1].turns_sha256 == hashlib.sha256("".join(f"{r or ''}\n{t or ''}\n" for _, _, r, t in rows[:9]).encode()).hexdigest()
     assert chat_format.digest(chat_format.read_back(chat_format.format_turns(chat_format.canonical_turns(df.limit(0), "conv_id")))).count() == 0
@@ -66,15 +66,21 @@ def test_layouts(spark):
         assert [tuple(t) for t in chat_format.canonical_turns(df, "id").first().turns] == [("user", "q"), ("assistant", "a")]
     with pytest.raises(ValueError):
         chat_format.select_mapping(spark.range(1).schema)
+    no_input = spark.createDataFrame([(1, "q", "a")], "id long, instruction string, output string")
+    assert [tuple(t) for t in chat_format.canonical_turns(no_input, "id").first().turns] == [("user", "q"), ("assistant", "a")]
+    both = no_input.withColumn("prompt", F.lit("p")).withColumn("completion", F.lit("c")).withColumn("input", F.lit("i"))
+    assert chat_format.select_mapping(both.schema).name == "instruction" and chat_format.select_mapping(both.drop("output").schema).name == "prompt"
 
 
 def test_mixed_records(spark):
-    payloads = [{"prompt": "q", "completion": "a"}, {"question": "q", "answer": "a"}, {"instruction": "q", "input": "i", "output": "a"}, {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}, {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": None}]}, {"other": 1}]
-    df = spark.createDataFrame([(i, json.dumps(p)) for i, p in enumerate(payloads)] + [(9, "not json"), (10, None)], "id long, payload string")
+    payloads = [{"prompt": "q", "completion": "a"}, {"question": "q", "answer": "a"}, {"instruction": "q", "input": "i", "output": "a"}, {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}, {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": None}]}, {"other": 1},
+        {"prompt": "q", "completion": "a", "id": 3}, {"messages": [], "n": {"x": 1}}, {"instruction": "q", "output": 7}, {"conversations": [{"from": "human", "value": "q", "weight": 0.5}, {"value": ["a"], "from": "x"}], "prompt": None}, {"messages": ["a"]}, ["messages"]]
+    df = spark.createDataFrame([(i, json.dumps(p)) for i, p in enumerate(payloads)] + [(19, "not json"), (20, None)], "id long, payload string")
     got = {r.conv_id: r.turns and [tuple(t) for t in r.turns] for r in chat_format.canonical_records(df, "id", "payload").collect()}
     assert got[0] == got[1] == got[3] == [("user", "q"), ("assistant", "a")]
     assert got[2] == [("user", "q\n\ni"), ("assistant", "a")] and got[4] == [("user", "q"), ("assistant", "")]
-    assert got[5] is got[9] is got[10] is None
+    assert got[5] is got[10] is got[11] is got[19] is got[20] is None
+    assert got[6] == [("user", "q"), ("assistant", "a")] and got[7] == [] and got[8] == [("user", "q"), ("assistant", "7")] and got[9] == [("user", "q"), ("x", '["a"]')]
 
 
 def poisson(u, mean):
