@@ -5,10 +5,13 @@ below 64 have a bucket each, above that a bucket keeps the six leading bits (rel
 has a few hundred counters at most and two sketches merge by adding counts. Sketches are made per (language, source),
 merged into languages and into one for all; a group with fewer than ``min_docs`` documents takes the sketch of its
 language, then of all. A threshold lies ``reach`` quartile ranges beyond the quartiles plus a slack that shrinks
-with the document's length, since a short text's ratios scatter more. Documents join the thresholds of their group.
+with the document's length, since a short text's ratios scatter more. Documents join the thresholds of their group;
+groups with much of all rows are joined apart from the rest.
 
 Defined cases: a null or empty text has no words and fails the base rules; null languages and sources are groups of
-their own; repeated rows each count; an empty table gives an empty result; other columns are kept as they are.
+their own; repeated rows each count; an empty table gives an empty result; other columns are kept as they are, whatever
+their names, except that the counts, ``base_failed`` and ``kept`` replace columns of these names. A text of any length
+is counted whole, within one row, in arrays of its words' hashes.
 """
 
 from __future__ import annotations
@@ -18,13 +21,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.storage import materialize
+from quire.llm.storage import join_unique, materialize, own_names, pack
 
 #: The word separators of the contract: space and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
-#: Columns that this operator adds; inputs with these names are replaced.
+#: Columns that this operator adds.
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MEASURES = ("symbol_pm", "dup_pm", "repeat_pm", "word_len_c")
 
@@ -59,27 +62,29 @@ def repeated_words(hashes: Column) -> Column:
     return let(windows, covered)
 
 
-def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add the counts of the contract, ``n_lines`` (with a word) and ``base_failed``."""
-    kept = [c for c in docs.columns if c not in (*COUNTS, *MEASURES, "n_lines", "base_failed", "kept")]
-    body = F.coalesce(F.col(text), F.lit(""))
+def with_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """(_row, lang_key, source_key, counts of the contract, n_lines with a word, base_failed); ``_row`` is the document."""
+    row, at, _ = pack(docs)
+    kept = ("_row", group_key(at(lang)).alias("lang_key"), group_key(at(source)).alias("source_key"))
+    body = F.coalesce(at(text), F.lit(""))
     inner = F.trim(body, F.lit(SPACE))
     words = F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, r"[ \x09-\x0D]+"))
     lines = F.filter(F.split(body, "\n"), lambda x: F.trim(x, F.lit(SPACE)) != "")
-    without = lambda drop: F.length(body) - F.length(F.translate(body, drop, ""))
     # Each array is bound once inside its own expression: a filter on the counts may be pushed below them.
     by_word = let(F.transform(words, lambda x: F.xxhash64(x)), lambda hs: F.struct(F.size(hs).alias("n"), repeated_words(hs).alias("twice")))
     by_line = let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d")))
-    df = docs.select(*kept, by_word.alias("_words"), by_line.alias("_lines"))
+    df = docs.toDF(*own_names(docs)).select(*row).select(*kept, body.alias("body"), by_word.alias("words"), by_line.alias("lines"))
+    body = F.col("body")
+    without = lambda drop: F.length(body) - F.length(F.translate(body, drop, ""))
     df = df.select(
-        *kept,
-        F.col("_words.n").cast("long").alias("n_words"),
+        "_row", "lang_key", "source_key",
+        F.col("words.n").cast("long").alias("n_words"),
         (F.length(body) - without(SPACE)).cast("long").alias("word_chars"),
         without(SYMBOLS).cast("long").alias("n_symbols"),
-        (F.col("_lines.n") - F.col("_lines.d")).cast("long").alias("n_dup_lines"),
-        F.col("_words.twice").alias("n_repeat_words"),
-        F.col("_lines.n").cast("long").alias("n_lines"),
-    )
+        (F.col("lines.n") - F.col("lines.d")).cast("long").alias("n_dup_lines"),
+        F.col("words.twice").alias("n_repeat_words"),
+        F.col("lines.n").cast("long").alias("n_lines"),
+    )
     return df.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
@@ -94,14 +99,14 @@ def bucket(value: Column) -> Column:
     return F.when(value < 64, value).otherwise(F.call_function("shiftleft", F.call_function("shiftright", value, shift), shift))
 
 
-def group_key(c: str) -> Column:
-    return F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("?"))
+def group_key(c: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("?"))
 
 
 def sketches(counted: DataFrame) -> DataFrame:
     """(lang_key, source_key, measure, bucket, n) over the documents that pass the base rules."""
     pairs = F.array(*[F.struct(F.lit(k).alias("measure"), bucket(m).alias("bucket")) for k, m in enumerate(measures())])
-    return counted.where(~F.col("base_failed")).select(group_key("lang").alias("lang_key"), group_key("source").alias("source_key"), F.inline(pairs)).groupBy("lang_key", "source_key", "measure", "bucket").agg(F.count("*").alias("n"))
+    return counted.where(~F.col("base_failed")).select("lang_key", "source_key", F.inline(pairs)).groupBy("lang_key", "source_key", "measure", "bucket").agg(F.count("*").alias("n"))
 
 
 def merged(sketch: DataFrame) -> DataFrame:
@@ -155,10 +160,16 @@ def judge(docs: DataFrame, rules: Rules = Rules(), columns: list[str] | None = N
 
     The counted table is written once in the shared folder, since both the sketches and the filter read it.
     """
-    need = list(dict.fromkeys([*(docs.columns if columns is None else columns), "lang", "source"]))
-    counted = materialize(with_counts(docs).select(*[c for c in need if c not in COUNTS], *COUNTS, "n_lines", "base_failed"), "counted")
-    limits = materialize(thresholds(counted, rules), "thresholds")
-    keyed = counted.withColumn("lang_key", group_key("lang")).withColumn("source_key", group_key("source"))
-    joined = keyed.join(limits, ["lang_key", "source_key"], "left").withColumn("kept", verdict(rules))
-    out = [c for c in (docs.columns if columns is None else columns) if c not in COUNTS]
-    return joined.select(*out, *COUNTS, "base_failed", "kept")
+    added = (*COUNTS, "base_failed", "kept")
+    shown = [c for c in (docs.columns if columns is None else columns) if c not in added]
+    need = docs.select(*dict.fromkeys([*shown, "lang", "source", "text"]))
+    row, _, back = pack(need, shown)
+    wanted = with_counts(need)
+    if "text" not in shown:
+        wanted = wanted.withColumn("_row", F.col("_row").dropFields(own_names(need)[need.columns.index("text")]))
+    counted = materialize(wanted, "counted")
+    limits = thresholds(counted, rules)
+    groups = counted.select("lang_key", "source_key").distinct().join(limits, ["lang_key", "source_key"], "left")
+    limits = materialize(groups.select(F.struct("lang_key", "source_key").alias("group"), "low", "high"), "thresholds")
+    keyed = counted.withColumn("group", F.struct("lang_key", "source_key"))
+    return join_unique(keyed, limits, "group").select(*back, *COUNTS, "base_failed", verdict(rules).alias("kept"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -45,14 +46,33 @@ def hot_keys(df: DataFrame, key: str, share: int = 1000) -> DataFrame:
 def join_unique(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None = None) -> DataFrame:
     """Inner join on ``key``, which is unique in ``right`` while a few keys may hold much of ``left``.
 
-    Rows of ``left`` with a hot key stay where they are and meet a broadcast of fewer than 1,000 rows; the others
-    are joined as Spark chooses, and none of their keys has more than a thousandth of the rows.
+    ``right`` is broadcast if it has at most 1,000 rows. Else rows of ``left`` with a hot key stay where they are and
+    meet a broadcast of fewer than 1,000 rows; the others are joined as Spark chooses, and none of their keys has more
+    than a thousandth of the rows. Both sides should be tables, as they are read more than once.
     """
+    if right.limit(1001).count() <= 1000:
+        return left.join(F.broadcast(right), key)
     hot = hot_keys(left, key) if hot is None else hot
     few = right.join(F.broadcast(hot), key, "left_semi")
     apart = left.join(F.broadcast(few), key)
     return apart.unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key))
 
 
+def pack(docs: DataFrame, columns: list[str] | None = None) -> tuple[list[Column], Callable[[str], Column], list[Column]]:
+    """What lets an operator add columns without a clash: (row, at, back).
+
+    ``docs.toDF(*own_names(docs)).select(*row)`` has the one column ``_row``; ``at(name)`` is a field of it, and ``back``
+    are the columns (all, or those named) under their names again.
+    """
+    names = own_names(docs)
+    at = lambda c: F.col(f"_row.{names[docs.columns.index(c)]}")
+    back = [F.col(f"_row.{n}").alias(c) for n, c in zip(names, docs.columns) if columns is None or c in columns]
+    return [F.struct(*names).alias("_row")], at, back
+
+
+def own_names(docs: DataFrame) -> list[str]:
+    return [f"c{k}" for k in range(len(docs.columns))]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
