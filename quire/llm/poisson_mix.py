@@ -5,9 +5,11 @@ doc_id, with its source's target repetition rate as the mean. The document is ex
 are dealt over the cluster by a hash of (seed, doc_id, copy), then ordered by it in each partition: a global shuffle.
 
 The mean rate of a source is ``epochs * total * weight / size``. Rates above ``PART`` are split into equal parts whose
-independent draws are added, so no rate is cut off. Defined cases: a null source is a source of its own; a null
-doc_id hashes as an empty one; rows with the same doc_id draw the same count; a null or empty text has size 0, a
-source of size 0 has rate 0; an empty table gives an empty result. Columns of the input are kept.
+independent draws are added, so no rate is cut off. Defined cases: a null source is a source of its own; a document
+without a doc_id is hashed by its text instead; rows with the same doc_id draw the same count, and copies with equal
+shuffle keys are ordered by their texts' hashes; a null or empty text has size 0, a source of size 0 has rate 0; very
+long texts are only copied; an empty table gives an empty result. Columns of the input are kept, whatever their names,
+except that ``rate``, ``n_copies``, ``copy_no`` and ``shuffle_key`` replace columns of these names.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.storage import materialize
+from quire.llm.storage import join_unique, materialize, own_names, pack
 
 #: Largest mean of one draw; at 200 the tail of a Poisson distribution with this mean is below 1e-90.
 PART, LONGEST = 32.0, 200
@@ -23,7 +25,12 @@ PART, LONGEST = 32.0, 200
 
 def uniform(seed: int, salt: Column, key: Column) -> Column:
     """In [0, 1), from the first 52 bits of an MD5 digest."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), salt.cast("string"), F.coalesce(key.cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), salt.cast("string"), key)), 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
+
+
+def identity(doc_id: Column, text: Column) -> Column:
+    """What a document is hashed by."""
+    return F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(text.cast("string"), F.lit("")))))
 
 
 def source_rates(docs: DataFrame, temperature: float = 0.5, epochs: float = 1.0, source: str = "source", text: str = "text") -> DataFrame:
@@ -49,22 +56,32 @@ def with_distribution(rated: DataFrame) -> DataFrame:
     return parts.select("_source", "rate", "parts", cdf.alias("_cdf")).select("_source", "rate", "parts", F.slice(F.array_distinct("_cdf"), 1, F.greatest(F.size(F.array_distinct("_cdf")) - 1, F.lit(1))).alias("cdf"))
 
 
-def replicate(docs: DataFrame, rates: DataFrame, seed: int = 17, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
+ADDED = ("rate", "n_copies", "copy_no", "shuffle_key")
+
+
+def replicate(docs: DataFrame, rates: DataFrame, seed: int = 17, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """One row a copy: the document's columns, ``rate``, ``n_copies``, ``copy_no`` and ``shuffle_key``; not yet shuffled."""
+    row, at, back = pack(docs, [c for c in docs.columns if c not in ADDED])
+    group = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("?")).alias("group")
+    body = at(text) if text in docs.columns else F.lit(None)
+    own = docs.toDF(*own_names(docs)).select(*row).select("_row", group(at(source)), identity(at(doc_id), body).alias("key"), F.xxhash64(body).alias("tie"))
+    joined = join_unique(own, rates.select(group(F.col("_source")), "rate", "parts", "cdf"), "group")
     count = F.aggregate(
         F.sequence(F.lit(0), F.col("parts") - 1),
         F.lit(0).cast("long"),
-        lambda acc, j: acc + F.size(F.filter("cdf", lambda c: c <= uniform(seed, j, F.col(doc_id)))),
+        lambda acc, j: acc + F.size(F.filter("cdf", lambda c: c <= uniform(seed, j, F.col("key")))),
     )
-    joined = docs.join(rates, docs[source].eqNullSafe(rates["_source"]), "left").drop("_source")
-    counted = joined.withColumn("n_copies", count).where(F.col("n_copies") > 0).drop("parts", "cdf")
+    counted = joined.select("_row", "key", "tie", "rate", count.alias("n_copies")).where(F.col("n_copies") > 0)
     copies = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))))
-    return copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("deal"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col("copy_no").cast("string"))))
+    dealt = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("deal"), F.col("key"), F.col("copy_no").cast("string")))
+    return copies.select(*back, "rate", "n_copies", "copy_no", dealt.alias("shuffle_key"), F.col("tie").alias("_tie"))
 
 
 def mix(docs: DataFrame, temperature: float = 0.5, epochs: float = 1.0, seed: int = 17) -> DataFrame:
     """Replicate to the target weights and shuffle globally."""
-    clash = [c for c in ("rate", "n_copies", "copy_no", "shuffle_key", "parts", "cdf", "_source") if c in docs.columns]
-    docs = docs.drop(*clash)
     rates = materialize(source_rates(docs, temperature, epochs), "rates")
-    return replicate(docs, rates, seed).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    copies = replicate(docs, rates, seed)
+    out = copies.columns[:-1]
+    plain = copies.toDF(*own_names(copies))  # the last column is the tie, whatever names the input has
+    key, tie = plain.columns[-2:]
+    return plain.repartition(key).sortWithinPartitions(key, tie).drop(tie).toDF(*out)

@@ -141,7 +141,7 @@ with recursive sizes as (
   select source, rate, parts, k + 1, p * (rate / parts) / (k + 1), c + p * (rate / parts) / (k + 1) from cdf where k < 200
 ), draws as (
   select d.doc_id, d.source, d.text, p.rate, j.j,
-    cast('0x' || substr(md5('17:' || j.j || ':' || coalesce(cast(d.doc_id as varchar), '')), 1, 13) as bigint) / 4503599627370496e0 as u
+    cast('0x' || substr(md5('17:' || j.j || ':' || coalesce(cast(d.doc_id as varchar), 'text:' || md5(coalesce(d.text, '')))), 1, 13) as bigint) / 4503599627370496e0 as u
   from documents d join parted p on d.source is not distinct from p.source, lateral (select unnest(range(p.parts)) as j) j
 ), tops as (
   select source, max(c) as top from cdf group by source
@@ -152,7 +152,7 @@ with recursive sizes as (
   group by all
 )
 select doc_id, source, round(rate, 6) as rate, n_copies, copy_no,
-  md5('17:deal:' || coalesce(cast(doc_id as varchar), '') || ':' || copy_no) as shuffle_key, text
+  md5('17:deal:' || coalesce(cast(doc_id as varchar), 'text:' || md5(coalesce(text, ''))) || ':' || copy_no) as shuffle_key, text
 from (select *, unnest(range(1, n_copies + 1)) as copy_no from counted)""",
     "op7_url_filters": r"""
 with cut as (

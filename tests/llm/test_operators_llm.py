@@ -83,6 +83,11 @@ def test_mixed_records(spark):
     assert got[6] == [("user", "q"), ("assistant", "a")] and got[7] == [] and got[8] == [("user", "q"), ("assistant", "7")] and got[9] == [("user", "q"), ("x", '["a"]')]
 
 
+def named(doc_id, text):
+    """What a document's draw is hashed by."""
+    return f"text:{hashlib.md5((text or '').encode()).hexdigest()}" if doc_id is None else doc_id
+
+
 def poisson(u, mean):
     p = c = math.exp(-mean)
     k = 0
@@ -109,13 +114,37 @@ def test_poisson_counts(spark):
         got.setdefault((r.doc_id, r.source), []).append((r.copy_no, r.n_copies))
     for d, s, t, _ in docs:
         rate, parts = rates[s]
-        want = sum(poisson(int(hashlib.md5(f"17:{j}:{'' if d is None else d}".encode()).hexdigest()[:13], 16) / 2**52, rate / parts) for j in range(parts))
+        want = sum(poisson(int(hashlib.md5(f"17:{j}:{named(d, t)}".encode()).hexdigest()[:13], 16) / 2**52, rate / parts) for j in range(parts))
         assert len(got.get((d, s), [])) == want * sum(1 for x in docs if x[:2] == (d, s))
     assert abs(sum(map(len, got.values())) / sum(rates[s][0] for _, s, _, _ in docs) - 1) < 0.1
     keys = [r.shuffle_key for r in mixed.select("shuffle_key").collect()]
     assert len(set(keys)) >= 0.99 * len(keys) and poisson_mix.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_keeps_columns_and_tells_null_ids_apart(spark):
+    rows = [(None, "s", f"text {i}", i) for i in range(300)] + [(7, "s", "a", 300), (7, "s", "b", 301)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, parts int")
+    for name in ("cdf", "_row", "group", "key", "tie", "_tie", "_source", "c0", "rate"):
+        df = df.withColumn(name, F.lit("mine"))
+    mixed = poisson_mix.mix(df, epochs=2.0)
+    assert mixed.columns == [c for c in df.columns if c != "rate"] + list(poisson_mix.ADDED)
+    got = mixed.collect()
+    assert all(r.cdf == r._tie == r.group == r._source == "mine" for r in got)
+    copies = {r.parts: r.n_copies for r in got}
+    assert len(set(copies.values())) > 2 and copies.get(300) == copies.get(301) and len({r.shuffle_key for r in got if r.doc_id is None}) == sum(r.doc_id is None for r in got)
+
+
+def test_quality_rules_with_clashing_columns(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = {r.doc_id: (r.n_words, r.kept) for r in adaptive_quality.judge(df).collect()}
+    for name in ("low", "high", "_words", "_lines", "lang_key", "source_key", "group", "_row", "c1", "body", "n_words", "kept"):
+        df = df.withColumn(name, F.lit("mine"))
+    judged = adaptive_quality.judge(df)
+    assert judged.columns == [c for c in df.columns if c not in ("n_words", "kept")] + [*adaptive_quality.COUNTS, "base_failed", "kept"]
+    got = judged.collect()
+    assert {r.doc_id: (r.n_words, r.kept) for r in got} == want and all(r.low == r.lang_key == r._words == "mine" for r in got)
+
+
 def test_large_rates_are_split(spark):
     rated = spark.createDataFrame([("a", 100.0), ("b", 0.0), ("c", 0.5)], "_source string, rate double")
     rates = {r._source: r for r in poisson_mix.with_distribution(rated).collect()}

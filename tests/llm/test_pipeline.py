@@ -16,7 +16,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 import corpus_pipeline
 from test_brute_force import counts
 from test_near_copies import plain_groups
-from test_operators_llm import poisson
+from test_operators_llm import named, poisson
 
 from quire.llm import poisson_mix
 from quire.llm.storage import materialize
@@ -55,7 +55,7 @@ def test_stages(spark):
     want = []
     for r in given:
         rate, parts = rates[r.source]
-        n = sum(poisson(int(hashlib.md5(f"17:{j}:{'' if r.doc_id is None else r.doc_id}".encode()).hexdigest()[:13], 16) / 2**52, rate / parts) for j in range(parts))
+        n = sum(poisson(int(hashlib.md5(f"17:{j}:{named(r.doc_id, r.text)}".encode()).hexdigest()[:13], 16) / 2**52, rate / parts) for j in range(parts))
         want += [str(r.doc_id)] * n
     assert sorted(str(r.doc_id) for r in kept) == sorted(want)
 
