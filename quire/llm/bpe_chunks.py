@@ -1,16 +1,18 @@
 """Byte-level BPE encoding and decoding with overlapping chunks.
 
-A text of at most ``chunk`` code points is encoded in one go. A longer one becomes overlapping chunks that are spread
-over the cluster and pre-tokenised in parallel. Scanning from any position, the pre-tokens soon fall into step with
-those of the text; from the first boundary that two neighbouring chunks share in their overlap on, both scans are
-equal, since the pattern looks ahead by one character only and never behind. Each chunk is cut at these shared
-boundaries, the pieces are encoded in parallel, and digests run over a document's pieces in order. Chunks without a
-shared boundary in their overlap (such as one run of letters longer than it) are joined into one piece, which is
-exact at any length. Decoding concatenates the raw bytes of the ids.
+A text becomes chunks of ``chunk`` code points that overlap the next one. Chunks are pre-tokenised in parallel. Scanning
+from any position, the pre-tokens soon fall into step with those of the text; from the first boundary that two
+neighbouring chunks share in their overlap on, both scans are equal, since the pattern looks ahead by one character only
+and never behind. Each chunk is cut at these shared boundaries, the pieces are encoded in parallel, and digests run over
+a document's pieces in order. Chunks without a shared boundary in their overlap (such as one run of letters longer than
+it) are joined into one piece, which is exact at any length. Decoding concatenates the raw bytes of the ids.
+
+A text of at most ``chunk`` code points is one chunk and one piece. It takes the same steps (``chunk_rows``,
+``piece_rows``, ``digest_rows``) in the task that read it, as there is no neighbour to meet over a shuffle.
 
 Defined cases: a null text is empty (no ids); doc_id may be null or repeated, each row is encoded; characters that
-the pre-tokeniser's library may class differently never decide a boundary; other columns are ignored; an empty table
-gives an empty result.
+the pre-tokeniser's library may class differently never decide a boundary; a very long text is spread over the cluster
+by its chunks; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -72,22 +74,21 @@ def boundaries(text: str, start: int, stop: int) -> list[int]:
     return found
 
 
-def split_chunks(docs: DataFrame, chunk: int, overlap: int) -> DataFrame:
-    """(row_key, doc_id, k, n, body): chunk k holds code points k*chunk to (k+1)*chunk+overlap."""
+CHUNKS = "row_key long, doc_id long, k int, n int, body string"
 
-    def split(batches):
-        schema = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("k", pa.int32()), ("n", pa.int32()), ("body", pa.string())])
 
-        def rows():
-            for batch in batches:
-                for key, doc, text in rows_of(batch, "row_key", "doc_id", "text", step=4):
-                    n = -(-len(text) // chunk)
-                    for k in range(n):
-                        yield key, doc, k, n, text[k * chunk : (k + 1) * chunk + (overlap if k + 1 < n else 0)]
+def chunk_rows(batches, chunk: int, overlap: int):
+    """(row_key, doc_id, k, n, body): chunk k of n holds code points k*chunk to (k+1)*chunk+overlap."""
+    for batch in batches:
+        for key, doc, text in rows_of(batch, "row_key", "doc_id", "text", step=64):
+            n = max(1, -(-len(text) // chunk))
+            for k in range(n):
+                yield key, doc, k, n, text[k * chunk : (k + 1) * chunk + (overlap if k + 1 < n else 0)]
 
-        yield from batched(rows(), schema, max_rows=256)
 
-    return docs.withColumn("row_key", F.monotonically_increasing_id()).mapInArrow(split, "row_key long, doc_id long, k int, n int, body string")
+def split_chunks(docs: DataFrame, chunk: int, overlap: int) -> DataFrame:
+    schema = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("k", pa.int32()), ("n", pa.int32()), ("body", pa.string())])
+    return docs.mapInArrow(lambda batches: batched(chunk_rows(batches, chunk, overlap), schema, max_rows=256), CHUNKS)
 
 
 def chunk_boundaries(chunks: DataFrame, chunk: int, overlap: int) -> DataFrame:
@@ -122,71 +123,70 @@ def stitch(bounds: DataFrame) -> DataFrame:
     return cuts.select("row_key", "k", "cut", F.lead("cut").over(by_doc).alias("next_cut"), F.sum(F.col("cut").isNotNull().cast("int")).over(by_doc).alias("piece"))
 
 
-def encode_pieces(chunks: DataFrame, cuts: DataFrame, path: str, chunk: int) -> DataFrame:
-    """(row_key, doc_id, piece, ids): chunks of one piece are neighbours after the shuffle."""
+def piece_rows(rows, path: str, chunk: int):
+    """(row_key, doc_id, piece, ids) of (row_key, doc_id, piece, k, n, cut, next_cut, body), where the chunks of one piece
+    follow each other."""
+    held, texts = None, []
+    for key, doc, piece, k, n, cut, after, body in rows:
+        if held is not None and held != (key, doc, piece):
+            yield *held, encode("".join(texts), path)
+            texts = []
+        held = (key, doc, piece)
+        # A chunk that goes on from the one before starts at 0; one that the next goes on from ends at its size.
+        texts.append(body[cut or 0 : len(body) if k + 1 == n else chunk + (after or 0)])
+    if held is not None:
+        yield *held, encode("".join(texts), path)
+
+
+def digest_rows(pieces, path: str):
+    """Digests over each document's pieces (row_key, doc_id, ids) in order, one piece in memory at a time."""
+    held = None
+    for key, doc, ids in pieces:
+        if held is None or held[0] != key:
+            if held is not None:
+                yield held[1], held[2], held[3].hexdigest(), held[4].hexdigest()
+            held = [key, doc, 0, hashlib.sha256(), hashlib.sha256()]
+        held[2] += len(ids) // 4
+        held[3].update(ids)
+        held[4].update(decode(ids, path))
+    if held is not None:
+        yield held[1], held[2], held[3].hexdigest(), held[4].hexdigest()
 
-    def pieces(batches):
-        schema = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("ids", pa.binary())])
 
-        def rows():
-            held, texts = None, []
-            for batch in batches:
-                for key, doc, piece, k, n, cut, after, body in rows_of(batch, "row_key", "doc_id", "piece", "k", "n", "cut", "next_cut", "body", step=16):
-                    if held is not None and held != (key, doc, piece):
-                        yield *held, encode("".join(texts), path)
-                        texts = []
-                    held = (key, doc, piece)
-                    # A chunk that goes on from the one before starts at 0; one that the next goes on from ends at its size.
-                    texts.append(body[cut or 0 : len(body) if k + 1 == n else chunk + (after or 0)])
-            if held is not None:
-                yield *held, encode("".join(texts), path)
+def encode_in_place(docs: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
+    """All steps in one task, for texts of one chunk: it starts at its own beginning and nothing follows it."""
 
-        yield from batched(rows(), schema, max_rows=64)
+    def steps(batches):
+        alone = ((key, doc, 1, k, n, 0, None, body) for key, doc, k, n, body in chunk_rows(batches, chunk, overlap))
+        yield from batched(digest_rows(((key, doc, ids) for key, doc, _, ids in piece_rows(alone, path, chunk)), path), RESULT)
 
-    cut = chunks.join(cuts, ["row_key", "k"])
-    return cut.repartition("row_key", "piece").sortWithinPartitions("row_key", "piece", "k").mapInArrow(pieces, "row_key long, doc_id long, piece int, ids binary")
+    return docs.mapInArrow(steps, RESULT_DDL)
 
 
-def digest_short(docs: DataFrame, path: str) -> DataFrame:
-    def digests(batches):
-        def rows():
-            for batch in batches:
-                for doc, text in rows_of(batch, "doc_id", "text"):
-                    ids = encode(text, path)
-                    yield doc, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decode(ids, path)).hexdigest()
+def encode_pieces(chunks: DataFrame, cuts: DataFrame, path: str, chunk: int) -> DataFrame:
+    """(row_key, doc_id, piece, ids): chunks of one piece are neighbours after the shuffle."""
+    names = ("row_key", "doc_id", "piece", "k", "n", "cut", "next_cut", "body")
+    schema = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("ids", pa.binary())])
 
-        yield from batched(rows(), RESULT)
+    def pieces(batches):
+        rows = (row for batch in batches for row in rows_of(batch, *names, step=16))
+        yield from batched(piece_rows(rows, path, chunk), schema, max_rows=64)
 
-    return docs.select("doc_id", "text").mapInArrow(digests, RESULT_DDL)
+    cut = chunks.join(cuts, ["row_key", "k"])
+    return cut.repartition("row_key", "piece").sortWithinPartitions("row_key", "piece", "k").mapInArrow(pieces, "row_key long, doc_id long, piece int, ids binary")
 
 
 def digest_pieces(pieces: DataFrame, path: str) -> DataFrame:
-    """Digests over each document's pieces in order, one piece in memory at a time."""
-
     def digests(batches):
-        def rows():
-            held = None
-            for batch in batches:
-                for key, doc, ids in rows_of(batch, "row_key", "doc_id", "ids", step=16):
-                    if held is None or held[0] != key:
-                        if held is not None:
-                            yield held[1], held[2], held[3].hexdigest(), held[4].hexdigest()
-                        held = [key, doc, 0, hashlib.sha256(), hashlib.sha256()]
-                    held[2] += len(ids) // 4
-                    held[3].update(ids)
-                    held[4].update(decode(ids, path))
-            if held is not None:
-                yield held[1], held[2], held[3].hexdigest(), held[4].hexdigest()
-
-        yield from batched(rows(), RESULT)
+        yield from batched(digest_rows((row for batch in batches for row in rows_of(batch, "row_key", "doc_id", "ids", step=16)), path), RESULT)
 
     return pieces.repartition("row_key").sortWithinPartitions("row_key", "piece").mapInArrow(digests, RESULT_DDL)
 
 
 def encode_decode(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int = OVERLAP, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row's text."""
-    plain = docs.selectExpr(f"cast({doc_id} as bigint) as doc_id", f"coalesce(cast({text} as string), '') as text")
-    long = F.length("text") > chunk
-    chunks = materialize(split_chunks(plain.where(long), chunk, overlap).repartition("row_key", "k"), "chunks")
+    plain = docs.selectExpr(f"cast({doc_id} as bigint) as doc_id", f"coalesce(cast({text} as string), '') as text").withColumn("row_key", F.monotonically_increasing_id())
+    several = F.length("text") > chunk
+    chunks = materialize(split_chunks(plain.where(several), chunk, overlap).repartition("row_key", "k"), "chunks")
     cuts = stitch(materialize(chunk_boundaries(chunks, chunk, overlap), "boundaries"))
-    return digest_short(plain.where(~long), path).unionAll(digest_pieces(encode_pieces(chunks, cuts, path, chunk), path))
+    return encode_in_place(plain.where(~several), path, chunk, overlap).unionAll(digest_pieces(encode_pieces(chunks, cuts, path, chunk), path))
