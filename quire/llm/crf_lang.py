@@ -6,14 +6,18 @@ gives each word's distribution over languages, so that runs of another language
 as such. A document's language is the one with the largest share of the marginals, weighted by word length; the
 score is that share.
 
-Training takes a bounded sample of labelled documents (``per_lang`` documents of at most ``max_bytes`` bytes for each
-language, chosen by a hash). Half of the training sequences are spliced from spans of different languages, which is
-what the transitions are learned from. The model's size depends on ``buckets`` and the number of languages only.
+A text is labelled in chains of ``CHAIN`` words, which go through forward-backward side by side.
+
+Training takes a bounded sample: ``most_docs`` labelled documents in all, at most ``per_lang`` of each language, chosen by
+a hash; of a longer text than ``span`` characters its middle is taken. Every language that has a labelled text with a
+letter is learned. Half of the training sequences are spliced from spans of different languages, which is what the
+transitions are learned from. Gradients are summed over ``batch`` sequences at a time, so that the memory of training
+grows with the number of languages only by the model itself (``buckets`` weights a language).
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0, as is every text if there is nothing to
-learn from; ties go to the first language in order; a null doc_id counts as not held out; rows with a null lang are
-predicted, but not learned from; repeated rows are predicted each; other columns are ignored or kept as they are; an
-empty table gives an empty result.
+learn from; ties go to the first language in order; a run of more than 64 letters is several words; a very long text is
+read in pieces; a null doc_id counts as not held out; rows with a null lang are predicted, but not learned from; repeated
+rows are predicted each; other columns are ignored or kept as they are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,19 +34,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.arrow import batched
+from quire.llm.storage import materialize
 
-WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]{0,63}")
+SPACE = regex.compile(r"\s")
 UNDETERMINED = "und"
 
-#: Words that a task remembers the scores of.
-MEMO = 250_000
+#: Words that a task remembers the scores of; words of a chain; characters of a text that are read at once.
+MEMO, CHAIN, PIECE = 250_000, 1024, 1 << 20
 
 
 @dataclass(frozen=True)
 class Settings:
     per_lang: int = 150
-    max_bytes: int = 20_000
-    max_langs: int = 256
+    most_docs: int = 2400
+    span: int = 20_000
+    batch: int = 512
     buckets: int = 1 << 16
     lexicon: int = 20_000
     window: int = 64
@@ -56,6 +63,17 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+def chains(text: str | None, piece: int = PIECE, chain: int = CHAIN):
+    """Lists of at most ``chain`` words; a longer text than ``piece`` is cut at white space where there is some near."""
+    text, at = text or "", 0
+    while at < len(text):
+        gap = SPACE.search(text, at + piece, at + piece + 1000)
+        stop = gap.start() if gap else at + piece
+        words = words_of(text[at:stop])
+        yield from (words[k : k + chain] for k in range(0, len(words), chain))
+        at = stop
+
+
 def features(word: str, lexicon: frozenset[str], buckets: int) -> list[int]:
     """Buckets of the affixes (up to 4 letters), n-grams (2 and 3, with word ends) and the lexicon entry."""
     edged = f"<{word}>"
@@ -131,7 +149,7 @@ def splice(texts: list[tuple[list[str], int]], settings: Settings) -> list[tuple
 
 
 def fit(sample: list[tuple[str, str]], settings: Settings = Settings()) -> Model | None:
-    """A model of (text, language) pairs, by full-batch ascent of the conditional likelihood; None if none has a word."""
+    """A model of (text, language) pairs, by ascent of the conditional likelihood over all of them; None if none has a word."""
     texts = [(w, lang) for text, lang in sorted(sample) if (w := words_of(text))]
     langs = sorted({lang for _, lang in texts})
     if not langs:
@@ -141,33 +159,41 @@ def fit(sample: list[tuple[str, str]], settings: Settings = Settings()) -> Model
     lexicon = frozenset(w for w, n in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: settings.lexicon] if n > 2)
     sequences = sorted(splice([(w, code[x]) for w, x in texts], settings), key=lambda s: -len(s[0]))
     vocabulary = {w: k for k, w in enumerate(counts)}
-    sizes = np.array([len(w) for w, _ in sequences])
-    n, t, labels = len(sequences), int(sizes.max()), len(langs)
-    mask = np.arange(t)[None, :] < sizes[:, None]
-    place, truth = np.zeros((n, t), np.int64), np.zeros((n, t), np.int64)
-    place[mask] = [vocabulary[w] for words, _ in sequences for w in words]
-    truth[mask] = [x for _, ls in sequences for x in ls]
+    sizes = np.array([len(w) for w, _ in sequences])  # longest first
+    n, labels, flat_words = len(sequences), len(langs), np.array([vocabulary[w] for words, _ in sequences for w in words], np.int32)
+    flat_truth = np.array([x for _, ls in sequences for x in ls], np.int32)
+    ends = np.cumsum(sizes)
     ids = [features(w, lexicon, settings.buckets) for w in vocabulary]
     flat, lengths = np.concatenate([np.array(x) for x in ids]), np.array([len(x) for x in ids])
     at = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     owner = np.repeat(np.arange(len(ids)), lengths)
     used, flat = np.unique(flat, return_inverse=True)
-    pair_truth = np.zeros((labels, labels))
-    both = mask[:, 1:]
-    np.add.at(pair_truth, (truth[:, :-1][both], truth[:, 1:][both]), 1)
-    start_truth = np.bincount(truth[:, 0], minlength=labels)
+
+    def slopes(scores: np.ndarray, start: np.ndarray, trans: np.ndarray) -> list[np.ndarray]:
+        """Truth less expectation of (words, start, transitions), summed over ``batch`` sequences at a time."""
+        by_word, starts, steps = np.zeros((len(ids), labels)), np.zeros(labels), np.zeros((labels, labels))
+        for low in range(0, n, settings.batch):
+            some = sizes[low : low + settings.batch]
+            mask = np.arange(int(some[0]))[None, :] < some[:, None]
+            inside = slice(int(ends[low] - sizes[low]), int(ends[low + len(some) - 1]))
+            place, truth = np.zeros(mask.shape, np.int32), np.zeros(mask.shape, np.int32)
+            place[mask], truth[mask] = flat_words[inside], flat_truth[inside]
+            gamma, expected = forward_backward(scores[place], some, start, trans, pairs=True)
+            gap = -gamma[mask].astype(np.float64)
+            gap[np.arange(len(gap)), flat_truth[inside]] += 1
+            for k in range(labels):
+                by_word[:, k] += np.bincount(flat_words[inside], gap[:, k], len(ids))
+            starts += np.bincount(truth[:, 0], minlength=labels) - gamma[:, 0].sum(axis=0)
+            both = mask[:, 1:]
+            np.add.at(steps, (truth[:, :-1][both], truth[:, 1:][both]), 1)
+            steps -= expected
+        return [np.stack([np.bincount(flat, by_word[owner, k], len(used)) for k in range(labels)], axis=1), starts, steps]
 
     params = [np.zeros((len(used), labels)), np.zeros(labels), np.zeros((labels, labels))]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, settings.rounds + 1):
         scores = np.add.reduceat(params[0][flat], at, axis=0)
-        gamma, expected = forward_backward(scores[place].astype(np.float32), sizes, params[1].astype(np.float32), params[2].astype(np.float32), pairs=True)
-        gap = -gamma[mask].astype(np.float64)
-        gap[np.arange(len(gap)), truth[mask]] += 1
-        by_word = np.stack([np.bincount(place[mask], gap[:, k], len(ids)) for k in range(labels)], axis=1)
-        slope = np.stack([np.bincount(flat, by_word[owner, k], len(used)) for k in range(labels)], axis=1)
-        slopes = [slope, start_truth - gamma[:, 0].sum(axis=0), pair_truth - expected]
-        for p, g, m, v in zip(params, slopes, first, second):
+        for p, g, m, v in zip(params, slopes(scores.astype(np.float32), params[1].astype(np.float32), params[2].astype(np.float32)), first, second):
             g = g / n - settings.l2 * p
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
@@ -195,28 +221,41 @@ class Labeller:
             got = list(map(self.known.__getitem__, words))
         return np.array(got, np.int64)
 
-    def predict(self, texts: list[str | None], cells: int = 400_000) -> list[tuple[str, float]]:
-        """Texts of like length go through forward-backward together, at most ``cells`` words with padding."""
+    def predict(self, texts: list[str | None], cells: int = 200_000) -> list[tuple[str, float]]:
+        """Chains of like length go through forward-backward together, about ``cells`` words at a time."""
+        sums = np.zeros((len(texts), len(self.model.langs)))
+        waiting: list[tuple[int, list[str]]] = []
+        size = 0
+        for i, text in enumerate(texts):
+            for words in chains(text):
+                waiting.append((i, words))
+                size += len(words)
+                if size >= cells:
+                    self._add(waiting, sums, cells)
+                    waiting, size = [], 0
+        self._add(waiting, sums, cells)
+        weight = sums.sum(axis=1)
+        share = sums / np.maximum(weight, 1e-30)[:, None]
+        return [(self.model.langs[k], min(1.0, top)) if w else (UNDETERMINED, 0.0) for k, top, w in zip(share.argmax(axis=1).tolist(), share.max(axis=1).tolist(), weight.tolist())]
+
+    def _add(self, waiting: list[tuple[int, list[str]]], sums: np.ndarray, cells: int) -> None:
+        """Add the chains' marginals, weighted by word length, to their texts' sums."""
         if self.filled > MEMO:
             self.known, self.filled = {}, 0
-        all_words = [words_of(t) for t in texts]
-        out: list[tuple[str, float]] = [(UNDETERMINED, 0.0)] * len(texts)
-        order = sorted((i for i, w in enumerate(all_words) if w), key=lambda i: -len(all_words[i]))
-        while order:
-            n = max(1, min(len(order), cells // len(all_words[order[0]])))
-            some, order = order[:n], order[n:]
-            sizes = np.array([len(all_words[i]) for i in some])
+        waiting.sort(key=lambda x: -len(x[1]))
+        at = 0
+        while at < len(waiting):
+            some = waiting[at : at + max(1, cells // len(waiting[at][1]))]
+            at += len(some)
+            sizes = np.array([len(w) for _, w in some])
             mask = np.arange(int(sizes[0]))[None, :] < sizes[:, None]
             place = np.zeros(mask.shape, np.int64)
-            joined = [w for i in some for w in all_words[i]]
+            joined = [w for _, words in some for w in words]
             place[mask] = self.places(joined)
             gamma, _ = forward_backward(self.scores[place], sizes, self.model.start, self.model.trans)
             weight = np.zeros(mask.shape, np.float32)
             weight[mask] = list(map(len, joined))
-            share = np.einsum("nt,ntl->nl", weight, gamma) / weight.sum(axis=1, keepdims=True)
-            for i, best, top in zip(some, share.argmax(axis=1).tolist(), share.max(axis=1).tolist()):
-                out[i] = (self.model.langs[best], min(1.0, max(0.0, top)))
-        return out
+            np.add.at(sums, [i for i, _ in some], np.einsum("nt,ntl->nl", weight, gamma))
 
     def label(self, text: str) -> list[tuple[str, str]]:
         """(word, language) along a text."""
@@ -232,15 +271,19 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def training_sample(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> list[tuple[str, str]]:
-    """At most ``per_lang`` labelled documents of each language, by the order of a hash."""
-    usable = docs.where(~held_out(doc_id) & F.col(lang).isNotNull() & (F.octet_length(text) <= settings.max_bytes) & F.col(text).rlike(r"\p{L}"))
-    keyed = usable.select(F.col(lang).alias("lang"), F.col(text).alias("text"), (F.pmod(F.xxhash64(doc_id, text), F.lit(1 << 30)) / (1 << 30)).alias("u"))
-    counts = {r["lang"]: r["n"] for r in docs.where(~held_out(doc_id) & F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(settings.max_langs).collect()}
-    if not counts:
-        return []
-    share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, 4 * settings.per_lang / n))) for x, n in counts.items()], F.lit(0.0))
-    ranked = keyed.where(F.col("u") < share).withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("u", "text")))
-    return [(r["text"], r["lang"]) for r in ranked.where(F.col("rn") <= settings.per_lang).select("text", "lang").collect()]
+    """(text, language) of at most ``per_lang`` labelled documents of each language, by the order of a hash; one at least.
+
+    Rows that can't be among the first of their language are left out before the shuffle.
+    """
+    body = F.col(text)
+    middle = F.when(F.length(body) > settings.span, F.substr(body, F.floor((F.length(body) - settings.span) / 2).cast("int") + 1, F.lit(settings.span))).otherwise(body)
+    keyed = docs.where(~held_out(doc_id) & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), middle.alias("text"), (F.pmod(F.xxhash64(doc_id, text), F.lit(1 << 30)) / (1 << 30)).alias("u"))
+    usable = keyed.where(F.col("text").rlike(r"\p{L}"))
+    counts = materialize(usable.groupBy("lang").agg(F.count("*").alias("n")), "labelled")  # one row a language
+    most = max(1, min(settings.per_lang, settings.most_docs // max(1, counts.count())))
+    near = usable.join(counts, "lang").where(F.col("u") * F.col("n") < 4 * most + 20)
+    ranked = near.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("u", "text")))
+    return [(r["text"], r["lang"]) for r in ranked.where(F.col("rn") <= most).select("text", "lang").collect()]
 
 
 def train(docs: DataFrame, settings: Settings = Settings()) -> Model | None:
@@ -279,7 +322,8 @@ def slices(batch: pa.RecordBatch, column: str, rows: int = 2000, size: int = 16
 
 
 def keep_certain(docs: DataFrame, model: Model | None, least: float, text: str = "text") -> DataFrame:
-    """The documents, all columns, whose language is determined with a score of ``least`` or more."""
+    """The documents, all columns, whose language is determined with a score of ``least`` or more; without a model, those
+    with a letter."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def kept(batches):
@@ -287,7 +331,7 @@ def keep_certain(docs: DataFrame, model: Model | None, least: float, text: str =
         for batch in batches:
             for part in slices(batch, text):
                 texts = part.column(part.schema.get_field_index(text)).to_pylist()
-                found = labeller.predict(texts) if labeller else [(UNDETERMINED, 0.0)] * len(texts)
-                yield part.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score in found], pa.bool_()))
+                certain = [lang != UNDETERMINED and score >= least for lang, score in labeller.predict(texts)] if labeller else [bool(WORD.search(t or "")) for t in texts]
+                yield part.filter(pa.array(certain, pa.bool_()))
 
     return docs.mapInArrow(kept, docs.schema)

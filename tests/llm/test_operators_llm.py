@@ -259,3 +259,51 @@ def test_language_edges(spark, model):
     assert {r.lang_pred for r in crf_lang.predict(df, None).collect()} == {"und"}
     assert crf_lang.train(df.limit(0)) is None and crf_lang.predict(df.limit(0), m).count() == 0
     assert crf_lang.keep_certain(df, m, 0.4).count() <= 3
+    assert {r.doc_id for r in crf_lang.keep_certain(df, None, 0.4).collect()} == {None, 1, 5}
+
+
+def test_predictions_by_a_plain_chain(spark, model):
+    """lang_pred and score against forward-backward in plain Python, word by word."""
+    _, m = model
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(40)
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(900, "the of and " * 700), (901, "é" * 200 + " und der"), (902, None)]
+    got = {r.doc_id: r for r in crf_lang.predict(spark.createDataFrame(rows, "doc_id long, text string"), m).collect()}
+    start, trans = np.exp(m.start.astype(float)), np.exp(m.trans.astype(float))
+
+    def plain(text):
+        words = [w for w in re.findall(r"[^\W\d_]+", (text or "").lower())]
+        words = [w[k : k + 64] for w in words for k in range(0, len(w), 64)]
+        total = np.zeros(len(m.langs))
+        for c in range(0, len(words), crf_lang.CHAIN):
+            chain = words[c : c + crf_lang.CHAIN]
+            e = [np.exp(s - s.max()) for s in (m.weights[crf_lang.features(w, m.lexicon, len(m.weights))].astype(float).sum(axis=0) for w in chain)]
+            ahead, back = [start * e[0]], [np.ones(len(m.langs))]
+            for x in e[1:]:
+                ahead.append((ahead[-1] / ahead[-1].sum()) @ trans * x)
+            for x in reversed(e[1:]):
+                b = trans @ (x * back[-1])
+                back.append(b / b.sum())
+            for w, a, b in zip(chain, ahead, reversed(back)):
+                total += len(w) * a * b / (a * b).sum()
+        return ("und", 0.0) if not words else (m.langs[int(total.argmax())], total.max() / total.sum())
+
+    for d, text in rows:
+        lang, score = plain(text)
+        assert got[d].lang_pred == lang and got[d].score == pytest.approx(score, abs=1e-3)
+
+
+def test_every_language_is_learned(spark):
+    """A language of long texts only, and more languages than the sample has documents for."""
+    long = [(i, "hola casa perro gato " * 8000, "es") for i in range(6)] + [(100 + i, "the house and the dog", "en") for i in range(200)]
+    df = spark.createDataFrame(long, "doc_id long, text string, lang string")
+    sample = crf_lang.training_sample(df, crf_lang.Settings(per_lang=20))
+    assert {x for _, x in sample} == {"es", "en"} and all(len(t) <= 20_000 for t, _ in sample) and sum(x == "en" for _, x in sample) == 20
+    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word of "), F.col("id").cast("string")).alias("text"), (F.col("id") % 300).cast("string").alias("lang"))
+    sample = crf_lang.training_sample(many, crf_lang.Settings(most_docs=600))
+    assert len({x for _, x in sample}) == 300 and len(sample) <= 600
+
+
+def test_minibatches_give_the_full_gradient(spark):
+    sample = [(r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang is not null and length(text) between 100 and 900").orderBy("doc_id").limit(24).collect()]
+    one, many = (crf_lang.fit(sample, crf_lang.Settings(batch=b, rounds=3)) for b in (10_000, 7))
+    assert np.allclose(one.weights, many.weights, atol=2e-3) and np.allclose(one.trans, many.trans, atol=2e-3)
