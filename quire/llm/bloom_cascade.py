@@ -4,15 +4,18 @@ Level 1 encodes the listed keys. Level 2 encodes the unlisted keys of the univer
 listed keys that level 2 lets pass, and so on until a level lets nothing pass wrongly. The parity of the first level
 that rejects a key then tells whether it is listed, without error for every key of the universe and without a join.
 
-Filters are made by Spark: probes become (word, bits) pairs that are OR-ed by key. One cascade covers the keys of one
-hash shard; the number of shards follows from the listed count so that no filter is larger than ``max_bytes``, which
-bounds what is collected and broadcast at once.
+The first level's rate of false positives follows from the ratio of listed to unlisted keys, so that the second level
+has about half as many keys as the first, whatever the universe holds; all levels together take
+``n * (1.44 * log2(unlisted / n) + 8)`` bits for n listed keys. Filters are made by Spark: probes become (word, bits) pairs
+that are OR-ed by key. One cascade covers the keys of one hash shard; the number of shards follows from that size, and
+each cascade is checked against ``max_bytes`` when it is made, which bounds what is collected and broadcast at once.
 
 Rules (host, path) fit a host and its subdomains and paths that start with theirs: a url's candidate keys are its
 host's suffixes joined with its path's beginnings of the lengths that rules have; the longest listed candidate wins.
+The rules are a parameter of the driver program, and their cascades a few bytes a rule.
 
 Defined cases: a url that is null or has no ``://`` has an empty host and path and no candidates; rows with equal
-urls get equal verdicts; other columns are ignored; an empty table gives an empty result.
+urls get equal verdicts; a url of any length is one key; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -105,19 +108,28 @@ def let_pass(spark: SparkSession, keys: DataFrame, level: Level) -> DataFrame:
     return keys.where(ok("h1", "h2"))
 
 
-def build_cascade(universe: DataFrame, first_rate: float = 0.03, rate: float = 0.5, tag: str = "keys") -> list[Level]:
-    """The levels for a universe of distinct keys (h1, h2, listed), with few keys left after each level.
+def first_rate(listed: int, unlisted: int, most: float = 0.5) -> float:
+    """The rate of false positives at which level 2 has about half as many keys as level 1."""
+    return min(most, max(1, listed) / (2 * max(1, unlisted)))
 
-    The filters stay within the size that follows from the listed count; build one cascade a shard where that is
-    more than a broadcast may hold.
-    """
+
+def cascade_bytes(listed: int, unlisted: int) -> int:
+    """About the size of all levels of a cascade."""
+    return math.ceil(listed * (1.4427 * math.log2(1 / first_rate(listed, unlisted)) + 8) / 8) + 64
+
+
+def build_cascade(universe: DataFrame, rate: float = 0.5, tag: str = "keys", max_bytes: int | None = None) -> list[Level]:
+    """The levels for a universe of distinct keys (h1, h2, listed), with few keys left after each level."""
     spark = universe.sparkSession
     inside, outside = universe.where("listed").select("h1", "h2"), universe.where("not listed").select("h1", "h2")
     levels: list[Level] = []
-    count = inside.count()
+    count, others = universe.agg(F.count_if("listed"), F.count_if(~F.col("listed"))).first()
+    first = first_rate(count, others)
     while count:
-        level = build_level(inside, count, rate if levels else first_rate, len(levels))
+        level = build_level(inside, count, rate if levels else first, len(levels))
         levels.append(level)
+        if max_bytes and sum(x.words.nbytes for x in levels) > max_bytes:
+            raise ValueError(f"a cascade of {sum(x.words.nbytes for x in levels)} bytes is over the bound of {max_bytes}")
         inside, outside = materialize(let_pass(spark, outside, level), tag), inside
         count = inside.count()
     return levels
@@ -139,9 +151,10 @@ def shard_of(shards: int) -> Column:
 
 
 def build_cascades(universe: DataFrame, max_bytes: int = 64 << 20, tag: str = "keys") -> list[list[Level]]:
-    """One cascade a shard; all levels of one stay below ``max_bytes`` (16 bits a listed key is generous)."""
-    shards = max(1, math.ceil(universe.where("listed").count() * 2 / max_bytes))
-    return [build_cascade(universe.where(shard_of(shards) == k), tag=f"{tag}{k}") for k in range(shards)]
+    """One cascade a shard. Shards are planned at half of ``max_bytes``, as hashes deal keys out unevenly."""
+    listed, unlisted = universe.agg(F.count_if("listed"), F.count_if(~F.col("listed"))).first()
+    shards = max(1, math.ceil(2 * cascade_bytes(listed, unlisted) / max_bytes))
+    return [build_cascade(universe.where(shard_of(shards) == k) if shards > 1 else universe, tag=f"{tag}{k}", max_bytes=max(max_bytes, 4096)) for k in range(shards)]
 
 
 def member_udf(shared):
@@ -182,7 +195,8 @@ def candidates(rules) -> Column:
 
 def mirrored_keys(pages: DataFrame) -> DataFrame:
     """Listed keys for a page table without a block list of its own: urls that the crawl holds under more than one
-    page_id, as recrawled copies; the key is host and path."""
+    page_id, as recrawled copies; the key is host and path. A verdict is a function of the url, so all copies get the
+    same one; keeping one of them is deduplication, not filtering."""
     return pages.where(F.col("key") != "").groupBy("key").agg(F.count_distinct("page_id").alias("n")).where("n > 1").select("key")
 
 

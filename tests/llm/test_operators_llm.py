@@ -163,11 +163,27 @@ def test_cascade_is_exact(spark):
     df = spark.createDataFrame([(k,) for k in keys], "key string")
     got = {r.key: r.hit for r in bloom_cascade.with_membership(df, [levels], "key", "hit").collect()}
     assert got == {k: k in listed for k in keys}
-    sharded = bloom_cascade.build_cascades(universe, max_bytes=150)
+    sharded = bloom_cascade.build_cascades(universe, max_bytes=250)
     assert len(sharded) > 2
     assert {r.key: r.hit for r in bloom_cascade.with_membership(df, sharded, "key", "hit").collect()} == got
 
 
+def test_cascades_stay_within_their_bound_as_the_universe_grows(spark):
+    sizes = []
+    for n in (20_000, 200_000):
+        keys = spark.range(n).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
+        universe = bloom_cascade.materialize(bloom_cascade.universe_of(keys, keys.limit(0).unionAll(spark.range(300).select(F.concat(F.lit("k"), F.col("id").cast("string"))))), "u")
+        levels = bloom_cascade.build_cascade(universe)
+        sizes.append(sum(x.words.nbytes for x in levels))
+        assert sizes[-1] <= 1.3 * bloom_cascade.cascade_bytes(300, n - 300) and len(levels[1].words) * 64 < 2 * 300
+        assert all(sum(x.words.nbytes for x in c) <= 4096 for c in bloom_cascade.build_cascades(universe, max_bytes=400))
+        hits = bloom_cascade.with_membership(keys, [levels], "key", "hit").where("hit")
+        assert hits.count() == 300
+    assert sizes[1] < 1.4 * sizes[0]
+    with pytest.raises(ValueError):
+        bloom_cascade.build_cascade(universe, max_bytes=100)
+
+
 def test_urls(spark):
     urls = ["http://NET/x", "https://a.b.net/x?y", "https://Example.net/en/1#t", "https://m.example.net/de", "http://example.com/de/", "http://example.com/den", "http://xexample.com/de/q", "ftp://org/fr/?", "http://a.org", "no scheme net/", None, "", "http://net", "://net/", "http://q.io/a", "http://q.io/a?b"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("clash")).withColumn("key", F.lit(1))
