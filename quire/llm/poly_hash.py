@@ -4,11 +4,16 @@
 Two spans are equal if their differences of prefixes agree after shifting to the same power, and the longest common
 extension of two places is found by binary search over its length.
 
-A document's fingerprint samples these arrays: the hash of the whole text, then the hashes of its beginnings and of
-its ends at multiples of a step (the power of two that gives 16 to 31 of them; 1 for short texts). Beginnings that
-are equal are nested, so the longest common beginning of two documents, to within a step, is found by binary search
-over their samples, and so is the longest common end. Likeness is the share of the longer text that both cover;
-it is 1 for equal whole hashes.
+A document's fingerprint samples these sums. It holds the hash of the whole text, the hashes of its beginnings and of its
+ends at multiples of a step (the power of two that gives 16 to 31 of them; 1 for short texts), and the lengths and hashes
+of the spans between places that the content chooses: those where the hash of the ``WINDOW`` code points before has so
+many zero bits that spans are about the root of the length. Likeness is the largest share of the longer text that is
+covered by equal spans (a multiset, so that moved and scattered parts count), or by the common beginning and end, which
+are found by binary search over their nested samples. Spans join to longer ones by their hashes alone, so texts of unlike
+lengths are compared at the coarser choice of places. Likeness is 1 for equal whole hashes.
+
+Sums are made for ``BLOCK`` code points at a time and kept only at the places that the fingerprint needs, so a very long
+text takes its own size and little more.
 
 Defined cases: a null text is empty; two empty texts are alike (1), an empty and a non-empty one are not (0); a null
 doc_id comes first; rows with equal doc_ids are ordered by their texts; a single document is its own next one; other
@@ -17,8 +22,11 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -32,15 +40,21 @@ from quire.llm.arrow import batched, rows_of
 MODULI = (2_147_483_647, 2_147_483_629)
 BASES = (911_382_323, 972_663_749)
 
+#: Code points whose sums are made at once; code points before a place whose hash decides whether a span ends there.
+BLOCK, WINDOW = 1 << 16, 8
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
 _powers: dict[tuple[int, int], np.ndarray] = {}
 
 
 def powers(k: int, n: int, sign: int = 1) -> np.ndarray:
     """At least the first ``n`` powers (or inverse powers) of base ``k``, by doubling."""
-    have = _powers.get((k, sign), np.ones(1, np.uint64))
-    while len(have) < n:
-        have = np.concatenate([have, have * np.uint64(pow(BASES[k], sign * len(have), MODULI[k])) % np.uint64(MODULI[k])])
-    _powers[k, sign] = have
+    have = _powers.get((k, sign))
+    if have is None or len(have) < n:
+        have = np.ones(1, np.uint64) if have is None else have
+        while len(have) < n:
+            have = np.concatenate([have, have * np.uint64(pow(BASES[k], sign * len(have), MODULI[k])) % np.uint64(MODULI[k])])
+        _powers[k, sign] = have
     return have
 
 
@@ -90,16 +104,118 @@ def step_of(n: int) -> int:
     return max(1, 1 << max(0, n.bit_length() - 5))
 
 
-def fingerprint(p: Prefixes) -> str:
-    """``n:whole:beginnings:ends`` in hex; samples are 32 bits each."""
-    step = step_of(p.n)
-    at = np.arange(step, p.n + 1, step)
-    zeros = np.zeros(len(at), np.int64)
-    ones = np.array([p.n])
-    whole = int(p.hashes(np.array([0]), ones)[0])
-    fold = lambda h: ((h ^ (h >> np.uint64(31))) & np.uint64(0xFFFFFFFF)).astype("<u4")
-    head, tail = fold(p.hashes(zeros, at)), fold(p.hashes(p.n - at, np.full(len(at), p.n)))
-    return f"{p.n:x}:{whole:016x}:{head.tobytes().hex()}:{tail.tobytes().hex()}"
+def choice_of(n: int) -> int:
+    """Zero bits that a place's hash must end in; spans are about 2 to that power long."""
+    return min(14, (n.bit_length() + 1) // 2)
+
+
+def sampled(codes: np.ndarray, step: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """(sums at beginnings, sums at ends by modulus; chosen places, their zero bits and sums) of a text, block by block.
+
+    Beginnings are at multiples of ``step`` and the end, ends at multiples of it from the end. Blocks overlap by a window.
+    """
+    n, choice = len(codes), choice_of(len(codes))
+    heads = np.concatenate([np.arange(step, n + 1, step), [n]])
+    tails = n - np.arange(step, n + 1, step)[::-1]
+    wanted = np.concatenate([heads, tails])
+    order = np.argsort(wanted, kind="stable")
+    ascending = wanted[order]
+    found = [np.zeros(len(wanted), np.uint64) for _ in MODULI]
+    places, zeros, own, before, low = [], [], [], [0] * len(MODULI), 0
+    while low < n:
+        some = codes[low : low + BLOCK].astype(np.uint64) + np.uint64(1)
+        a, b = np.searchsorted(ascending, (low, low + len(some)), side="right")
+        for k, m_ in enumerate(MODULI):
+            m = np.uint64(m_)
+            sums = np.cumsum(some * powers(k, len(some))[: len(some)] % m, dtype=np.uint64) % m
+            shift = np.uint64(pow(BASES[k], low, m_))
+            moved = lambda at: (np.uint64(before[k]) + shift * sums[at]) % m if low else sums[at]  # noqa: B023, E731
+            found[k][a:b] = moved(ascending[a:b] - low - 1)
+            if k == 0 and len(some) > WINDOW:
+                # The window before a place, shifted to the power 0.
+                span = (sums[WINDOW:] + m - sums[:-WINDOW]) % m * powers(0, len(some) + 1, -1)[1 : len(some) - WINDOW + 1] % m
+                mixed = (span * MIX) >> np.uint64(40)
+                hit = np.flatnonzero((mixed & np.uint64((1 << choice) - 1)) == 0)
+                hit = hit[hit + low + WINDOW + 1 < n]
+                places.append(hit + (low + WINDOW + 1))
+                zeros.append(np.bitwise_count((mixed[hit] & (~mixed[hit] + np.uint64(1))) - np.uint64(1)))
+                own.append(moved(hit + WINDOW))
+            before[k] = (before[k] + int(shift) * int(sums[BLOCK - WINDOW - 1])) % m_ if len(some) == BLOCK else 0
+        low += BLOCK - WINDOW if len(some) == BLOCK else len(some)
+    sums = []
+    for x in found:
+        back = np.empty_like(x)
+        back[order] = x
+        sums.append(back)
+    join = lambda xs, kind: np.concatenate(xs).astype(kind) if xs else np.zeros(0, kind)
+    return [x[: len(heads)] for x in sums], [x[len(heads) :] for x in sums], join(places, np.int64), np.minimum(join(zeros, np.int64), 14), join(own, np.uint64)
+
+
+def fingerprint(text: str) -> str:
+    """``n:whole:beginnings:ends:spans`` in hex; samples are 32 bits each, a span is its length, the zero bits of its last
+    place (f at the end of the text) and a hash of 31 bits; ``*`` tells how often a span repeats."""
+    codes = points(text)
+    n, step = len(codes), step_of(len(codes))
+    heads, tails, places, zeros, own = sampled(codes, step)
+    whole = fold_two([h[-1:] for h in heads], np.zeros(1, np.int64))
+    first = fold_two([h[:-1] for h in heads], np.zeros(len(heads[0]) - 1, np.int64))
+    at = n - np.arange(step, n + 1, step)
+    rest = [(h[-1] + np.uint64(m) - t[::-1]) % np.uint64(m) for h, t, m in zip(heads, tails, MODULI)]
+    short = lambda h: ((h * MIX) >> np.uint64(32)).astype("<u4").tobytes().hex()
+    ends, m = np.concatenate([own, heads[0][-1:]]), np.uint64(MODULI[0])
+    starts = np.concatenate([np.zeros(1, np.int64), places])
+    spans = (ends + m - np.concatenate([np.zeros(1, np.uint64), own])) % m * inverse_at(0, starts) % m
+    sizes = np.concatenate([places, [n]]) - starts
+    listed = span_list(sizes.tolist(), [*zeros.tolist(), 15], spans.tolist())
+    return f"{n:x}:{int(whole[0]):016x}:{short(first)}:{short(fold_two(rest, at))}:{listed}"
+
+
+def fold_two(sums: list[np.ndarray], starts: np.ndarray) -> np.ndarray:
+    """62 bits of spans that start at ``starts``, shifted to the power 0."""
+    out = np.zeros(len(starts), np.uint64)
+    for k, (m, part) in enumerate(zip(MODULI, sums)):
+        out = out << np.uint64(31) | part * inverse_at(k, starts) % np.uint64(m)
+    return out
+
+
+def inverse_at(k: int, places: np.ndarray) -> np.ndarray:
+    """Inverse powers of base ``k`` at any places, from a table for one block."""
+    if not len(places):
+        return np.zeros(0, np.uint64)
+    top = int(places.max())
+    if top < BLOCK:
+        return powers(k, top + 1, -1)[places]
+    far = np.array([pow(BASES[k], -x * BLOCK, MODULI[k]) for x in range(top // BLOCK + 1)], np.uint64)
+    return powers(k, BLOCK, -1)[places % BLOCK] * far[places // BLOCK] % np.uint64(MODULI[k])
+
+
+def span_list(sizes: list[int], zeros: list[int], hashes: list[int]) -> str:
+    listed = [f"{size:x}.{z:x}.{h:x}" for size, z, h in zip(sizes, zeros, hashes)]
+    if all(x != y for x, y in itertools.pairwise(listed)):
+        return ",".join(listed)
+    runs = [(x, sum(1 for _ in same)) for x, same in itertools.groupby(listed)]
+    return ",".join(f"{x}*{k:x}" if k > 1 else x for x, k in runs)
+
+
+@functools.lru_cache(maxsize=8)
+def coarse_spans(spans: str, choice: int) -> Counter:
+    """How often each (length, hash) comes between places with at least ``choice`` zero bits; a place's bits are known
+    up to 14, so all places beyond that count as chosen."""
+    m, out, size, h = MODULI[0], Counter(), 0, 0
+    for item in spans.split(","):
+        one, _, times = item.partition("*")
+        n, z, own = one.split(".")
+        n, z, own = int(n, 16), int(z, 16), int(own, 16)
+        if not size and (z >= choice or z >= 14):
+            out[n, own] += int(times or "1", 16)
+            continue
+        for _ in range(int(times or "1", 16)):
+            h = (h + pow(BASES[0], size, m) * own) % m if size else own
+            size += n
+            if z >= choice or z >= 14:
+                out[size, h] += 1
+                size, h = 0, 0
+    return out
 
 
 def common_samples(a: list[str], b: list[str], strides: tuple[int, int], size: int) -> int:
@@ -117,7 +233,7 @@ def likeness(a: str, b: str) -> float:
     """Of two fingerprints, from 0 to 1."""
     if a == b:
         return 1.0
-    (an, aw, ah, at), (bn, bw, bh, bt) = a.split(":"), b.split(":")
+    (an, aw, ah, at, as_), (bn, bw, bh, bt, bs) = a.split(":"), b.split(":")
     n, m = int(an, 16), int(bn, 16)
     if not n or not m:
         return 0.0
@@ -127,7 +243,10 @@ def likeness(a: str, b: str) -> float:
     strides = step // step_of(n), step // step_of(m)
     head = common_samples(ah, bh, strides, 1 << 30) * step
     tail = common_samples(at, bt, strides, 1 << 30) * step
-    return min(min(head + tail, min(n, m)) / max(n, m), 1.0)
+    choice = max(choice_of(n), choice_of(m))
+    x, y = coarse_spans(as_, choice), coarse_spans(bs, choice)
+    spans = sum(size * min(k, y[size, h]) for (size, h), k in x.items())
+    return min(max(min(head + tail, min(n, m)), spans) / max(n, m), 1.0)
 
 
 def with_next(docs: DataFrame, spread: int = 200) -> DataFrame:
@@ -179,10 +298,10 @@ def fingerprints(docs: DataFrame, spread: int = 200, doc_id: str = "doc_id", tex
             held = None
             for batch in batches:
                 for part, guest, doc, body in rows_of(batch, "part", "guest", "doc_id", "text", step=64):
-                    own = fingerprint(Prefixes(body))
+                    own = fingerprint(body)
                     if held is not None:
                         other = edited(held[1], body)
-                        print_ = fingerprint(Prefixes(other))
+                        print_ = fingerprint(other)
                         yield held[0], len(held[1]), hashlib.sha256(other.encode()).hexdigest(), held[2], print_, likeness(held[2], print_), likeness(held[2], own)
                     held = None if guest else (doc, body, own)
 
