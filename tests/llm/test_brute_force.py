@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
+import itertools
+import json
 import re
 import zlib
+from collections import Counter
 
 import public_tokenizers
 import pytest
@@ -62,7 +66,7 @@ def test_whole_tokens_are_proven():
 def test_wavelet_files(docs, rows, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    got = [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in wavelet.write_and_read(docs, path, 2, shard_bytes=100_000).collect()]
+    got = [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in wavelet.write_and_read(docs, path, 2, shard_bytes=40_000, spread=100).collect()]
     want = {}
     for d, x in rows:
         ids = t.encode(x, add_special_tokens=False).ids + [2]
@@ -81,7 +85,8 @@ def test_wavelet_matrix():
     import numpy as np
 
     ids = np.random.default_rng(5).integers(0, 300, 5000).astype(np.uint32) ** 2
-    m, docs, sizes = wavelet.WaveletMatrix.load(wavelet.WaveletMatrix.build(ids).dump([1, None], np.array([4000, 1000])))
+    blob = wavelet.WaveletMatrix.build(ids).dump([1, None], np.array([4000, 1000]), frame=64)
+    m, docs, sizes = wavelet.WaveletMatrix.load(blob)
     assert (m.tokens() == ids).all() and docs == [1, None] and sizes.tolist() == [4000, 1000]
     for at in (0, 1, 511, 512, 513, 4999):
         assert m.access(at) == ids[at]
@@ -89,7 +94,36 @@ def test_wavelet_matrix():
         assert m.rank(token, at) == int((ids[:at] == token).sum())
         nth = m.rank(token, at)
         assert m.select(token, nth) == at
-    assert m.rank(7, 5000) == 0 and m.select(int(ids[0]), 10**6) == -1
+    for token in set(ids[:40].tolist()):
+        assert [m.select(token, k) for k in range(m.rank(token, 5000))] == np.flatnonzero(ids == token).tolist()
+    assert m.rank(7, 5000) == 0 and m.select(int(ids[0]), 10**6) == -1 and m.select(7, 0) == -1
+
+    class Counted(io.BytesIO):
+        count = 0
+
+        def read(self, size=-1):
+            self.count += size
+            return super().read(size)
+
+    big = np.random.default_rng(6).integers(0, 40_000, 400_000).astype(np.uint32)
+    blob = wavelet.WaveletMatrix.build(big).dump([1], np.array([len(big)]), frame=1024)
+    source = Counted(blob)
+    opened = wavelet.WaveletMatrix.open(source)[0]
+    before = source.count
+    assert opened.access(200_000) == big[200_000] and opened.rank(int(big[9]), 300_000) == int((big[:300_000] == big[9]).sum())
+    assert source.count - before < len(blob) // 10, "a query reads a few frames of the planes only"
+    empty_matrix = wavelet.WaveletMatrix.load(wavelet.WaveletMatrix.build(ids[:0]).dump([], np.zeros(0, np.int64)))[0]
+    assert len(empty_matrix.tokens()) == 0 and empty_matrix.rank(3, 0) == 0
+
+
+def test_another_word_tokenizer_is_left_to_the_library(tmp_path):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    other = json.load(open(path))
+    other["normalizer"]["normalizers"] = other["normalizer"]["normalizers"][:2]  # keeps capitals
+    (tmp_path / "t.json").write_text(json.dumps(other))
+    library = Tokenizer.from_file(str(tmp_path / "t.json"))
+    for text in ("Some Words HERE", "plain"):
+        assert wavelet.WordEncoder(str(tmp_path / "t.json")).encode(text) == b"".join(i.to_bytes(4, "little") for i in library.encode(text, add_special_tokens=False).ids)
 
 
 @pytest.mark.parametrize("chunk,overlap", [(32_768, 512), (64, 16), (200, 64)])
@@ -220,6 +254,61 @@ def test_prefix_hashes():
     assert not poly_hash.spans_equal(a, 20, b, 0, 12)
 
 
+def plain_spans(text, choice):
+    """A text's spans between the places that its content chooses, with no prefix sums and no joined hashes."""
+    base, m = poly_hash.BASES[0], poly_hash.MODULI[0]
+    out, last = [], 0
+    for p in range(9, len(text)):
+        h = sum((ord(c) + 1) * pow(base, i, m) for i, c in enumerate(text[p - 8 : p])) % m
+        mixed = (h * 0x9E3779B97F4A7C15 % 2**64) >> 40
+        if mixed % (1 << choice) == 0:
+            out.append(text[last:p])
+            last = p
+    return Counter([*out, text[last:]])
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    step, choice = (max(f(len(a)), f(len(b))) for f in (poly_hash.step_of, poly_hash.choice_of))
+    common = lambda x, y: next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y))) // step * step
+    ends = min(common(a, b) + common(a[::-1], b[::-1]), len(a), len(b))
+    spans = sum(len(s) * k for s, k in (plain_spans(a, choice) & plain_spans(b, choice)).items())
+    return min(1.0, max(ends, spans) / max(len(a), len(b)))
+
+
+def test_likeness_against_plain_spans(docs, rows, empty):
+    got = {(r.doc_id, r.n_chars, r.edited_sha256): r for r in poly_hash.fingerprints(docs).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0], r[1]))[:150]
+    for (d, x), (_, after) in itertools.pairwise(order):
+        other = x[: len(x) - len(x) // 4] + after[: len(x) // 4]
+        r = got[d, len(x), hashlib.sha256(other.encode()).hexdigest()]
+        assert r.near_edited == pytest.approx(plain_likeness(x, other)) and r.near_next == pytest.approx(plain_likeness(x, after))
+    for x in ODD:
+        for y in ("ab " * 3000 + "tail", "one two three four five six eight", "x" * 2999):
+            assert poly_hash.likeness(poly_hash.fingerprint(x or ""), poly_hash.fingerprint(y)) == pytest.approx(plain_likeness(x or "", y))
+
+
+def test_likeness_sees_edits_at_both_ends_and_scattered_ones(rows):
+    long = [x for _, x in rows if 1500 < len(x) < 8000][:40]
+    near = lambda x, y: poly_hash.likeness(poly_hash.fingerprint(x), poly_hash.fingerprint(y))
+    for x in long:
+        assert near(x, "HEADER " + x + " FOOTER") > 0.7 and near(x[len(x) // 2 :] + x[: len(x) // 2], x) > 0.5
+    scattered = [near(x, x[:200] + "#" + x[201 : len(x) // 2] + "#" + x[len(x) // 2 + 1 : -300] + "#" + x[-299:]) for x in long]
+    assert sum(scattered) > 0.8 * len(long) and min(scattered) > 0.4
+    assert sum(near(x, y) < 0.2 for x, y in itertools.pairwise(long)) > 0.9 * (len(long) - 1)
+
+
+def test_blocks_give_the_same_fingerprint(monkeypatch, rows):
+    texts = [x for _, x in rows if len(x) > 100][:30] + ["ab " * 4000]
+    want = [poly_hash.fingerprint(x) for x in texts]
+    monkeypatch.setattr(poly_hash, "BLOCK", 97)
+    assert [poly_hash.fingerprint(x) for x in texts] == want
+    assert poly_hash.likeness(want[-1], poly_hash.fingerprint("ab " * 3999)) > 0.99
+
+
 def test_fingerprints(docs, rows, empty):
     got = poly_hash.fingerprints(docs, spread=50).collect()
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0], r[1]))
