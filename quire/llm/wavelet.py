@@ -247,7 +247,7 @@ class WordEncoder:
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.levels = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xA1, 0x100)}
         self.ids = [i.to_bytes(4, "little") for i in range(max(self.library.get_vocab().values()) + 1)]
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(self.word)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -256,28 +256,34 @@ class WordEncoder:
         ids = self.memo.get(piece)
         if ids is None:
             found = self.model.tokenize(piece if piece.isascii() else piece.translate(self.levels))
-            ids = b"".join([self.ids[t.id] for t in found])
-            if len(self.memo) < MEMO and len(piece) <= LONGEST:
-                self.memo[piece] = ids
+            ids = self.memo.keep(piece, b"".join([self.ids[t.id] for t in found]))
         return ids
 
     def word(self, word: str) -> bytes:
         """A single pre-token is remembered as itself, so that ``word,`` finds ``word``."""
-        return self.piece(word) if word.isascii() and word.isalpha() else b"".join(map(self.piece, self.pieces.findall(word)))
+        return self.piece(word) if word.isascii() and word.isalpha() else self.memo.keep(word, b"".join(map(self.piece, self.pieces.findall(word))))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if not self.known.fullmatch(text) or self.added.search(text):
             return self.whole(text)
-        words = text.lower().split()
-        got = list(map(self.memo.get, words))
-        if None in got:
-            for k, (w, ids) in enumerate(zip(words, got)):
-                if ids is None:
-                    got[k] = self.memo.get(w) or self.word(w)
-                    if len(self.memo) < MEMO and len(w) <= LONGEST:
-                        self.memo[w] = got[k]
-        return b"".join(got)
+        return b"".join(map(self.memo.__getitem__, text.lower().split()))
+
+
+class Memo(dict):
+    """Ids of words; those that aren't there yet are made."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str) -> bytes:
+        return self.make(word)
+
+    def keep(self, word: str, ids: bytes) -> bytes:
+        if len(self) < MEMO and len(word) <= LONGEST:
+            self[word] = ids
+        return ids
 
 
 _encoders: dict[str, WordEncoder] = {}
