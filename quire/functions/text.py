@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 # Fixed values of the answer format.
 WS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SPACES = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 FOOTER_MARKER = "---UNCERTAIN---"
 NOTHING_DOUBTED = "none"
 LONGEST_DOUBT_BYTES = 48
@@ -29,26 +30,27 @@ def text_of(c: Column | str) -> Column:
 
 
 def trim_end(c: Column) -> Column:
-    return F.regexp_replace(c, rf"{WS}+\z", "")
+    return F.rtrim(c, F.lit(SPACES))
 
 
 def trim_start(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{WS}+", "")
+    return F.ltrim(c, F.lit(SPACES))
 
 
 def trim(c: Column) -> Column:
-    return trim_start(trim_end(c))
+    return F.trim(c, F.lit(SPACES))
 
 
 def is_empty(c: Column) -> Column:
     """Nothing but white space."""
-    return ~c.rlike(rf"[^{WS[1:]}")
+    return trim(c) == ""
 
 
 def lines(c: Column | str) -> Column:
     """Lines without their ends; a final line end opens no further line."""
-    body = F.regexp_replace(text_of(c), r"\r?\n\z", "")
-    return F.when(text_of(c) == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(body, "\n"), lambda x: F.regexp_replace(x, r"\r\z", "")))
+    ended = lambda x, end: F.when(x.endswith(end), F.substr(x, F.lit(1), F.length(x) - len(end))).otherwise(x)
+    parts = lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(ended(t, "\n"), "\n"), lambda x: ended(x, "\r")))
+    return let(text_of(c), parts)
 
 
 def indent_bytes(line: Column) -> Column:
@@ -75,8 +77,7 @@ def collapse_spaces(line: Column) -> Column:
 
 def clean(c: Column | str) -> Column:
     """A raw answer without fence, common indent, line-end spaces, runs of blank lines and of spaces."""
-    raw = text_of(c)
-    body = F.when(trim(raw).startswith("```"), strip_fence(trim(raw))).otherwise(raw)
+    body = let(text_of(c), lambda raw: let(trim(raw), lambda t: F.when(t.startswith("```"), strip_fence(t)).otherwise(raw)))
 
     def tidy(ls: Column) -> Column:
         return let(common_indent(ls), lambda n: let(F.transform(ls, trim_end), lambda ts: F.filter(
@@ -106,14 +107,14 @@ def mark_doubts(c: Column, found: Column) -> Column:
 
     The text is cut at existing marks; only the parts between them are searched.
     """
-    quoted = lambda d: F.concat(F.lit(r"\[unclear:[^\]]*\]?|(?<![" + ALNUM + r"_])(\Q"), d, F.lit(r"\E)(?![" + ALNUM + r"_])"))
+    quoted = lambda d: F.concat(F.lit(r"\[unclear:[^\]]*\]?|(?<![" + ALNUM + r"_])(\Q"), F.replace(d, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)(?![" + ALNUM + r"_])"))
 
     def one(text: Column, d: Column) -> Column:
         hits = F.regexp_extract_all(text, quoted(d), F.lit(0))
         marked = F.transform(hits, lambda h: F.when(h.startswith(UNCLEAR), h).otherwise(F.concat(F.lit("[unclear: "), h, F.lit("]"))))
         between = F.split(text, quoted(d), F.lit(-1))
         joined = F.array_join(F.flatten(F.zip_with(between, marked, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-        return F.when((F.length(d) < 2) | d.contains("unclear") | d.contains(r"\E") | (F.size(hits) == 0), text).otherwise(joined)
+        return F.when((F.length(d) < 2) | d.contains("unclear") | (F.size(hits) == 0), text).otherwise(joined)
 
     return F.aggregate(found, c, one)
 
@@ -123,14 +124,19 @@ def transcribed(c: Column | str) -> Column:
     return mark_doubts(clean(footer_body(c)), doubts(c))
 
 
+def lower(c: Column) -> Column:
+    """Lower case of each character by itself: a capital sigma at a word's end is no final one."""
+    return F.lower(F.translate(c, "Σ", "σ"))
+
+
 def flatten(c: Column | str) -> Column:
     """Letters and digits in lower case, all else one space; marks count as their words."""
     plain = F.replace(text_of(c), F.lit(UNCLEAR), F.lit(" "))
-    return F.trim(F.lower(F.regexp_replace(plain, f"[^{ALNUM}]+", " ")))
+    return F.trim(lower(F.regexp_replace(plain, f"[^{ALNUM}]+", " ")))
 
 
 def normalise(line: Column) -> Column:
-    return F.lower(F.regexp_replace(line, f"[^{ALNUM}]", ""))
+    return lower(F.regexp_replace(line, f"[^{ALNUM}]", ""))
 
 
 def is_blank_page(c: Column | str) -> Column:

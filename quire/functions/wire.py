@@ -80,6 +80,11 @@ def render_command(pdf: Column, width: Column, out: Column) -> Column:
     return F.array(F.lit("pdftoppm"), F.lit("-png"), F.lit("-scale-to-x"), width.cast("string"), F.lit("-scale-to-y"), F.lit("-1"), pdf, out)
 
 
+def page_count_command(pdf: Column) -> Column:
+    """Arguments that ask for the number of a PDF's pages."""
+    return F.array(F.lit("pdfinfo"), pdf)
+
+
 def page_count(output: Column) -> Column:
     """The number behind the first ``Pages:`` line that has one."""
     found = F.regexp_extract_all(output, F.lit(r"(?m)^Pages:([^\n]*)$"), F.lit(1))

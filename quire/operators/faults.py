@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import math
 from collections import Counter
 
 import pandas as pd
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions import text as X
-from quire.operators.merge import _normal
+from quire.operators.merge import similar
 
 # Fixed values of the rules.
 OPENERS = ("here is", "here's", "sure,", "certainly", "i've transcribed", "the transcription", "below is")
@@ -48,36 +50,63 @@ def repetition(ls: Column) -> Column:
         (t != "") & (t == F.get(ts, i + 1)) & (t == F.get(ts, i + 2)) & (t == F.get(ts, i + 3)), i)), lambda v: v.isNotNull()), 0))
 
 
-def _first_copy(lines: list[str]) -> list[int] | None:
-    """Places of the first two blocks of three lines that are alike; unlike lengths rule most pairs out."""
-    meaty = [(k, _normal(x)) for k, x in enumerate(lines) if len(x.strip().encode()) > MEATY_BYTES]
-    grams = [Counter(zip(x, x[1:])) for _, x in meaty]
-    sizes = [max(0, len(x) - 1) for _, x in meaty]
-
-    def same(p: int, q: int) -> bool:
-        if meaty[p][1] == meaty[q][1]:
-            return True
-        m, n = sizes[p], sizes[q]
-        return bool(m and n and 2 * min(m, n) > SAME * (m + n) and 2.0 * (grams[p] & grams[q]).total() / (m + n) > SAME)
-
-    alike: dict[tuple[int, int], bool] = {}
-    for p in range(len(meaty) - BLOCK):
-        for q in range(p + BLOCK, len(meaty) - BLOCK + 1):
-            for o in range(BLOCK):
-                key = (p + o, q + o)
-                if not (alike[key] if key in alike else alike.setdefault(key, same(*key))):
-                    break
-            else:
-                return [meaty[p][0], meaty[q][0]]
-        for q in range(p + 1, len(meaty)):
-            alike.pop((p, q), None)
+def numbered_grams(normal: str) -> list[tuple[str, int]]:
+    """Bigrams with the number of their occurrence, so that sets of them act as multisets."""
+    seen: Counter = Counter()
+    out = []
+    for g in map("".join, zip(normal, normal[1:])):
+        seen[g] += 1
+        out.append((g, seen[g]))
+    return out
+
+
+def alike(normals: list[str]) -> list[set[int]]:
+    """For each of some distinct normal forms those with a similarity above SAME, itself included.
+
+    Two such forms share one of the rarest grams of each: with m grams, all but 9/11 of them and one more.
+    """
+    grams = [numbered_grams(x) for x in normals]
+    common = Counter(g for x in grams for g in x)
+    holders: dict[tuple[str, int], list[int]] = {}
+    found = [{k} for k in range(len(normals))]
+    for k, x in enumerate(grams):
+        rare = sorted(x, key=lambda g: (common[g], g))[: len(x) - math.ceil(len(x) * SAME / (2 - SAME)) + 1]
+        for j in {j for g in rare for j in holders.get(g, ())}:
+            m, n = len(x), len(grams[j])
+            if 2 * min(m, n) > SAME * (m + n) and similar(normals[k], normals[j]) > SAME:
+                found[k].add(j)
+                found[j].add(k)
+        for g in rare:
+            holders.setdefault(g, []).append(k)
+    return found
+
+
+def first_copy(normals: list[str]) -> list[int] | None:
+    """Places of the first two blocks of three lines that are alike, of the normal forms of lines."""
+    kinds = {x: k for k, x in enumerate(dict.fromkeys(normals))}
+    own, close = [kinds[x] for x in normals], alike(list(kinds))
+    places: dict[int, list[int]] = {}
+    for p, k in enumerate(own):
+        places.setdefault(k, []).append(p)
+    for p in range(len(own) - BLOCK):
+        one, two, three = (close[own[p + o]] for o in range(BLOCK))
+        later = (places[k][bisect.bisect_left(places[k], p + BLOCK) :] for k in one)
+        q = min((next((q for q in some if q + 2 < len(own) and own[q + 1] in two and own[q + 2] in three), len(own)) for some in later), default=len(own))
+        if q < len(own):
+            return [p, q]
     return None
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
-def duplicated_block(lines: pd.Series) -> pd.Series:
-    """Two places where the same three lines start, or null."""
-    return lines.map(lambda ls: _first_copy(list(ls)) if ls is not None and len(ls) >= 2 * BLOCK else None)
+def _copies(normals: pd.Series) -> pd.Series:
+    return normals.map(lambda xs: first_copy(list(xs)) if xs is not None and len(xs) >= 2 * BLOCK else None)
+
+
+def duplicated_block(ls: Column) -> Column:
+    """Two places where the same three lines start, or null; short lines don't count."""
+    meaty = F.filter(F.transform(ls, lambda x, i: F.struct(i.alias("at"), x.alias("x"))), lambda p: F.octet_length(X.trim(p["x"])) > MEATY_BYTES)
+    found = _copies(F.transform(meaty, lambda p: X.normalise(p["x"])))
+    return F.when(found.isNotNull(), F.transform(found, lambda k: F.get(meaty, k)["at"]))
 
 
 def fault_details(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -109,7 +138,7 @@ def fault_names(details: DataFrame) -> DataFrame:
         F.when(F.col("repeat_at").isNotNull(), F.lit("no repetition loop")),
         F.when(~F.col("empty") & F.col("copy_at").isNotNull(), F.lit("no duplicated seam")),
     )
-    named = details.withColumn("copy_at", duplicated_block("_lines"))
+    named = details.withColumn("copy_at", duplicated_block(F.col("_lines")))
     return named.select("doc_id", F.filter(rules, lambda r: r.isNotNull()).alias("faults"))
 
 
@@ -125,6 +154,20 @@ def grade(faults: DataFrame, recalled: DataFrame, docs: DataFrame, doubts_expect
     return joined.select("doc_id", "fraction", F.array_join("faults", "; ").alias("faults"), warned.alias("warned"), "uncertainty", "characters", passed.alias("passed"))
 
 
+def cases(df: DataFrame, wanted: str | None, name: str = "name") -> DataFrame:
+    """The cases whose name contains ``wanted``; all without it."""
+    return df.where(F.contains(F.col(name), F.lit(wanted))) if wanted else df
+
+
+def announce(scores: DataFrame, recalled: DataFrame, missed: DataFrame) -> DataFrame:
+    """(doc_id, verdict, said): the lines that are told of each case."""
+    whole = F.floor(F.col("fraction") * 100 + 0.5).cast("string")
+    head = F.concat(F.lit("recall "), F.col("found").cast("string"), F.lit("/"), F.col("total").cast("string"), F.lit(" ("), whole, F.lit("%), "), F.col("characters").cast("string"), F.lit(" chars, "), F.col("uncertainty").cast("string"), F.lit(" unclear"))
+    lines = F.array(head, F.when(F.col("faults") != "", F.concat(F.lit("faults: "), "faults")), F.when(F.col("warned"), F.lit("warning: doubts expected, none marked")), F.when(F.col("missing") != "", F.concat(F.lit("missed: "), "missing")))
+    joined = scores.join(recalled.select("doc_id", "found", "total"), "doc_id").join(missed, "doc_id")
+    return joined.select("doc_id", F.when(F.col("passed"), "PASS").otherwise("FAIL").alias("verdict"), F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n").alias("said"))
+
+
 def report(scores: DataFrame) -> DataFrame:
     """(passed, total, mean_recall) over all documents."""
     return scores.agg(F.count_if("passed").alias("passed"), F.count("*").alias("total"), F.round(F.avg("fraction"), 9).alias("mean_recall"))

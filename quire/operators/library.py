@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.sources.tables import shared_folder, written
+
 
 def is_notebook() -> Column:
     return (F.col("kind") == "document") & F.coalesce(F.col("file_type"), F.lit("")).isin("", "notebook")
@@ -14,25 +16,28 @@ def is_deleted() -> Column:
     return F.col("parent").eqNullSafe("trash")
 
 
-def walk(items: DataFrame, root: str = "", deepest: int = 64) -> DataFrame:
-    """(id, depth, path) of what can be reached from the root over folders that aren't deleted.
+def walk(items: DataFrame, root: str = "") -> DataFrame:
+    """(id, depth, path) of what can be reached from the root over folders that aren't deleted, at any depth.
 
-    Level by level, each a join on the parent; an item has one parent, so a cycle is never reached from the root and
-    the walk ends when a level is empty. ``deepest`` only guards against an endless chain of malformed input.
+    Level by level, each a join on the parent that is written as a table once. A folder is opened where it is met
+    first, so the walk ends also where ids repeat in a cycle.
     """
-    folders = (F.col("kind") == "folder") & ~is_deleted()
-    level = items.where(F.col("parent") == root).select("id", F.lit(0).alias("depth"), F.col("name").alias("path"), folders.alias("_open"))
-    found = [level]
-    for depth in range(1, deepest):
-        parents = level.where("_open").select(F.col("id").alias("parent"), F.col("path").alias("_above"))
+    folder = shared_folder(items.sparkSession, "walk")
+    opens = (F.col("kind") == "folder") & ~is_deleted()
+    level = items.where(F.col("parent") == root).select("id", F.lit(0).alias("depth"), F.col("name").alias("path"), opens.alias("open"))
+    paths = [f"{folder}/0"]
+    level, opened = written(level, paths[0]), None
+    while True:
+        parents = level.where("open").groupBy(F.col("id").alias("parent")).agg(F.min("path").alias("above"))
+        if opened is not None:
+            parents = parents.join(opened, "parent", "left_anti")
+        parents = written(parents, f"{folder}/opened-{len(paths)}")
         if parents.isEmpty():
-            break
-        level = items.join(parents, "parent").select("id", F.lit(depth).alias("depth"), F.concat("_above", F.lit("/"), "name").alias("path"), folders.alias("_open"))
-        found.append(level)
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out.drop("_open")
+            return items.sparkSession.read.schema(level.schema).parquet(*paths).drop("open")
+        opened = items.sparkSession.read.schema(parents.schema).parquet(*[f"{folder}/opened-{k}" for k in range(1, len(paths) + 1)]).select("parent")
+        below = items.join(parents, "parent").select("id", F.lit(len(paths)).alias("depth"), F.concat("above", F.lit("/"), "name").alias("path"), opens.alias("open"))
+        paths.append(f"{folder}/{len(paths)}")
+        level = written(below, paths[-1])
 
 
 def sorted_rank(items: DataFrame, group: Column) -> DataFrame:

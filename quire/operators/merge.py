@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 
 import pandas as pd
@@ -47,32 +48,37 @@ def best_seams(pairs: DataFrame) -> DataFrame:
     return anchors.groupBy("page", "index").agg(best.alias("b")).select("page", "index", "b.keep", "b.resume", "b.score")
 
 
-def _normal(line: str) -> str:
-    return "".join(c for c in line if c.isalnum()).lower()
+@functools.lru_cache(maxsize=4096)
+def _grams(normal: str) -> Counter:
+    return Counter(zip(normal, normal[1:]))
 
 
-def _similar(a: str, b: str) -> float:
-    a, b = _normal(a), _normal(b)
+def similar(a: str, b: str) -> float:
+    """Of two normal forms; the same as ``text.similarity`` of the lines."""
     if a == b:
         return 1.0
     if len(a) < 2 or len(b) < 2:
         return 0.0
-    x, y = Counter(zip(a, a[1:])), Counter(zip(b, b[1:]))
-    return 2.0 * (x & y).total() / (len(a) + len(b) - 2)
+    return 2.0 * (_grams(a) & _grams(b)).total() / (len(a) + len(b) - 2)
 
 
-def _seam(above: list[str], below: list[str], strict: bool) -> tuple[int, int]:
+#: (line, normal form, whether it is blank)
+Line = tuple[str, str, bool]
+
+
+def seam(above: list[Line], below: list[Line], strict: bool) -> tuple[int, int]:
+    """(keep, resume): how much of ``above`` stays, and where ``below`` goes on."""
     best, at = 0.0, (len(above), 0)
     for i in range(max(0, len(above) - DEPTH), len(above)):
-        if not above[i].strip() or (strict and not _normal(above[i])):
+        if above[i][2] or (strict and not above[i][1]):
             continue
         for j in range(min(DEPTH, len(below))):
-            if _similar(above[i], below[j]) < ANCHOR:
+            if similar(above[i][1], below[j][1]) < ANCHOR:
                 continue
             run, score = 0, i / len(above) + 0.5 * (1 - j / len(below))
-            for a, b in zip(above[i:], below[j:]):
-                if a.strip() or b.strip():
-                    s = _similar(a, b)
+            for (_, a, a_blank), (_, b, b_blank) in zip(above[i:], below[j:]):
+                if not (a_blank and b_blank):
+                    s = similar(a, b)
                     if s < EXTEND:
                         break
                     score += 2 + s
@@ -85,26 +91,27 @@ def _seam(above: list[str], below: list[str], strict: bool) -> tuple[int, int]:
 def merge_pages(answers: DataFrame, key: str = "page", strict: bool = True) -> DataFrame:
     """(key, text): a page's answered sections joined in order, without what neighbours both read.
 
-    The seam of a section depends on all that was merged before it, so a page is folded in its own task. Sections
-    without an answer are left out; without a seam, one blank line keeps two sections apart. ``strict`` forbids a
-    seam at a line of punctuation only, which equals every other such line.
+    The seam of a section depends on all that was merged before it, so a page is folded in its own task. Lines, their
+    normal forms and blanks come from the column functions that the seam queries use. Sections without an answer are
+    left out; without a seam, one blank line keeps two sections apart. ``strict`` forbids a seam at a line of
+    punctuation only, which equals every other such line.
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        merged: list[str] | None = None
-        for text in pdf.sort_values("index")["text"]:
-            below = [x.removesuffix("\r") for x in text.split("\n")] if text else []
-            below = below[:-1] if below and not below[-1] else below
+        merged: list[Line] | None = None
+        for lines, normals, blanks in pdf.sort_values("index")[["lines", "normals", "blanks"]].itertuples(index=False, name=None):
+            below = list(zip(lines, normals, blanks))
             if merged is None:
                 merged = below
                 continue
-            keep, resume = _seam(merged, below, strict)
-            merged = merged[:keep]
-            if not resume and not (merged and not merged[-1].strip()):
-                merged.append("")
+            keep, resume = seam(merged, below, strict)
+            del merged[keep:]
+            if not resume and not (merged and merged[-1][2]):
+                merged.append(("", "", True))
             merged += below[resume:]
-        full = [i for i, x in enumerate(merged or []) if x.strip()]
-        return pd.DataFrame({key: pdf[key].iloc[:1], "text": ["\n".join(merged[full[0] : full[-1] + 1]) if full else ""]})
+        full = [i for i, x in enumerate(merged or []) if not x[2]]
+        return pd.DataFrame({key: pdf[key].iloc[:1], "text": ["\n".join(x[0] for x in merged[full[0] : full[-1] + 1]) if full else ""]})
 
-    answered = answers.where(F.col("text").isNotNull()).select(key, "index", "text")
-    return answered.groupBy(key).applyInPandas(fold, f"{key} long, text string")
+    answered = answers.where(F.col("text").isNotNull()).select(key, "index", X.lines("text").alias("lines"))
+    read = answered.select(key, "index", "lines", F.transform("lines", X.normalise).alias("normals"), F.transform("lines", X.is_empty).alias("blanks"))
+    return read.groupBy(key).applyInPandas(fold, f"{key} long, text string")

@@ -103,3 +103,9 @@ def missing(hits: Hits) -> DataFrame:
     lacked = pairs.join(hits.found, ["_row", "_item"], "left_anti").groupBy("_row").agg(F.sort_array(F.collect_list("item_id")).alias("ids"))
     listed = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
     return hits.docs.select("doc_id", "_row").join(lacked, "_row", "left").select("doc_id", F.coalesce(listed, F.lit("")).alias("missing"))
+
+
+def repeated(anchors: DataFrame) -> DataFrame:
+    """(anchor, n) of the flattened anchors that a suite holds more than once; a sound suite has none."""
+    flat = anchors.select(X.flatten("text").alias("anchor"))
+    return flat.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")

@@ -155,7 +155,8 @@ def collapse_spaces(spark, sf_dir):
     return rows.select("doc_id", "row", X.collapse_spaces(F.col("line")).alias("line"))
 
 
-@query(f"""with {RAW}, unfenced as (
+# The cleaned texts of ``raws`` (doc_id, raw).
+CLEANED = f"""unfenced as (
   select doc_id, case when starts_with(trim(raw, ' ' || chr(10)), '```') and contains(trim(raw, ' ' || chr(10)), chr(10))
     then regexp_replace(regexp_replace(trim(raw, ' ' || chr(10)), '^[^\\n]*\\n', ''), '```\\s*$', '') else raw end as body from raws
 ), ls as (
@@ -170,9 +171,13 @@ def collapse_spaces(spark, sf_dir):
 ), squeezed as (
   select doc_id, row, regexp_extract(rest, '^\\s*') || regexp_replace(regexp_replace(rest, '^\\s*', ''), ' {{2,}}', ' ', 'g') as line from cut
   where not (line = '' and above = '')
-)
-select u.doc_id, coalesce(regexp_replace(string_agg(s.line, chr(10) order by s.row), '^\\n+|\\n+$', '', 'g'), '') as cleaned
-from unfenced u left join squeezed s on u.doc_id = s.doc_id group by u.doc_id""")
+), cleaned as (
+  select u.doc_id, coalesce(regexp_replace(string_agg(s.line, chr(10) order by s.row), '^\\n+|\\n+$', '', 'g'), '') as cleaned
+  from unfenced u left join squeezed s on u.doc_id = s.doc_id group by u.doc_id
+)"""
+
+
+@query(f"with {RAW}, {CLEANED} select doc_id, cleaned from cleaned")
 def clean_text(spark, sf_dir):
     return T.raw_answers(docs_of(spark, sf_dir)).select("doc_id", X.clean("raw").alias("cleaned"))
 
@@ -276,13 +281,28 @@ def render_width(spark, sf_dir):
 
 
 @query("""with bytes_ as (
-  select doc_id, i, cast('0x' || substr(h, i * 2 + 1, 2) as integer) as v from (select doc_id, hex(encode(text)) as h from documents), lateral (select unnest(range(0, length(h) // 96 * 48)) as i))
+  select doc_id, i, cast('0x' || substr(h, i * 2 + 1, 2) as integer) as v
+  from (select doc_id, rpad(hex(encode(text)), cast(ceil(strlen(text) / 48e0) as integer) * 96, '0') as h from documents), lateral (select unnest(range(0, length(h) // 2)) as i))
 select doc_id, i // 48 as row, cast(sum(v) // 48 as integer) as brightness from bytes_ group by all""")
 def image_profile(spark, sf_dir):
-    """Texts as raw RGB images, 16 pixels wide: the bytes of the text are the pixels."""
-    data = F.encode(X.text_of("text"), "UTF-8")
-    shaped = docs_of(spark, sf_dir).select("doc_id", F.lit(16).alias("width"), F.floor(F.octet_length(X.text_of("text")) / 48).cast("int").alias("height"), F.lit(3).alias("channels"), data.alias("data"))
-    return I.profile_rows(shaped, "doc_id")
+    return I.profile_rows(_text_images(spark, sf_dir), "doc_id")
+
+
+def _text_images(spark, sf_dir) -> DataFrame:
+    """Texts as raw RGB images, 16 pixels wide: the bytes of the text are the pixels, the last row is filled with black."""
+    height = F.ceil(F.octet_length(X.text_of("text")) / 48).cast("int")
+    data = F.unhex(F.rpad(F.hex(F.encode(X.text_of("text"), "UTF-8")), height * 96, F.lit("0")))
+    return docs_of(spark, sf_dir).select("doc_id", F.lit(16).alias("width"), height.alias("height"), F.lit(3).alias("channels"), data.alias("data"))
+
+
+@query("""select doc_id, 16 as width, h - 1 - mod(doc_id, 3) as height from (select doc_id, cast(ceil(strlen(text) / 48e0) as integer) as h from documents)
+where h - 1 > mod(doc_id, 3)""")
+def section_png(spark, sf_dir):
+    """A section of each text's image as a PNG file, without the first rows and the last; sizes from the file's head."""
+    cut = _text_images(spark, sf_dir).withColumn("top", (F.col("doc_id") % 3).cast("int")).withColumn("bottom", F.col("height") - 1)
+    made = I.section_png(cut).where("error is null")
+    number = lambda at: F.conv(F.hex(F.substring("png", at, 4)), 16, 10).cast("long")
+    return made.select("doc_id", number(17).cast("int").alias("width"), number(21).alias("height"))
 
 
 # ---- similarity, seams and merging
@@ -398,6 +418,25 @@ BROKEN = f"""{COPIES}, broken as (
 
 # ---- the run
 
+#: The prompt of every section of a relation like ``turns``.
+PROMPTS_OF = """numbered as (
+  select *, lag(text) over (partition by page order by idx) as previous, count(*) over (partition by page) as total from {0}
+), ls as (
+  select page, idx, unnest(range(len(a))) as row, unnest(a) as line from (select page, idx, string_split(previous, chr(10)) as a from numbered where previous <> '')
+), full_ as (
+  select *, row_number() over (partition by page, idx order by row desc) as back from ls where regexp_replace(line, '\\s', '', 'g') <> ''
+), tails as (
+  select page, idx, string_agg(line, chr(10) order by row) as tail from full_ where back <= 10 group by all
+), prompts as (
+  select n.page, n.idx as section, 'Write down what this image says as Markdown, line by line.' || chr(10) || case when total <= 1 then '' else chr(10)
+  || case when n.idx = 0 then 'Top section' when n.idx + 1 >= total then 'Bottom section' else 'Middle section' end || ', ' || (n.idx + 1) || ' of ' || total || '.' || chr(10)
+  || case when n.idx = 0 then 'The last line may be cut; leave it to the next section.' when n.idx + 1 >= total then 'The first lines were read already; go on after them.'
+     else 'The first lines were read already and the last line may be cut.' end || chr(10)
+  || case when n.idx > 0 and tail is not null then chr(10) || 'The section above ended so:' || chr(10) || '```' || chr(10) || tail || chr(10) || '```' || chr(10) else '' end end as prompt
+from numbered n left join tails t on n.page = t.page and n.idx = t.idx)"""
+PROMPTS = f"{TURNS}, {PROMPTS_OF.format('turns')}"
+
+
 
 @query(f"with {TURNS} select page, idx as section, lag(text) over (partition by page order by idx) as previous from turns")
 def previous_context(spark, sf_dir):
@@ -414,21 +453,7 @@ def context_tail(spark, sf_dir):
     return T.conversation_answers(spark, sf_dir).select("page", F.col("index").alias("section"), X.tail_lines("text").alias("tail"))
 
 
-@query(f"""with {TURNS}, numbered as (
-  select *, lag(text) over (partition by page order by idx) as previous, count(*) over (partition by page) as total from turns
-), ls as (
-  select page, idx, unnest(range(len(a))) as row, unnest(a) as line from (select page, idx, string_split(previous, chr(10)) as a from numbered where previous <> '')
-), full_ as (
-  select *, row_number() over (partition by page, idx order by row desc) as back from ls where regexp_replace(line, '\\s', '', 'g') <> ''
-), tails as (
-  select page, idx, string_agg(line, chr(10) order by row) as tail from full_ where back <= 10 group by all
-)
-select n.page, n.idx as section, 'Write down what this image says as Markdown, line by line.' || chr(10) || case when total <= 1 then '' else chr(10)
-  || case when n.idx = 0 then 'Top section' when n.idx + 1 >= total then 'Bottom section' else 'Middle section' end || ', ' || (n.idx + 1) || ' of ' || total || '.' || chr(10)
-  || case when n.idx = 0 then 'The last line may be cut; leave it to the next section.' when n.idx + 1 >= total then 'The first lines were read already; go on after them.'
-     else 'The first lines were read already and the last line may be cut.' end || chr(10)
-  || case when n.idx > 0 and tail is not null then chr(10) || 'The section above ended so:' || chr(10) || '```' || chr(10) || tail || chr(10) || '```' || chr(10) else '' end end as prompt
-from numbered n left join tails t on n.page = t.page and n.idx = t.idx""")
+@query(f"with {PROMPTS} select page, section, prompt from prompts")
 def section_prompt(spark, sf_dir):
     from pyspark.sql import Window
 
@@ -472,6 +497,42 @@ def stream_progress(spark, sf_dir):
     return ST.run_once(spark, ST.page_progress(stream), T.shared_folder(spark, "stream"))
 
 
+@query(f"""with {TURNS}, raws as (select page || ':' || idx as doc_id, text as raw from turns where text is not null), {CLEANED}
+select page, idx as section, cleaned as text, lapse from turns left join cleaned on doc_id = page || ':' || idx""")
+def accepted_lapses(spark, sf_dir):
+    """Every turn as a section whose answer arrived whole, in part or not at all."""
+    turns = T.conversation_answers(spark, sf_dir)
+    taken = J.accept_lapses(turns.select("page", "index"), turns.select("page", "index", F.col("text").alias("raw"), "lapse"))
+    return taken.select("page", F.col("index").alias("section"), "text", "lapse")
+
+
+@query(f"""with {TURNS}, cut as (select page, idx, case when idx < mod(page, 4) then text end as text, case when idx < mod(page, 4) then lapse end as lapse from turns), {PROMPTS_OF.format('cut')},
+waiting as (select page, min(idx) as idx from cut where text is null and lapse is null group by page)
+select p.page, p.section, p.prompt from prompts p join waiting w on p.page = w.page and p.section = w.idx""")
+def next_step(spark, sf_dir):
+    """The next section to ask for on pages that were read up to some section."""
+    known = lambda c: F.when(F.col("index") < F.col("page") % 4, F.col(c)).alias(c)
+    return J.next_steps(T.conversation_answers(spark, sf_dir).select("page", "index", known("text"), known("lapse"))).select("page", F.col("index").alias("section"), "prompt")
+
+
+def _finished(spark, sf_dir) -> DataFrame:
+    """Fifty documents whose pages are conversations."""
+    pages = J.merged_pages(T.conversation_answers(spark, sf_dir)).withColumn("source", F.concat(F.lit("scan "), (F.col("page") % 50).cast("string")))
+    return J.finish(pages, F.col("page") % 50, F.lit("m"), F.lit("2024-01-02T03:04:05Z"))
+
+
+@query(f"""with {TURNS}, pages as (select page, count(*) as sections, coalesce(bool_or(regexp_replace(text, '\\s', '', 'g') <> ''), false) as answered from turns group by page)
+select mod(page, 50) as grp, 'scan ' || mod(page, 50) as source, cast(row_number() over (partition by mod(page, 50) order by page) as integer) as number, cast(sections as integer) as sections, answered from pages""")
+def finish(spark, sf_dir):
+    rows = _finished(spark, sf_dir).select("grp", "source", F.inline("pages"))
+    return rows.select("grp", "source", "number", "sections", (F.col("text") != "").alias("answered"))
+
+
+@query()
+def finished_text(spark, sf_dir):
+    return _finished(spark, sf_dir).select("grp", RE.body().alias("body"))
+
+
 @query()
 def accepted_answers(spark, sf_dir):
     turns = T.conversation_answers(spark, sf_dir)
@@ -500,11 +561,27 @@ def missing_anchors(spark, sf_dir):
     return R.missing(R.anchor_hits(docs_of(spark, sf_dir), T.table(spark, sf_dir, "benchmark")))
 
 
-@query(f"""with asked as (select item_id, {FLAT.format('text')} as a from benchmark), prompts as (select conv_id * 100 + turn as doc_id, {FLAT.format('text')} as f from conversations where role = 'system')
-select doc_id, item_id from prompts, asked where contains(f, a) or contains(replace(f, ' ', ''), replace(a, ' ', ''))""")
+@query(f"""with {PROMPTS}, keyed as (select page * 1000000 + section as doc_id, {FLAT.format('prompt')} as f from prompts),
+asked as (select conv_id * 1000000 + turn as item_id, {FLAT.format('text')} as a from conversations where length(text) >= 40)
+select doc_id, item_id from keyed, asked where contains(f, a) or contains(replace(f, ' ', ''), replace(a, ' ', ''))""")
 def leak_guard(spark, sf_dir):
-    prompts = T.table(spark, sf_dir, "conversations").where("role = 'system'").select((F.col("conv_id") * 100 + F.col("turn")).alias("doc_id"), "text")
-    return R.found_anchors(R.anchor_hits(prompts, T.table(spark, sf_dir, "benchmark")))
+    """Which prompts give away a turn's text: those that quote the whole of it as context do."""
+    key = lambda a, b: (F.col(a) * 1_000_000 + F.col(b))
+    prompts = section_prompt(spark, sf_dir).select(key("page", "section").alias("doc_id"), F.col("prompt").alias("text"))
+    turns = T.table(spark, sf_dir, "conversations").where(F.length("text") >= 40)
+    return R.found_anchors(R.anchor_hits(prompts, turns.select(key("conv_id", "turn").alias("item_id"), "text")))
+
+
+@query(f"""with asked as (select text from benchmark union all select text from documents where n_chars < 400)
+select {FLAT.format('text')} as anchor, count(*) as n from asked group by 1 having count(*) > 1""")
+def repeated_anchors(spark, sf_dir):
+    short = docs_of(spark, sf_dir).where("n_chars < 400").select("text")
+    return R.repeated(T.table(spark, sf_dir, "benchmark").select("text").unionAll(short))
+
+
+@query("select doc_id, source from documents where contains(source, '1')")
+def case_filter(spark, sf_dir):
+    return FA.cases(docs_of(spark, sf_dir).select("doc_id", "source"), "1", "source")
 
 
 MARKED_TEXT = f"""{MARKED}, texts as (
@@ -586,6 +663,15 @@ def grade(spark, sf_dir):
     return _scores(spark, sf_dir)
 
 
+@query(f"""with {SCORES}, told as (select doc_id, count(*) filter (where found) as found, count(*) as total, string_agg(item_id, ',' order by item_id) filter (where not found) as missing from hits group by doc_id)
+select s.doc_id, case when passed then 'PASS' else 'FAIL' end as verdict, 'recall ' || found || '/' || total || ' (' || cast(floor(fraction * 100 + 0.5e0) as bigint) || '%), ' || characters || ' chars, ' || uncertainty || ' unclear'
+  || case when faults <> '' then chr(10) || 'faults: ' || faults else '' end || case when warned then chr(10) || 'warning: doubts expected, none marked' else '' end
+  || case when missing is not null then chr(10) || 'missed: ' || missing else '' end as said from scored s join told t on s.doc_id = t.doc_id""")
+def announce(spark, sf_dir):
+    hits = R.anchor_hits(docs_of(spark, sf_dir), T.table(spark, sf_dir, "benchmark"))
+    return FA.announce(_scores(spark, sf_dir), R.recall(hits), R.missing(hits))
+
+
 @query(f"with {SCORES} select count(*) filter (where passed) as passed, count(*) as total, round(avg(fraction), 9) as mean_recall from scored")
 def report(spark, sf_dir):
     return FA.report(_scores(spark, sf_dir))
@@ -617,11 +703,32 @@ def render_text(spark, sf_dir):
     return RE.paged(docs_of(spark, sf_dir)).select("doc_id", RE.plain_text().alias("out"))
 
 
-@query(f"with {PAGED} select doc_id, any_value(source) as source, any_value(lang) as model, any_value(n) as pages, arg_min(text, number) as first_text from paged group by doc_id")
+@query(f"with {PAGED} select doc_id, any_value(source) as source, any_value(lang) as model, any_value(n) as pages, string_agg(number || ':' || text, chr(10) order by number) as texts from paged group by doc_id")
 def render_json(spark, sf_dir):
     made = RE.paged(docs_of(spark, sf_dir)).select("doc_id", RE.json().alias("j"))
     parsed = F.from_json("j", f"struct<source:string,model:string,processed:string,pages:{RE.PAGES}>")
-    return made.select("doc_id", parsed.alias("p")).select("doc_id", "p.source", "p.model", F.size("p.pages").alias("pages"), X.trim(F.get("p.pages", F.lit(0))["text"]).alias("first_text"))
+    texts = F.array_join(F.transform("p.pages", lambda x: F.concat(x["number"].cast("string"), F.lit(":"), X.trim(x["text"]))), "\n")
+    return made.select("doc_id", parsed.alias("p")).select("doc_id", "p.source", "p.model", F.size("p.pages").alias("pages"), texts.alias("texts"))
+
+
+@query(f"""with {PAGED}, made as (select doc_id, any_value(source) as source, '---' || chr(10) || 'source: ' || to_json(any_value(source))::varchar || chr(10) || 'processed: 2024-01-02T03:04:05Z' || chr(10) || 'pages: ' || any_value(n) || chr(10)
+  || 'model: ' || to_json(any_value(lang))::varchar || chr(10) || '---' || chr(10) || chr(10)
+  || string_agg(case when n > 1 then '## Page ' || number || chr(10) || chr(10) else '' end || text || chr(10), chr(10) || chr(10) order by number) as body from paged group by doc_id)
+select doc_id, source || '.md' as name, body from made""")
+def saved_documents(spark, sf_dir):
+    """Every document written to a file of its own, and the files read back."""
+    folder = T.shared_folder(spark, "saved")
+    rendered = RE.paged(docs_of(spark, sf_dir)).select("doc_id", RE.filename(F.col("source"), F.lit("markdown")).alias("name"), RE.markdown().alias("body"))
+    RE.save(rendered, folder).write.format("noop").mode("overwrite").save()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    part = lambda k: F.element_at(F.split("path", "/"), k)
+    return files.select(part(-2).cast("long").alias("doc_id"), part(-1).alias("name"), F.decode("content", "UTF-8").alias("body"))
+
+
+@query(f"with {PAGED} select doc_id as grp, coalesce(string_agg(text, chr(10) || chr(10) order by number) filter (where text <> ''), '') as text from paged group by doc_id")
+def text_so_far(spark, sf_dir):
+    pages = RE.paged(docs_of(spark, sf_dir)).select("doc_id", F.inline("pages")).select("doc_id", F.col("number").alias("page"), X.trim(F.col("text")).alias("text"))
+    return J.text_so_far(pages, F.col("doc_id"))
 
 
 @query("select doc_id, case when mod(doc_id, 4) = 0 then 'transcript' else source end || case mod(doc_id, 3) when 0 then '.md' when 1 then '.json' else '.txt' end as name from documents")
@@ -740,6 +847,24 @@ def page_order(spark, sf_dir):
     return named.select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy(F.asc_nulls_last("_n"), "event_id")).alias("place"))
 
 
+@query("select event_id, 'pdfinfo in-' || event_id || '.pdf' as command from events")
+def page_count_command(spark, sf_dir):
+    pdf = F.concat(F.lit("in-"), F.col("event_id").cast("string"), F.lit(".pdf"))
+    return T.table(spark, sf_dir, "events").select("event_id", F.array_join(V.page_count_command(pdf), " ").alias("command"))
+
+
+@query("select page_id, case when mod(page_id, 2) = 0 then '/thumbnail/id_' || page_id end as path from pages")
+def thumbnail_path(spark, sf_dir):
+    item = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("id_"), F.col("page_id").cast("string"))).otherwise(F.lit("../x"))
+    return T.table(spark, sf_dir, "pages").select("page_id", V.thumbnail_path(item).alias("path"))
+
+
+@query("select doc_id, text[1:5] = '%PDF-' or mod(doc_id, 3) = 0 as pdf from documents")
+def is_pdf(spark, sf_dir):
+    data = F.encode(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("%PDF-1.7\n"), "text")).otherwise(F.concat(F.lit(" "), "text")), "UTF-8")
+    return docs_of(spark, sf_dir).select("doc_id", V.is_pdf(data).alias("pdf"))
+
+
 @query("""select event_id, case when mod(event_id, 3) = 0 then cast(mod(event_id, 100) as integer) end as pages, 'pdftoppm -png -scale-to-x ' || mod(event_id, 2000) || ' -scale-to-y -1 in.pdf out' as command from events""")
 def page_count(spark, sf_dir):
     e = F.col("event_id")

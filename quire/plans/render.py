@@ -3,6 +3,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,9 +54,29 @@ def paged(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_l", X.lines("text")).select("doc_id", F.col("source"), F.coalesce("lang", F.lit("")).alias("model"), F.lit("2024-01-02T03:04:05Z").alias("processed"), parts.alias("pages"))
 
 
-def save(rendered: DataFrame, folder: str) -> None:
-    """One row of text a document, in folders by format; ``rendered`` is (fmt, body)."""
-    rendered.select("fmt", F.col("body").alias("value")).write.partitionBy("fmt").option("lineSep", "\n").text(folder)
+def save(rendered: DataFrame, folder: str) -> DataFrame:
+    """Write one file for each document of (doc_id, name, body) as ``folder/doc_id/name``; (doc_id, name, bytes) written.
+
+    ``folder`` is a URI of any file system that pyarrow knows. A file appears under its name when it is complete, so a
+    repeated task leaves the same file. Names are the documents' own and may repeat, hence the folder for each.
+    """
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+        for pdf in batches:
+            sizes = []
+            for doc, name, body in pdf.itertuples(index=False, name=None):
+                data, at = body.encode(), f"{root}/{doc}"
+                fs.create_dir(at, recursive=True)
+                part = f"{at}/.{uuid.uuid4().hex}"
+                with fs.open_output_stream(part) as f:
+                    f.write(data)
+                fs.move(part, f"{at}/{name}")
+                sizes.append(len(data))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "name": pdf["name"], "bytes": sizes})
+
+    safe = rendered.select("doc_id", X.safe_filename("name").alias("name"), X.text_of("body").alias("body"))
+    return safe.mapInPandas(write, "doc_id long, name string, bytes long")
 
 
 def timestamp(spark: SparkSession) -> Column:

@@ -8,7 +8,11 @@ import urllib.request
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.functions.wire import server_model, server_vision
+from quire.sources.device import failure, get
 
 TIMEOUT_S = 300
 
@@ -26,13 +30,25 @@ def http(url: str, timeout: int = TIMEOUT_S) -> Ask:
                 choice = json.load(r)["choices"][0]
             return choice["message"]["content"], choice.get("finish_reason") == "length", None
         except urllib.error.HTTPError as e:
-            return None, False, f"failed: {e.code} {e.read(300).decode(errors='replace')}"
-        except (OSError, ValueError, LookupError, TypeError) as e:
+            return None, False, f"failed: {failure(e)} {e.read(300).decode(errors='replace')}"
+        except OSError as e:
+            return None, False, f"failed: {failure(e)}"
+        except (ValueError, LookupError, TypeError) as e:
             return None, False, f"failed: {e}"
 
     return ask
 
 
+def probe(spark: SparkSession, url: str, ask: Callable[[str], str] = get) -> DataFrame:
+    """(model, vision, error) of a server, asked once: one row, with an error where it can't be asked."""
+    try:
+        body, error = ask(f"{url.rstrip('/')}/props"), None
+    except OSError as e:
+        body, error = None, failure(e)
+    told = spark.createDataFrame([(body, error)], "body string, error string")
+    return told.select(server_model(F.col("body")).alias("model"), server_vision(F.col("body")).alias("vision"), "error")
+
+
 def live(sections: DataFrame, ask: Ask, prompt: Callable[[int, int, str | None], str], request: Callable[[str, str], str]) -> DataFrame:
     """(page, index, text, lapse) for sections (page, index, total, url).
 

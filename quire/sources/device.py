@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import wire as V
-from quire.functions.text import valid_id
+from quire.functions.text import safe_filename, valid_id
+from quire.sources.tables import shared_folder, written
 
 # Fixed values of the device's interface.
 LOOPBACK, DEVICE_PORT, TIMEOUT_S = "127.0.0.1", 80, 20
@@ -20,14 +21,20 @@ LOOPBACK, DEVICE_PORT, TIMEOUT_S = "127.0.0.1", 80, 20
 Get = Callable[[str], str]
 
 
-def get(url: str) -> str:
+def get_bytes(url: str) -> bytes:
     with urllib.request.urlopen(url, timeout=TIMEOUT_S) as r:
-        return r.read().decode("utf-8", errors="replace")
+        return r.read()
+
+
+def get(url: str) -> str:
+    return get_bytes(url).decode("utf-8", errors="replace")
 
 
 def failure(error: Exception) -> str:
-    """``unreachable: ...`` for what a wrong address or a sleeping device causes, else ``transport: ...``."""
+    """``cancelled`` for an interrupted request, ``unreachable: ...`` for what a wrong address or a sleeping device causes, else ``transport: ...``."""
     cause = getattr(error, "reason", error)
+    if isinstance(cause, (InterruptedError, KeyboardInterrupt)):
+        return "cancelled"
     if isinstance(error, urllib.error.HTTPError):
         return f"transport: {error.code}"
     return f"{'unreachable' if isinstance(cause, (ConnectionError, TimeoutError, OSError)) else 'transport'}: {cause}"
@@ -65,23 +72,46 @@ def fetch(folders: DataFrame, origin: str, ask: Get = get) -> DataFrame:
     return folders.select("folder", listing_path(F.col("folder")).alias("path")).mapInPandas(read, "folder string, body string, error string")
 
 
-def walk(spark: SparkSession, origin: str, ask: Get = get, deepest: int = 32) -> DataFrame:
-    """All items (id, name, kind, parent, file_type) below the root.
+def walk(spark: SparkSession, origin: str, ask: Get = get) -> DataFrame:
+    """All items (id, name, kind, parent, file_type) below the root, at any depth.
 
-    The folders of a level are asked in parallel. A root that can't be read is an error; another folder is skipped.
-    Folders that were seen are not asked again, so a cycle in the device's answers ends.
+    The folders of a level are asked in parallel and its items are written as a table. A root that can't be read and a
+    folder whose id could be more than a path segment end the walk with an error; another folder that fails is skipped.
+    Folders that were asked are not asked again, so a cycle in the device's answers ends.
     """
-    level, found = [""], []
-    seen = {""}
-    for depth in range(deepest):
-        answers = fetch(spark.createDataFrame([(f,) for f in level], "folder string"), origin, ask)
-        items = answers.select("folder", "error", V.listing_items(F.col("body")).alias("items")).collect()  # one device's folders of one level
-        if depth == 0 and items[0]["items"] is None:
-            raise OSError(items[0]["error"] or "unreadable listing")
-        new = [tuple(i) for r in items for i in r["items"] or []]
-        found += new
-        level = list(dict.fromkeys(i[0] for i in new if i[2] == "folder" and i[3] != "trash" and i[0] not in seen))
-        seen.update(level)
-        if not level:
-            break
-    return spark.createDataFrame(found, "id string, name string, kind string, parent string, file_type string")
+    folder = shared_folder(spark, "device")
+    asked, levels = [f"{folder}/asked-0"], []
+    level = written(spark.createDataFrame([("",)], "folder string"), asked[0])
+    while True:
+        answers = fetch(level, origin, ask).select("folder", "error", V.listing_items(F.col("body")).alias("items"))
+        answers = written(answers, f"{folder}/answers-{len(levels)}")
+        if not levels:
+            root = answers.first()
+            if root["items"] is None:
+                raise OSError(root["error"] or "unreadable listing")
+        levels.append(f"{folder}/items-{len(levels)}")
+        items = written(answers.select(F.inline("items")), levels[-1])
+        opens = items.where("kind = 'folder' and parent <> 'trash'").select(F.col("id").alias("folder")).distinct()
+        unsafe = opens.where(~valid_id(F.col("folder"))).first()
+        if unsafe:
+            raise OSError(f"bad identifier: {unsafe['folder'][:80]}")
+        level = written(opens.join(spark.read.schema("folder string").parquet(*asked), "folder", "left_anti"), f"{folder}/asked-{len(asked)}")
+        asked.append(f"{folder}/asked-{len(asked)}")
+        if level.isEmpty():
+            return spark.read.schema(items.schema).parquet(*levels)
+
+
+def download(items: DataFrame, origin: str, ask: Callable[[str], bytes] = get_bytes) -> DataFrame:
+    """(id, file, content, error) of chosen items (id, name): each as a PDF under its safe name."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for item, file, path in zip(pdf["id"], pdf["file"], pdf["path"]):  # one item at a time in memory
+                try:
+                    row = (item, file, None, "bad identifier") if path is None else (item, file, ask(origin + path), None)
+                except OSError as e:
+                    row = (item, file, None, failure(e))
+                yield pd.DataFrame([row], columns=["id", "file", "content", "error"])
+
+    named = items.select("id", F.concat(safe_filename("name"), F.lit(".pdf")).alias("file"), V.download_path(F.col("id")).alias("path"))
+    return named.mapInPandas(read, "id string, file string, content binary, error string")

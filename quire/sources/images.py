@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import struct
 import subprocess
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.functions.layout import budget_size
 from quire.functions.wire import is_pdf
 
 PNG_END = b"IEND\xaeB`\x82"
@@ -53,6 +56,47 @@ def crop(data: Column, width: Column, height: Column, channels: Column, top: Col
     return F.when(hi > lo, F.substring(data, lo * width * channels + 1, (hi - lo) * width * channels))
 
 
+def shrunk(pixels: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Pixels (rows, columns, channels) by the mean of the area that each new one covers, so thin strokes stay."""
+    for axis, size in ((0, height), (1, width)):
+        edges = np.linspace(0, pixels.shape[axis], size + 1)
+        sums = np.concatenate([np.zeros_like(pixels.take([0], axis), np.float64), np.cumsum(pixels, axis=axis, dtype=np.float64)], axis=axis)
+        whole, rest = np.floor(edges).astype(int), edges - np.floor(edges)
+        part = rest.reshape([-1 if k == axis else 1 for k in range(3)]) * pixels.take(np.minimum(whole, pixels.shape[axis] - 1), axis)
+        pixels = np.diff(sums.take(whole, axis) + part, axis=axis) / np.diff(edges).reshape([-1 if k == axis else 1 for k in range(3)])
+    return np.clip(np.rint(pixels), 0, 255).astype(np.uint8)
+
+
+def png(pixels: np.ndarray) -> bytes:
+    """A PNG file of gray, gray with alpha, RGB or RGBA pixels."""
+    height, width, channels = pixels.shape
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rows = np.concatenate([np.zeros((height, 1), np.uint8), pixels.reshape(height, -1)], axis=1).tobytes()
+    head = struct.pack(">IIBBBBB", width, height, 8, {1: 0, 2: 4, 3: 2, 4: 6}[channels], 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows, 6)) + chunk(b"IEND", b"")
+
+
+def section_png(images: DataFrame) -> DataFrame:
+    """Add ``png`` and ``error`` to (data, width, height, channels, top, bottom): the section's rows, scaled into the
+    pixel budget, as a file. A section without rows is an error."""
+    cut = crop(F.col("data"), F.col("width"), F.col("height"), F.col("channels"), F.col("top"), F.col("bottom"))
+    rows = F.least("bottom", "height") - F.least("top", "height")
+    fit = budget_size(F.col("width"), rows)
+
+    @F.pandas_udf("binary")
+    def encoded(data: pd.Series, w: pd.Series, h: pd.Series, c: pd.Series, fw: pd.Series, fh: pd.Series) -> pd.Series:
+        def one(d, w, h, c, fw, fh):
+            if d is None:
+                return None
+            pixels = np.frombuffer(d, np.uint8).reshape(int(h), int(w), int(c))
+            return png(pixels if (fw, fh) == (w, h) else shrunk(pixels, int(fw), int(fh)))
+
+        return pd.Series([one(*x) for x in zip(data, w, h, c, fw, fh)], dtype=object)
+
+    made = images.withColumn("png", encoded(cut, "width", rows, "channels", fit["width"], fit["height"]))
+    return made.withColumn("error", F.when(F.col("png").isNull(), F.lit("section covers no rows")))
+
+
 def pdf_pages(spark: SparkSession, path: str, width: int) -> DataFrame:
     """(path, page_no, png, error) of every page of every PDF, by ``pdftoppm`` where it is installed.
 
@@ -62,19 +106,18 @@ def pdf_pages(spark: SparkSession, path: str, width: int) -> DataFrame:
     files = spark.read.format("binaryFile").load(path).select("path", "content", is_pdf(F.col("content")).alias("pdf"))
 
     def render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = lambda rows: pd.DataFrame(rows, columns=["path", "page_no", "png", "error"])
         for pdf in batches:
-            rows = []
-            for name, content, known in zip(pdf["path"], pdf["content"], pdf["pdf"]):
+            for name, content, known in zip(pdf["path"], pdf["content"], pdf["pdf"]):  # one file's pages in memory at a time
                 if not known:
-                    rows.append((name, 0, None, "not a PDF"))
+                    yield frame([(name, 0, None, "not a PDF")])
                     continue
                 try:
                     done = subprocess.run(["pdftoppm", "-png", "-scale-to-x", str(width), "-scale-to-y", "-1", "-"], input=content, capture_output=True, timeout=600)
                 except (OSError, subprocess.TimeoutExpired) as e:
-                    rows.append((name, 0, None, f"pdftoppm: {e}"))
+                    yield frame([(name, 0, None, f"pdftoppm: {e}")])
                     continue
                 pages = [x + PNG_END for x in done.stdout.split(PNG_END) if x]
-                rows += [(name, k + 1, p, None) for k, p in enumerate(pages)] or [(name, 0, None, done.stderr.decode(errors="replace") or "no pages")]
-            yield pd.DataFrame(rows, columns=["path", "page_no", "png", "error"])
+                yield frame([(name, k + 1, p, None) for k, p in enumerate(pages)] or [(name, 0, None, done.stderr.decode(errors="replace") or "no pages")])
 
     return files.mapInPandas(render, "path string, page_no int, png binary, error string")

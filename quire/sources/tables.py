@@ -89,11 +89,23 @@ def conversation_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of ``spark.checkpoint.dir``; a temporary one only where that setting is missing."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quire-")
+    """A new path in the folder of ``spark.checkpoint.dir``. Where that is unset, a temporary folder serves a local master
+    only."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="quire-")
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back: it is computed once and survives lost executors."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def layout_of_lines() -> tuple[Column, Column, L.Layout]:
     """(ceiling, least gap, layout) of the pages that documents stand for."""
     width = F.lit(PAGE_WIDTH)

@@ -5,12 +5,8 @@ An extension: the batch operators of ``quire.operators.job`` give the same resul
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 STATE = "answered long, lapsed long, characters long"
 OUT = f"page long, {STATE}"
@@ -19,17 +15,8 @@ OUT = f"page long, {STATE}"
 def page_progress(answers: DataFrame) -> DataFrame:
     """(page, answered, lapsed, characters) so far, whenever a page gets answers; ``answers`` is a stream of
     (page, index, text, lapse)."""
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        answered, lapsed, characters = state.get if state.exists else (0, 0, 0)
-        for pdf in batches:
-            answered += int(pdf["text"].notna().sum())
-            lapsed += int(pdf["lapse"].notna().sum())
-            characters += int(pdf["text"].dropna().str.len().sum())
-        state.update((answered, lapsed, characters))
-        yield pd.DataFrame([(*key, answered, lapsed, characters)], columns=["page", "answered", "lapsed", "characters"])
-
-    return answers.groupBy("page").applyInPandasWithState(update, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    characters = F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0).cast("long"))
+    return answers.groupBy("page").agg(F.count("text").alias("answered"), F.count("lapse").alias("lapsed"), characters.alias("characters"))
 
 
 def run_once(spark: SparkSession, updates: DataFrame, folder: str) -> DataFrame:

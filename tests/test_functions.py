@@ -49,7 +49,7 @@ def test_footer_body(one):
 @pytest.mark.parametrize("text,doubts,want", [
     ("cat concat cat.", ["cat"], "[unclear: cat] concat [unclear: cat]."),
     ("a b", ["a"], "a b"), ("an [unclear: owl] owl", ["owl"], "an [unclear: owl] [unclear: owl]"),
-    ("big cat", ["big cat", "cat"], "[unclear: big cat]"), ("x.y xzy", ["x.y"], "[unclear: x.y] xzy"), ("naïve naïveté", ["naïve"], "[unclear: naïve] naïveté"),
+    ("big cat", ["big cat", "cat"], "[unclear: big cat]"), ("x.y xzy", ["x.y"], "[unclear: x.y] xzy"), ("naïve naïveté", ["naïve"], "[unclear: naïve] naïveté"), (r"a\Eb\Q x\E", [r"a\Eb", r"x\E"], r"[unclear: a\Eb]\Q [unclear: x\E]"),
 ])
 def test_mark_doubts(one, text, doubts, want):
     assert one(X.mark_doubts(F.lit(text), F.array(*map(F.lit, doubts)))) == want
@@ -58,6 +58,7 @@ def test_mark_doubts(one, text, doubts, want):
 def test_flatten_and_normalise(one):
     assert one(X.flatten(F.lit("A-B  [unclear: Cé] 9!"))) == "a b cé 9"
     assert one(X.normalise(F.lit("- A b_C 9."))) == "abc9"
+    assert one(X.normalise(F.lit("ΟΔΟΣ ς"))) == "οδοσς" and one(X.normalise(F.lit("हिन्दी"))) == "हिनदी"
 
 
 @pytest.mark.parametrize("line,bullet,rule", [("- a", True, False), ("  * a", True, False), ("12. a", True, False), (". a", True, False), ("-a", False, False), (" --- ", False, True), ("--", False, False), ("a. b", False, False)])
@@ -65,12 +66,12 @@ def test_line_kinds(one, line, bullet, rule):
     assert one(X.is_bullet(F.lit(line))) == bullet and one(X.is_rule(F.lit(line))) == rule
 
 
-@pytest.mark.parametrize("a,b,want", [("", "", 1.0), ("", "x", 0.0), ("---", "***", 1.0), ("A b", "ab", 1.0), ("a", "b", 0.0), ("night", "nacht", 0.25), ("aaa", "aaaaaa", 4 / 7)])
+@pytest.mark.parametrize("a,b,want", [("", "", 1.0), ("", "x", 0.0), ("---", "***", 1.0), ("A b", "ab", 1.0), ("a", "b", 0.0), ("night", "nacht", 0.25), ("ooo", "ooooooo", 4 / 8)])
 def test_similarity(one, a, b, want):
     assert one(X.similarity(F.lit(a), F.lit(b))) == pytest.approx(want)
 
 
-@pytest.mark.parametrize("name,want", [("Q1 / plan", "Q1 - plan"), ("..a..", "a"), ("...", "Untitled"), ("a\tb", "a b"), (None, "Untitled"), ("a\\b\x01c", "a-b c")])
+@pytest.mark.parametrize("name,want", [("May/June list", "May-June list"), ("..a..", "a"), ("...", "Untitled"), ("a\tb", "a b"), (None, "Untitled"), ("a\\b\x01c", "a-b c")])
 def test_safe_filename(one, name, want):
     assert one(X.safe_filename(F.lit(name))) == want
 
@@ -116,5 +117,6 @@ def test_server_answers(one):
 def test_page_numbers(one):
     assert [one(V.page_number(F.lit(x))) for x in ("/a-1/p-07.png", "p-12.png", "p.png", "p-x.png")] == [7, 12, None, None]
     assert one(V.page_count(F.lit("Title: a\nPages:          12\nx"))) == 12 and one(V.page_count(F.lit("Pages: many"))) is None
+    assert one(V.page_count_command(F.lit("a b.pdf"))) == ["pdfinfo", "a b.pdf"]
     assert one(V.data_url(F.lit(b"foo")))[-4:] == "Zm9v" and one(V.download_path(F.lit("../x"))) is None
     assert one(V.is_pdf(F.lit(b"%PDF-1.4"))) and not one(V.is_pdf(F.lit(b"PDF")))
