@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions import text as X
-from quire.operators.merge import similar
 
 # Fixed values of the rules.
 OPENERS = ("here is", "here's", "sure,", "certainly", "i've transcribed", "the transcription", "below is")
@@ -65,7 +64,7 @@ def alike(normals: list[str]) -> list[set[int]]:
 
     Two such forms share one of the rarest grams of each: with m grams, all but 9/11 of them and one more.
     """
-    grams = [numbered_grams(x) for x in normals]
+    grams = [frozenset(numbered_grams(x)) for x in normals]
     common = Counter(g for x in grams for g in x)
     holders: dict[tuple[str, int], list[int]] = {}
     found = [{k} for k in range(len(normals))]
@@ -73,7 +72,7 @@ def alike(normals: list[str]) -> list[set[int]]:
         rare = sorted(x, key=lambda g: (common[g], g))[: len(x) - math.ceil(len(x) * SAME / (2 - SAME)) + 1]
         for j in {j for g in rare for j in holders.get(g, ())}:
             m, n = len(x), len(grams[j])
-            if 2 * min(m, n) > SAME * (m + n) and similar(normals[k], normals[j]) > SAME:
+            if 2 * min(m, n) > SAME * (m + n) and 2.0 * len(x & grams[j]) / (m + n) > SAME:
                 found[k].add(j)
                 found[j].add(k)
         for g in rare:
