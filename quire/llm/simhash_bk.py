@@ -225,19 +225,21 @@ def components(edges: DataFrame) -> DataFrame:
     both = materialize(edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     hubs = hot_keys(both, "b")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "labels")
+    # Labels only fall, so they are at rest when their sum is.
+    told = lambda df: df.agg(F.count("*"), F.sum(F.col("label").cast("decimal(38,0)"))).first()
+    nodes, total = told(labels)
     while True:
         upper = labels.select(F.col("node").alias("label"), F.col("label").alias("grand"))
-        seen = materialize(join_unique(labels, upper, "label").select("node", "label", "grand"), "grand")
+        seen = materialize(join_unique(labels, upper, "label", hot_keys(labels, "label", nodes)).select("node", "label", "grand"), "grand")
         near = join_unique(both, seen.select(F.col("node").alias("b"), F.col("grand").alias("offer")), "b", hubs).groupBy("a").agg(F.min("offer").alias("offer"))
-        offered = materialize(seen.join(near, seen["node"] == near["a"]).select("node", "label", "grand", "offer"), "offers")
-        moves = offered.select(F.inline(F.array(
+        moves = seen.join(near, seen["node"] == near["a"]).select(F.inline(F.array(
             F.struct(F.col("node"), F.least("offer", "grand").alias("label")),
             F.struct(F.col("label").alias("node"), F.least("offer", "grand").alias("label")),
         )))
-        new = materialize(moves.unionAll(labels).groupBy("node").agg(F.min("label").alias("label")), "labels")
-        if not new.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").limit(1).count():
-            return new
-        labels = new
+        labels = materialize(moves.unionAll(labels).groupBy("node").agg(F.min("label").alias("label")), "labels")
+        before, (_, total) = total, told(labels)
+        if total == before:
+            return labels
 
 
 def owners(by_doc: DataFrame, radius: int) -> DataFrame:

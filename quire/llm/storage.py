@@ -36,23 +36,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def hot_keys(df: DataFrame, key: str, share: int = 1000) -> DataFrame:
-    """(key) of the keys that hold more than one in ``share`` of the rows, of which there are fewer than ``share``."""
+def hot_keys(df: DataFrame, key: str, total: int | None = None, share: int = 1000) -> DataFrame:
+    """(key) of the keys that hold more than one in ``share`` of the ``total`` rows, of which there are fewer than
+    ``share``."""
     counts = df.groupBy(key).agg(F.count("*").alias("_n"))
-    total = df.count()
+    total = df.count() if total is None else total
     return materialize(counts.where(F.col("_n") * share > total).select(key), "hot")
 
 
 def join_unique(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None = None) -> DataFrame:
     """Inner join on ``key``, which is unique in ``right`` while a few keys may hold much of ``left``.
 
-    ``right`` is broadcast if it has at most 1,000 rows. Else rows of ``left`` with a hot key stay where they are and
+    Unless the ``hot`` keys are given, ``right`` is broadcast if it has at most 1,000 rows. Else rows of ``left`` with a hot key stay where they are and
     meet a broadcast of fewer than 1,000 rows; the others are joined as Spark chooses, and none of their keys has more
     than a thousandth of the rows. Both sides should be tables, as they are read more than once.
     """
-    if right.limit(1001).count() <= 1000:
-        return left.join(F.broadcast(right), key)
-    hot = hot_keys(left, key) if hot is None else hot
+    if hot is None:
+        if right.limit(1001).count() <= 1000:
+            return left.join(F.broadcast(right), key)
+        hot = hot_keys(left, key)
     few = right.join(F.broadcast(hot), key, "left_semi")
     apart = left.join(F.broadcast(few), key)
     return apart.unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key))
