@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import adaptive_quality, bloom_cascade, bpe_chunks, chat_format, crf_lang, poisson_mix, poly_hash, simhash_bk, token_counts, wavelet
+from quire.llm import adaptive_quality, bloom_cascade, bpe_chunks, chat_format, crf_lang, periodic_runs, poisson_mix, poly_hash, simhash_bk, token_counts, wavelet
 from quire.llm.storage import documents
 
 
@@ -63,9 +63,15 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", F.round("rate", 6).alias("rate"), "n_copies", "copy_no", "shuffle_key", "text")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all documents, of which one in ten was made periodic from some word on."""
+    made = documents(spark, sf_dir).select("doc_id", periodic_runs.tail_made_periodic(F.col("doc_id"), F.col("text")).alias("text"))
+    return periodic_runs.digests(periodic_runs.periodic_runs(made))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat_formatting, op2_wavelet_ids, op3_token_counts, op4_language, op5_quality_rules, op6_byte_bpe, op7_url_filters, op8_fingerprints, op9_simhash,
-    op10_source_mixing,
+    op10_source_mixing, op13_periodic_runs,
 )}
 
 ORACLE_SQL = {
