@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.storage import picked
+
 LEAST, FOLD = 24, 3
 #: The shortest overlap of a run with itself, one period on: the least of max(LEAST - q, (FOLD - 1) * q) over all q.
 K = min(max(LEAST - q, (FOLD - 1) * q) for q in range(1, LEAST))
@@ -161,7 +163,7 @@ def collapse(text: bytes, n: int, runs: list[tuple[int, int, int]]) -> bytes:
 
 def periodic_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, runs, collapsed): each document's runs, and its words without their repeats."""
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
+    plain = picked(docs, doc_id, text).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
     run = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("runs", pa.list_(run)), ("collapsed", pa.string())])
 

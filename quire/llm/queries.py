@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import adaptive_quality, bloom_cascade, bpe_chunks, chat_format, crf_lang, periodic_runs, poisson_mix, poly_hash, simhash_bk, token_counts, wavelet
+from quire.llm import adaptive_quality, bloom_cascade, bpe_chunks, chat_format, crf_lang, periodic_runs, poisson_mix, poly_hash, prefix_trie, simhash_bk, token_counts, wavelet
 from quire.llm.storage import documents
 
 
@@ -63,6 +63,11 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", F.round("rate", 6).alias("rate"), "n_copies", "copy_no", "shuffle_key", "text")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, each with a beginning borrowed from another."""
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"), rebuilt=True)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of all documents, of which one in ten was made periodic from some word on."""
     made = documents(spark, sf_dir).select("doc_id", periodic_runs.tail_made_periodic(F.col("doc_id"), F.col("text")).alias("text"))
@@ -71,7 +76,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_chat_formatting, op2_wavelet_ids, op3_token_counts, op4_language, op5_quality_rules, op6_byte_bpe, op7_url_filters, op8_fingerprints, op9_simhash,
-    op10_source_mixing, op13_periodic_runs,
+    op10_source_mixing, op12_prefix_trie, op13_periodic_runs,
 )}
 
 ORACLE_SQL = {
@@ -178,4 +183,39 @@ select p.page_id, p.host, p.path, h.rule,
   coalesce(h.said, case when p.host || p.path in (select key from listed) then 'block' else 'allow' end) as verdict
 from parts p left join (select distinct page_id, host, path, rule, said from hits where rn = 1) h
   on p.page_id is not distinct from h.page_id and p.host = h.host and p.path = h.path""",
+    "op12_prefix_trie": r"""
+with turns as (
+  select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as o
+  from conversations where conv_id is not null
+), sizes as (
+  select c, count(*) as n from turns group by c
+), convs as (
+  select c, n, c - c % 5 as b, xor(list_reduce(
+    flatten(list_transform(string_split(cast(c as varchar), ''), lambda ch: list_transform(range(8), lambda k: (ascii(ch) >> k) & 1))),
+    lambda crc, bit: xor(crc >> 1, 3988292384 * (xor(crc, bit) & 1)), 4294967295), 4294967295) % 9 as h from sizes
+), bases as (
+  select v.*, least(v.h, coalesce(s.n, 0)) as taken from convs v left join sizes s on s.c = v.b
+), rebuilt as (
+  select v.c, t.o as d, t.role, t.text from bases v join turns t on t.c = v.b where t.o <= v.taken
+  union all select v.c, v.taken + t.o - v.h, t.role, t.text from bases v join turns t on t.c = v.c where t.o > v.h
+), paths as (
+  select c, d, strlen(text) as size, string_agg(sha256(length(role) || ':' || role || text), '') over (partition by c order by d) as path from rebuilt
+  union all select c, 0, 0, '' from sizes
+), ends as (
+  select c, max(d) as n from paths group by c
+), nodes as (
+  select p.path, min(p.d) as depth, min(p.c) as conv_id, count(*) as n_convs, min(size) as size, string_agg(cast(p.c as varchar), ',' order by p.c) filter (where p.d = e.n) as ids
+  from paths p join ends e on e.c = p.c group by p.path
+), children as (
+  select left(path, greatest(length(path) - 64, 0)) as path, count(*) as n from nodes where depth > 0 group by 1
+), above as (
+  select a.path, (u.n_convs - 1) * u.size as saved, case when k.n is null then 1 else 0 end as leaf
+  from nodes u join paths a on a.c = u.conv_id and a.d <= u.depth left join children k on k.path = u.path
+), subtrees as (
+  select path, sum(saved) as saved, sum(leaf) as leaves from above group by path
+)
+select u.conv_id, cast(u.depth as bigint) as depth, p.conv_id as parent_conv_id, u.n_convs, coalesce(k.n, 0) as n_children, cast(s.leaves as bigint) as n_leaves,
+  cast(s.saved as bigint) as saved_tokens, sha256(coalesce(u.ids, '')) as ends_sha256
+from nodes u join subtrees s on s.path = u.path left join children k on k.path = u.path left join nodes p on u.depth > 0 and p.path = left(u.path, length(u.path) - 64)""",
 }

@@ -76,5 +76,10 @@ def own_names(docs: DataFrame) -> list[str]:
     return [f"c{k}" for k in range(len(docs.columns))]
 
 
+def picked(df: DataFrame, *names: str) -> DataFrame:
+    """The columns of exactly these names, whatever others are named, in another case or with dots."""
+    return df.toDF(*own_names(df)).select(*(F.col(f"c{df.columns.index(n)}").alias(n) for n in names))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

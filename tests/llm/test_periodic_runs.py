@@ -86,7 +86,7 @@ def test_very_long_texts_in_pieces():
 @pytest.fixture(scope="module")
 def odd(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (None, "a " * 30), (5, "a b " * 12), (5, "a b " * 12), (6, "x\x1cy\xa0z " * 24), (9, "été ß 日本 " * 9), (7, "one two"), (20, "\n".join("pqrst"[i % 5] for i in range(200)))]
-    return spark.createDataFrame([(d, t, 1, "clash") for d, t in rows], "doc_id long, text string, runs int, `Text.n` string")
+    return spark.createDataFrame([(d, t, 1, "clash") for d, t in rows], "doc_id long, text string, runs int, `a.text` string").toDF("doc_id", "text", "Text", "a.text")
 
 
 def test_odd_rows(odd, spark):
