@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import adaptive_quality, bloom_cascade, bpe_chunks, chat_format, crf_lang, periodic_runs, poisson_mix, poly_hash, prefix_trie, simhash_bk, token_counts, wavelet
+from quire.llm import adaptive_quality, bloom_cascade, bpe_chunks, chat_format, crf_lang, periodic_runs, poisson_mix, poly_hash, prefix_trie, simhash_bk, string_kernel, token_counts, wavelet
 from quire.llm.storage import documents
 
 
@@ -63,6 +63,11 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", F.round("rate", 6).alias("rate"), "n_copies", "copy_no", "shuffle_key", "text")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return string_kernel.score_documents(docs, string_kernel.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trie of all conversations, each with a beginning borrowed from another."""
     return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"), rebuilt=True)
@@ -76,7 +81,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_chat_formatting, op2_wavelet_ids, op3_token_counts, op4_language, op5_quality_rules, op6_byte_bpe, op7_url_filters, op8_fingerprints, op9_simhash,
-    op10_source_mixing, op12_prefix_trie, op13_periodic_runs,
+    op10_source_mixing, op11_toxicity, op12_prefix_trie, op13_periodic_runs,
 )}
 
 ORACLE_SQL = {
