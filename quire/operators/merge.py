@@ -88,6 +88,28 @@ def seam(above: list[Line], below: list[Line], strict: bool) -> tuple[int, int]:
     return at
 
 
+def joined(merged: list[Line] | None, below: list[Line], strict: bool = True) -> list[Line]:
+    """``merged``, which is changed, with the next section's lines."""
+    if merged is None:
+        return below
+    keep, resume = seam(merged, below, strict)
+    del merged[keep:]
+    if not resume and not (merged and merged[-1][2]):
+        merged.append(("", "", True))
+    return merged + below[resume:]
+
+
+def text_of(merged: list[Line] | None) -> str:
+    """The lines without blank ones at either end."""
+    full = [i for i, x in enumerate(merged or []) if not x[2]]
+    return "\n".join(x[0] for x in merged[full[0] : full[-1] + 1]) if full else ""
+
+
+def read_lines(answers: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` with the lines of ``text``, their normal forms and whether they are blank; null for no answer."""
+    return answers.withColumn("lines", X.lines("text")).select(*columns, "lines", F.transform("lines", X.normalise).alias("normals"), F.transform("lines", X.is_empty).alias("blanks"))
+
+
 def merge_pages(answers: DataFrame, key: str = "page", strict: bool = True) -> DataFrame:
     """(key, text): a page's answered sections joined in order, without what neighbours both read.
 
@@ -100,18 +122,8 @@ def merge_pages(answers: DataFrame, key: str = "page", strict: bool = True) -> D
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         merged: list[Line] | None = None
         for lines, normals, blanks in pdf.sort_values("index")[["lines", "normals", "blanks"]].itertuples(index=False, name=None):
-            below = list(zip(lines, normals, blanks))
-            if merged is None:
-                merged = below
-                continue
-            keep, resume = seam(merged, below, strict)
-            del merged[keep:]
-            if not resume and not (merged and merged[-1][2]):
-                merged.append(("", "", True))
-            merged += below[resume:]
-        full = [i for i, x in enumerate(merged or []) if not x[2]]
-        return pd.DataFrame({key: pdf[key].iloc[:1], "text": ["\n".join(x[0] for x in merged[full[0] : full[-1] + 1]) if full else ""]})
-
-    answered = answers.where(F.col("text").isNotNull()).select(key, "index", X.lines("text").alias("lines"))
-    read = answered.select(key, "index", "lines", F.transform("lines", X.normalise).alias("normals"), F.transform("lines", X.is_empty).alias("blanks"))
+            merged = joined(merged, list(zip(lines, normals, blanks)), strict)
+        return pd.DataFrame({key: pdf[key].iloc[:1], "text": [text_of(merged)]})
+
+    read = read_lines(answers.where(F.col("text").isNotNull()), key, "index")
     return read.groupBy(key).applyInPandas(fold, f"{key} long, text string")

@@ -19,6 +19,7 @@ from quire.plans import render as RE
 from quire.sources import images as I
 from quire.sources import tables as T
 from quire.streaming import progress as ST
+from quire.streaming import run as RUN
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -497,6 +498,18 @@ def stream_progress(spark, sf_dir):
     return ST.run_once(spark, ST.page_progress(stream), T.shared_folder(spark, "stream"))
 
 
+@query(f"""with {TURNS} select page, cast(count(*) as integer) as total, cast(count(*) filter (where text is not null or lapse is not null) as integer) as done,
+  cast(count(*) filter (where lapse = 'failed') as integer) as failed, cast(count(*) filter (where lapse = 'truncated') as integer) as truncated,
+  cast(min(idx) filter (where text is null and lapse is null) as integer) as "index", coalesce(bool_or(regexp_replace(text, '\\s', '', 'g') <> ''), false) as answered from turns group by page""")
+def stream_run(spark, sf_dir):
+    """The conversations as a run that goes on by itself, up to each page's first section that nothing came for."""
+    folder, kind = T.shared_folder(spark, "run"), "conv_id long, turn long, role string, text string"
+    stream = T.answers_of(spark.readStream.schema(kind).parquet(f"{sf_dir}/conversations.parque?"))
+    plan = J.section_counts(T.conversation_answers(spark, sf_dir)).select("page", F.col("sections").cast("int").alias("total"))
+    RUN.run_available(spark, RUN.follow(stream, plan), folder)
+    return RUN.latest(spark, folder).select("page", "total", "done", "failed", "truncated", "index", (F.col("text") != "").alias("answered"))
+
+
 @query(f"""with {TURNS}, raws as (select page || ':' || idx as doc_id, text as raw from turns where text is not null), {CLEANED}
 select page, idx as section, cleaned as text, lapse from turns left join cleaned on doc_id = page || ':' || idx""")
 def accepted_lapses(spark, sf_dir):
@@ -572,11 +585,10 @@ def leak_guard(spark, sf_dir):
     return R.found_anchors(R.anchor_hits(prompts, turns.select(key("conv_id", "turn").alias("item_id"), "text")))
 
 
-@query(f"""with asked as (select text from benchmark union all select text from documents where n_chars < 400)
+@query(f"""with asked as (select text from benchmark union all select text from documents)
 select {FLAT.format('text')} as anchor, count(*) as n from asked group by 1 having count(*) > 1""")
 def repeated_anchors(spark, sf_dir):
-    short = docs_of(spark, sf_dir).where("n_chars < 400").select("text")
-    return R.repeated(T.table(spark, sf_dir, "benchmark").select("text").unionAll(short))
+    return R.repeated(T.table(spark, sf_dir, "benchmark").select("text").unionAll(docs_of(spark, sf_dir).select("text")))
 
 
 @query("select doc_id, source from documents where contains(source, '1')")
