@@ -5,18 +5,25 @@ from __future__ import annotations
 import bisect
 import math
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions import text as X
+from quire.operators.merge import similar
+from quire.operators.recall import row_key
 
 # Fixed values of the rules.
 OPENERS = ("here is", "here's", "sure,", "certainly", "i've transcribed", "the transcription", "below is")
 REPEATS, BLOCK, MEATY_BYTES, SAME, PASS_RECALL = 4, 3, 8, 0.9, 0.85
 
+#: Lines of a text above which candidates are searched by their rarest bigrams instead of by all lags.
+MANY = 600
+
 
 def opens_with_fence(c: Column) -> Column:
     return X.trim_start(c).startswith("```")
@@ -80,8 +87,34 @@ def alike(normals: list[str]) -> list[set[int]]:
     return found
 
 
+def likely_copies(normals: list[str]) -> Iterator[tuple[int, int]]:
+    """(first, second) places of blocks of three lines that may be alike, in order, of a text of not too many lines.
+
+    Lines of m and n bigrams with a similarity above SAME differ in fewer than (1 - SAME) * (m + n) bigrams, hence in at
+    most two letters more; letters are counted in 64 bins. All lags are tried, each for all places at once.
+    """
+    n = len(normals)
+    sizes = np.array([len(x) for x in normals])
+    codes = np.frombuffer("".join(normals).encode("utf-32-le"), np.uint32)
+    counts = np.bincount(np.repeat(np.arange(n), sizes) * 64 + (codes & 63), minlength=64 * n).reshape(n, 64).astype(np.int32)
+    close = []
+    for lag in range(BLOCK, n - BLOCK + 1):
+        apart = np.abs(counts[:-lag] - counts[lag:]).sum(axis=1)
+        near = apart <= (1 - SAME) * (sizes[:-lag] + sizes[lag:]) + 2
+        close += [(p, p + lag) for p in np.flatnonzero(near[:-2] & near[1:-1] & near[2:]).tolist()]
+    yield from sorted(close)
+
+
 def first_copy(normals: list[str]) -> list[int] | None:
     """Places of the first two blocks of three lines that are alike, of the normal forms of lines."""
+    if len(normals) > MANY:
+        return first_copy_of_many(normals)
+    alike = lambda p, q: all(similar(normals[p + o], normals[q + o]) > SAME for o in range(BLOCK))
+    return next(([p, q] for p, q in likely_copies(normals) if alike(p, q)), None)
+
+
+def first_copy_of_many(normals: list[str]) -> list[int] | None:
+    """The same, through the rarest bigrams of each line, so that time grows with the lines and their partners only."""
     kinds = {x: k for k, x in enumerate(dict.fromkeys(normals))}
     own, close = [kinds[x] for x in normals], alike(list(kinds))
     places: dict[int, list[int]] = {}
@@ -108,13 +141,14 @@ def duplicated_block(ls: Column) -> Column:
     return F.when(found.isNotNull(), F.transform(found, lambda k: F.get(meaty, k)["at"]))
 
 
-def fault_details(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, one column a rule): null where a rule holds; an empty text breaks ``not empty`` only."""
-    df = docs.select("doc_id", F.col(text).alias("_text"), X.lines(text).alias("_lines"))
+def fault_details(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, ``keep``, one column a rule): null where a rule holds; an empty text breaks ``not empty`` only."""
+    df = docs.select("doc_id", *keep, F.col(text).alias("_text"), X.lines(text).alias("_lines"))
     empty = X.is_empty(X.text_of("_text"))
     unless = lambda v: F.when(~empty, v)
     return df.select(
         "doc_id",
+        *keep,
         empty.alias("empty"),
         (~empty & opens_with_fence(X.text_of("_text"))).alias("fence"),
         unless(preamble(F.col("_lines"))).alias("preamble"),
@@ -126,8 +160,8 @@ def fault_details(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def fault_names(details: DataFrame) -> DataFrame:
-    """(doc_id, faults): the broken rules in order, joined by ``; ``."""
+def fault_names(details: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, ``keep``, faults): the broken rules in order, joined by ``; ``."""
     rules = F.array(
         F.when(F.col("empty"), F.lit("not empty")),
         F.when(F.col("fence"), F.lit("no code fence")),
@@ -138,19 +172,24 @@ def fault_names(details: DataFrame) -> DataFrame:
         F.when(~F.col("empty") & F.col("copy_at").isNotNull(), F.lit("no duplicated seam")),
     )
     named = details.withColumn("copy_at", duplicated_block(F.col("_lines")))
-    return named.select("doc_id", F.filter(rules, lambda r: r.isNotNull()).alias("faults"))
+    return named.select("doc_id", *keep, F.filter(rules, lambda r: r.isNotNull()).alias("faults"))
 
 
-def grade(faults: DataFrame, recalled: DataFrame, docs: DataFrame, doubts_expected: DataFrame) -> DataFrame:
-    """One score a document: passed means no fault and a recall of at least PASS_RECALL.
+def grade(docs: DataFrame, recalled: DataFrame, doubts_expected: DataFrame) -> DataFrame:
+    """One score a document, repeated ones too: passed means no fault and a recall of at least PASS_RECALL.
 
-    ``doubts_expected`` (doc_id, expected): a warning where doubts are expected and none is marked.
+    All but the recall is found out row by row; ``recalled`` is ``recall_by_row`` of the same documents. ``doubts_expected``
+    (doc_id, expected): a warning where doubts are expected and none is marked.
     """
-    marks = docs.select("doc_id", X.unclear_count("text").alias("uncertainty"), F.length(X.text_of("text")).alias("characters"), X.is_empty(X.text_of("text")).alias("_empty"))
-    joined = faults.join(recalled, "doc_id").join(marks, "doc_id").join(doubts_expected, "doc_id", "left")
+    text = X.text_of("text")
+    marks = docs.select("doc_id", "text", row_key(), X.unclear_count("text").alias("uncertainty"), F.length(text).alias("characters"), X.is_empty(text).alias("_empty"))
+    keep = ("_row", "uncertainty", "characters", "_empty")
+    named = fault_names(fault_details(marks, keep=keep), keep)
+    expected = doubts_expected.groupBy("doc_id").agg(F.bool_or("expected").alias("expected"))
+    joined = named.join(recalled, "_row").join(expected, "doc_id", "left")
     warned = F.coalesce("expected", F.lit(False)) & (F.col("uncertainty") == 0) & ~F.col("_empty")
     passed = (F.size("faults") == 0) & (F.col("fraction") >= PASS_RECALL)
-    return joined.select("doc_id", "fraction", F.array_join("faults", "; ").alias("faults"), warned.alias("warned"), "uncertainty", "characters", passed.alias("passed"))
+    return joined.select("doc_id", "_row", "found", "total", "fraction", F.array_join("faults", "; ").alias("faults"), warned.alias("warned"), "uncertainty", "characters", passed.alias("passed"))
 
 
 def cases(df: DataFrame, wanted: str | None, name: str = "name") -> DataFrame:
@@ -158,12 +197,12 @@ def cases(df: DataFrame, wanted: str | None, name: str = "name") -> DataFrame:
     return df.where(F.contains(F.col(name), F.lit(wanted))) if wanted else df
 
 
-def announce(scores: DataFrame, recalled: DataFrame, missed: DataFrame) -> DataFrame:
-    """(doc_id, verdict, said): the lines that are told of each case."""
+def announce(scores: DataFrame, missed: DataFrame) -> DataFrame:
+    """(doc_id, verdict, said): the lines that are told of each case, of scores and ``missing_by_row``."""
     whole = F.floor(F.col("fraction") * 100 + 0.5).cast("string")
     head = F.concat(F.lit("recall "), F.col("found").cast("string"), F.lit("/"), F.col("total").cast("string"), F.lit(" ("), whole, F.lit("%), "), F.col("characters").cast("string"), F.lit(" chars, "), F.col("uncertainty").cast("string"), F.lit(" unclear"))
     lines = F.array(head, F.when(F.col("faults") != "", F.concat(F.lit("faults: "), "faults")), F.when(F.col("warned"), F.lit("warning: doubts expected, none marked")), F.when(F.col("missing") != "", F.concat(F.lit("missed: "), "missing")))
-    joined = scores.join(recalled.select("doc_id", "found", "total"), "doc_id").join(missed, "doc_id")
+    joined = scores.join(missed, "_row")
     return joined.select("doc_id", F.when(F.col("passed"), "PASS").otherwise("FAIL").alias("verdict"), F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n").alias("said"))
 
 

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
@@ -62,6 +62,11 @@ def keyed(rows: DataFrame, name: str, keys) -> DataFrame:
     return rows.select(name, "dense").mapInArrow(each, f"{name} long, key long")
 
 
+def row_key() -> Column:
+    """A key of (doc_id, text), by which what is found out about a document meets its rows."""
+    return F.xxhash64("doc_id", "text").alias("_row")
+
+
 def anchor_hits(docs: DataFrame, anchors: DataFrame) -> Hits:
     """A document holds an anchor if its flattened text does, or does without spaces; the first implies the second.
 
@@ -69,7 +74,7 @@ def anchor_hits(docs: DataFrame, anchors: DataFrame) -> Hits:
     window's come to the driver. Empty anchors are in every document.
     """
     dense = F.replace(X.flatten("text"), F.lit(" "), F.lit(""))
-    known = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_row"), dense.alias("dense"))
+    known = docs.select("doc_id", row_key(), dense.alias("dense"))
     asked = anchors.select("item_id", F.xxhash64("item_id", "text").alias("_item"), dense.alias("dense"))
     lengths = [r[0] for r in asked.select(F.length("dense")).where(F.length("dense").between(1, WINDOW - 1)).distinct().collect()]  # 39 at most
     each, one = known.dropDuplicates(["_row"]), asked.dropDuplicates(["_item"])
@@ -87,22 +92,44 @@ def found_anchors(hits: Hits) -> DataFrame:
     return hits.docs.select("doc_id", "_row").join(hits.found, "_row").join(hits.anchors.select("item_id", "_item"), "_item").select("doc_id", "item_id")
 
 
-def recall(hits: Hits) -> DataFrame:
-    """(doc_id, found, total, fraction): the fraction of no anchors is 1."""
+def recall_by_row(hits: Hits) -> DataFrame:
+    """(_row, found, total, fraction) of each different document: the fraction of no anchors is 1."""
     copies = hits.anchors.groupBy("_item").agg(F.count("*").alias("copies"))
     counts = hits.found.join(copies, "_item").groupBy("_row").agg(F.sum("copies").alias("n"))
     total = hits.anchors.agg(F.count("*").cast("int").alias("total"))
     n = F.coalesce("n", F.lit(0)).cast("int")
-    joined = hits.docs.select("doc_id", "_row").join(counts, "_row", "left").crossJoin(F.broadcast(total))  # one row
-    return joined.select("doc_id", n.alias("found"), "total", F.when(F.col("total") == 0, F.lit(1.0)).otherwise(n / F.col("total")).alias("fraction"))
+    joined = hits.docs.select("_row").distinct().join(counts, "_row", "left").crossJoin(F.broadcast(total))  # one row
+    return joined.select("_row", n.alias("found"), "total", F.when(F.col("total") == 0, F.lit(1.0)).otherwise(n / F.col("total")).alias("fraction"))
+
+
+def recall(hits: Hits) -> DataFrame:
+    """(doc_id, found, total, fraction), a row for each document."""
+    return hits.docs.select("doc_id", "_row").join(recall_by_row(hits), "_row").drop("_row")
+
+
+def missing_by_row(hits: Hits, size: int = 4096) -> DataFrame:
+    """(_row, missing) of each different document: the anchors that were not found, in order.
+
+    Anchors are dealt into blocks of about ``size``; a document meets each block once, with what it found of it. That is
+    no more work than the answer is long, as a document lacks most of a suite.
+    """
+    n = max(1, -(-hits.anchors.count() // size))
+    block = F.pmod(F.col("_item"), F.lit(n)).alias("block")
+    suite = hits.anchors.groupBy(block).agg(F.array_sort(F.collect_list(F.struct("item_id", "_item"))).alias("asked"))
+    own = hits.found.groupBy("_row", block).agg(F.collect_set("_item").alias("own"))
+    each = hits.docs.select("_row").distinct().select("_row", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("block"))
+    met = each.join(own, ["_row", "block"], "left").join(suite, "block", "left")
+    lacked = F.when(F.col("own").isNull(), F.col("asked")).otherwise(F.filter("asked", lambda x: ~F.array_contains("own", x["_item"])))
+    ids = F.transform(lacked, lambda x: x["item_id"])
+    listed = met.select("_row", F.coalesce(ids, F.array().cast("array<bigint>")).alias("ids"))
+    if n > 1:
+        listed = listed.groupBy("_row").agg(F.array_sort(F.flatten(F.collect_list("ids"))).alias("ids"))
+    return listed.select("_row", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("missing"))
 
 
 def missing(hits: Hits) -> DataFrame:
-    """(doc_id, missing): the anchors that were not found, in order."""
-    pairs = hits.docs.select("_row").distinct().crossJoin(hits.anchors.select("item_id", "_item"))
-    lacked = pairs.join(hits.found, ["_row", "_item"], "left_anti").groupBy("_row").agg(F.sort_array(F.collect_list("item_id")).alias("ids"))
-    listed = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
-    return hits.docs.select("doc_id", "_row").join(lacked, "_row", "left").select("doc_id", F.coalesce(listed, F.lit("")).alias("missing"))
+    """(doc_id, missing), a row for each document."""
+    return hits.docs.select("doc_id", "_row").join(missing_by_row(hits), "_row").drop("_row")
 
 
 def repeated(anchors: DataFrame) -> DataFrame:

@@ -655,12 +655,11 @@ def unclear_count(spark, sf_dir):
     return raws.select("doc_id", X.unclear_count("raw").alias("marks"))
 
 
-def _scores(spark, sf_dir) -> DataFrame:
+def _scores(spark, sf_dir) -> tuple[DataFrame, R.Hits]:
     docs = docs_of(spark, sf_dir)
-    named = FA.fault_names(FA.fault_details(docs))
-    recalled = R.recall(R.anchor_hits(docs, T.table(spark, sf_dir, "benchmark")))
+    hits = R.anchor_hits(docs, T.table(spark, sf_dir, "benchmark"))
     expected = T.table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 0).alias("expected"))
-    return FA.grade(named, recalled, docs, expected)
+    return FA.grade(docs, R.recall_by_row(hits), expected), hits
 
 
 SCORES = f"""{PLAIN_TEXT}, {BROKEN}, {HITS}, scored as (
@@ -672,7 +671,7 @@ SCORES = f"""{PLAIN_TEXT}, {BROKEN}, {HITS}, scored as (
 
 @query(f"with {SCORES} select doc_id, fraction, faults, warned, uncertainty, characters, passed from scored")
 def grade(spark, sf_dir):
-    return _scores(spark, sf_dir)
+    return _scores(spark, sf_dir)[0].drop("_row", "found", "total")
 
 
 @query(f"""with {SCORES}, told as (select doc_id, count(*) filter (where found) as found, count(*) as total, string_agg(item_id, ',' order by item_id) filter (where not found) as missing from hits group by doc_id)
@@ -680,13 +679,13 @@ select s.doc_id, case when passed then 'PASS' else 'FAIL' end as verdict, 'recal
   || case when faults <> '' then chr(10) || 'faults: ' || faults else '' end || case when warned then chr(10) || 'warning: doubts expected, none marked' else '' end
   || case when missing is not null then chr(10) || 'missed: ' || missing else '' end as said from scored s join told t on s.doc_id = t.doc_id""")
 def announce(spark, sf_dir):
-    hits = R.anchor_hits(docs_of(spark, sf_dir), T.table(spark, sf_dir, "benchmark"))
-    return FA.announce(_scores(spark, sf_dir), R.recall(hits), R.missing(hits))
+    scores, hits = _scores(spark, sf_dir)
+    return FA.announce(scores, R.missing_by_row(hits))
 
 
 @query(f"with {SCORES} select count(*) filter (where passed) as passed, count(*) as total, round(avg(fraction), 9) as mean_recall from scored")
 def report(spark, sf_dir):
-    return FA.report(_scores(spark, sf_dir))
+    return FA.report(_scores(spark, sf_dir)[0])
 
 
 # ---- rendering

@@ -31,3 +31,19 @@ def test_large_suite(spark):
     anchors = spark.range(160_000).selectExpr("id as item_id", "concat(repeat(concat('anchor', id, 'x'), 20)) as text")
     docs = anchors.where("item_id in (7, 99)").selectExpr("item_id as doc_id", "concat('before ', text, ' after') as text")
     assert sorted((r.doc_id, r.found, r.total) for r in R.recall(R.anchor_hits(docs, anchors)).collect()) == [(7, 1, 160_000), (99, 1, 160_000)]
+
+
+def test_repeated_documents_are_graded_each(spark):
+    from quire.operators import faults as FA
+
+    docs = spark.createDataFrame([(1, "some line here"), (1, "some line here"), (2, "```\nx"), (2, "other"), (None, None), (3, "")], "doc_id long, text string")
+    anchors = spark.createDataFrame([(7, "line"), (8, "line"), (9, "absent"), (9, "other")], "item_id long, text string")
+    expected = spark.createDataFrame([(1, True), (1, False), (5, True)], "doc_id long, expected boolean")
+    hits = R.anchor_hits(docs, anchors)
+    scores = FA.grade(docs, R.recall_by_row(hits), expected)
+    got = sorted((r.doc_id or 0, r.found, r.faults, r.warned) for r in scores.collect())
+    assert got == [(0, 0, "not empty", False), (1, 2, "", True), (1, 2, "", True), (2, 0, "no code fence", False), (2, 1, "", False), (3, 0, "not empty", False)]
+    assert FA.announce(scores, R.missing_by_row(hits)).count() == 6
+    for size in (1, 4096):
+        lacked = sorted((r.doc_id or 0, r.missing) for r in hits.docs.join(R.missing_by_row(hits, size), "_row").collect())
+        assert lacked == [(0, "7,8,9,9"), (1, "9,9"), (1, "9,9"), (2, "7,8,9"), (2, "7,8,9,9"), (3, "7,8,9,9")]
