@@ -8,8 +8,8 @@ score is that share.
 
 A text is labelled in chains of ``CHAIN`` words, which go through forward-backward side by side.
 
-Training takes a bounded sample: ``most_docs`` labelled documents in all, at most ``per_lang`` of each language, chosen by
-a hash; of a longer text than ``span`` characters its middle is taken. Every language that has a labelled text with a
+Training takes a bounded sample: ``most_docs`` different labelled documents in all, at most ``per_lang`` of each language, chosen by
+a hash; of a longer text than ``span`` characters its middle is taken, or what follows the first letter if there is none. Every language that has a labelled text with a
 letter is learned. Half of the training sequences are spliced from spans of different languages, which is what the
 transitions are learned from. Gradients are summed over ``batch`` sequences at a time, so that the memory of training
 grows with the number of languages only by the model itself (``buckets`` weights a language).
@@ -271,19 +271,27 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def training_sample(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> list[tuple[str, str]]:
-    """(text, language) of at most ``per_lang`` labelled documents of each language, by the order of a hash; one at least.
+    """(text, language) of at most ``per_lang`` different labelled texts of each language, by the order of a hash; one at least.
 
-    Rows that can't be among the first of their language are left out before the shuffle.
+    The order is that of the hashes of (doc_id, text), each once, so that equal rows are one choice. Of a long text the middle
+    is taken, or if that holds no letter, what follows the first one. Hashes that can't be among the first of
+    their language are left out before they are ranked, and only the chosen rows' texts move.
     """
-    body = F.col(text)
+    body, letter = F.col(text), r"\p{L}"
     middle = F.when(F.length(body) > settings.span, F.substr(body, F.floor((F.length(body) - settings.span) / 2).cast("int") + 1, F.lit(settings.span))).otherwise(body)
-    keyed = docs.where(~held_out(doc_id) & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), middle.alias("text"), (F.pmod(F.xxhash64(doc_id, text), F.lit(1 << 30)) / (1 << 30)).alias("u"))
-    usable = keyed.where(F.col("text").rlike(r"\p{L}"))
-    counts = materialize(usable.groupBy("lang").agg(F.count("*").alias("n")), "labelled")  # one row a language
+    span = F.when(middle.rlike(letter), middle).otherwise(F.substr(body, F.length(F.regexp_extract(body, r"(?s)\A\P{L}*", 0)) + 1, F.lit(settings.span)))
+    usable = docs.where(~held_out(doc_id) & F.col(lang).isNotNull() & body.rlike(letter)).select(F.col(lang).alias("lang"), F.xxhash64(doc_id, text).alias("h"), span.alias("text"))
+    known = materialize(usable.select("lang", "h").distinct(), "labelled")
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).persist()  # one row a language
     most = max(1, min(settings.per_lang, settings.most_docs // max(1, counts.count())))
-    near = usable.join(counts, "lang").where(F.col("u") * F.col("n") < 4 * most + 20)
-    ranked = near.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("u", "text")))
-    return [(r["text"], r["lang"]) for r in ranked.where(F.col("rn") <= most).select("text", "lang").collect()]
+    u = F.pmod(F.col("h"), F.lit(1 << 30)) / (1 << 30)
+    least = known.groupBy("lang").agg(F.min(F.struct(u.alias("u"), "h")).alias("least"))
+    near = known.join(F.broadcast(counts), "lang").join(F.broadcast(least), "lang").where((u * F.col("n") < 4 * most + 20) | (F.col("h") == F.col("least.h")))
+    ranked = near.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy(u, "h"))).where(F.col("rn") <= most).select("lang", "h")
+    chosen = materialize(ranked, "chosen")  # at most most_docs rows, and one a language
+    counts.unpersist()
+    rows = usable.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("lang", "h").collect()
+    return [(r["text"], r["lang"]) for r in rows]
 
 
 def train(docs: DataFrame, settings: Settings = Settings()) -> Model | None:
