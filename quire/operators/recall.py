@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,8 +13,11 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as X
 
-#: Characters of a gram, and of the window whose least gram stands for an anchor; shorter anchors stand for themselves.
+#: Characters of a gram, and of the window whose least gram stands for an anchor.
 GRAM, WINDOW = 12, 40
+
+#: Short anchors in an automaton, at most: some 2 million nodes.
+SHORT = 50_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -34,19 +39,50 @@ def gram_hashes(codes: np.ndarray, size: int) -> np.ndarray:
     return out * MULTIPLIER
 
 
-def document_keys(text: str, lengths: list[int]) -> np.ndarray:
-    """The least gram of every window of a text, and its spans of the given lengths below a window's."""
+def document_keys(text: str) -> np.ndarray:
+    """The least gram of every window of a text."""
     codes = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
-    found = [gram_hashes(codes, n) for n in lengths]
-    if len(codes) >= WINDOW:
-        found.append(np.lib.stride_tricks.sliding_window_view(gram_hashes(codes, GRAM), WINDOW - GRAM + 1).min(axis=1))
-    return np.unique(np.concatenate(found)).view(np.int64) if found else np.zeros(0, np.int64)
+    if len(codes) < WINDOW:
+        return np.zeros(0, np.int64)
+    return np.unique(np.lib.stride_tricks.sliding_window_view(gram_hashes(codes, GRAM), WINDOW - GRAM + 1).min(axis=1)).view(np.int64)
 
 
 def anchor_key(text: str) -> int:
-    """A key that any text which contains the anchor has as well."""
+    """A key that any text which contains the anchor, of a window's length at least, has as well."""
     codes = np.frombuffer(text[:WINDOW].encode("utf-32-le"), "<u4").astype(np.uint64)
-    return int(gram_hashes(codes, GRAM if len(text) >= WINDOW else len(text)).min().view(np.int64))
+    return int(gram_hashes(codes, GRAM).min().view(np.int64))
+
+
+def short_hits(docs: DataFrame, anchors: DataFrame, most: int = SHORT) -> DataFrame:
+    """(_row, _item) of the anchors shorter than a window that documents hold, by automata of at most some ``most`` anchors each.
+
+    Each group of anchors is one pass over the documents; a group, and not the suite, is what the driver and a task
+    hold at a time.
+    """
+    groups = max(1, -(-anchors.count() // most))
+    dealt = anchors.withColumn("_group", F.pmod(F.col("_item"), F.lit(groups)))
+    schema = pa.schema([("_row", pa.int64()), ("_item", pa.int64())])
+
+    def search(group: int) -> DataFrame:
+        own = dealt.where(F.col("_group") == group).select("dense", "_item").collect() if groups > 1 else dealt.select("dense", "_item").collect()
+        shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in own])
+
+        def hits(batches):
+            automaton, items = ahocorasick.Automaton(), {}
+            for dense, item in shared.value:
+                items.setdefault(dense, []).append(item)
+            for dense, of in items.items():
+                automaton.add_word(dense, of)
+            if items:
+                automaton.make_automaton()
+            for batch in batches:
+                for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    some = {i for _, of in automaton.iter(text) for i in of} if items else set()
+                    yield pa.RecordBatch.from_arrays([pa.array([row] * len(some), pa.int64()), pa.array(sorted(some), pa.int64())], schema=schema)
+
+        return docs.select("_row", "dense").mapInArrow(hits, "_row long, _item long")
+
+    return functools.reduce(DataFrame.unionByName, map(search, range(groups)))
 
 
 def keyed(rows: DataFrame, name: str, keys) -> DataFrame:
@@ -70,19 +106,21 @@ def row_key() -> Column:
 def anchor_hits(docs: DataFrame, anchors: DataFrame) -> Hits:
     """A document holds an anchor if its flattened text does, or does without spaces; the first implies the second.
 
-    Documents and anchors meet on hashed keys, and each meeting is verified. Only the lengths of anchors below a
-    window's come to the driver. Empty anchors are in every document.
+    Documents and long anchors meet on hashed keys, and each meeting is verified; short ones are searched by automata.
+    Empty anchors are in every document.
     """
     dense = F.replace(X.flatten("text"), F.lit(" "), F.lit(""))
     known = docs.select("doc_id", row_key(), dense.alias("dense"))
     asked = anchors.select("item_id", F.xxhash64("item_id", "text").alias("_item"), dense.alias("dense"))
-    lengths = [r[0] for r in asked.select(F.length("dense")).where(F.length("dense").between(1, WINDOW - 1)).distinct().collect()]  # 39 at most
     each, one = known.dropDuplicates(["_row"]), asked.dropDuplicates(["_item"])
-    has = keyed(each, "_row", lambda text: document_keys(text, lengths))
-    wants = keyed(one.where("dense <> ''"), "_item", lambda text: np.array([anchor_key(text)], np.int64))
+    has = keyed(each, "_row", document_keys)
+    wants = keyed(one.where(F.length("dense") >= WINDOW), "_item", lambda text: np.array([anchor_key(text)], np.int64))
     met = has.join(wants, "key").select("_row", "_item").distinct()
     texts = met.join(each.select("_row", F.col("dense").alias("_text")), "_row").join(one.select("_item", "dense"), "_item")
     found = texts.where(F.contains("_text", "dense")).select("_row", "_item")
+    short = one.where(F.length("dense").between(1, WINDOW - 1))
+    if not short.isEmpty():
+        found = found.unionByName(short_hits(each, short))
     everywhere = each.select("_row").crossJoin(one.where("dense = ''").select("_item"))
     return Hits(known, asked, found.unionByName(everywhere))
 

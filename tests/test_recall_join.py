@@ -47,3 +47,11 @@ def test_repeated_documents_are_graded_each(spark):
     for size in (1, 4096):
         lacked = sorted((r.doc_id or 0, r.missing) for r in hits.docs.join(R.missing_by_row(hits, size), "_row").collect())
         assert lacked == [(0, "7,8,9,9"), (1, "9,9"), (1, "9,9"), (2, "7,8,9"), (2, "7,8,9,9"), (3, "7,8,9,9")]
+
+
+def test_short_anchors_in_groups(spark):
+    docs = spark.createDataFrame([(1, "abcab"), (2, "xyz"), (3, "")], "_row long, dense string")
+    anchors = spark.createDataFrame([(10, "ab"), (11, "ab"), (12, "cab"), (13, "q"), (14, "yz"), (15, "xyzx")], "_item long, dense string")
+    for most in (1, 2, 100):
+        got = sorted(tuple(r) for r in R.short_hits(docs, anchors, most).collect())
+        assert got == [(1, 10), (1, 11), (1, 12), (2, 14)]
