@@ -14,7 +14,7 @@ max(LEAST - q, (FOLD - 1) * q) places i where word i equals word i + q; that is
 3. Seeds are extended to both sides along their diagonal. A table by lag holds how far its diagonal has been covered;
    seeds before that are skipped.
 
-A text is one row and is worked on by one task: about 100 bytes a word, beside the text itself.
+A text is one row and is worked on by one task: 70 to 150 bytes a word, beside the text itself.
 
 Defined cases: words are stretches without ASCII white space; a null or empty text has no words and no runs; a null
 doc_id stays null; repeated rows are judged each; other columns are not returned; an empty table gives an empty result;
