@@ -85,12 +85,13 @@ MAPPINGS = (
 
 
 def layout_table(mappings: tuple[Mapping, ...] = MAPPINGS) -> dict[str, Mapping]:
-    """Fingerprints of all layouts and of all unions of layouts, with the mapping of most paths among them."""
+    """Fingerprints of all layouts and of all unions of layouts, with the mapping of most paths among them, of equals that of
+    rows, as it would lose turns to be read otherwise."""
     table: dict[str, Mapping] = {}
     for n in range(1, len(mappings) + 1):
         for some in itertools.combinations(mappings, n):
             for sets in itertools.product(*(m.layouts() for m in some)):
-                best = max(zip(some, sets), key=lambda x: len(x[1]))[0]
+                best = max(zip(some, sets), key=lambda x: (len(x[1]), x[0].rows is not None))[0]
                 table.setdefault(fingerprint(list(frozenset().union(*sets))), best)
     return table
 
@@ -117,9 +118,9 @@ def _renamed(m: Mapping, role: Column) -> Column:
     return F.coalesce(*[F.when(role == k, F.lit(v)) for k, v in m.roles.items()], role)
 
 
-def canonical_turns(df: DataFrame, id_col: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """(conv_id, turns) of a data set in any known layout."""
-    m = select_mapping(df.schema, mappings)
+def canonical_turns(df: DataFrame, id_col: str, mappings: tuple[Mapping, ...] = MAPPINGS, mapping: Mapping | None = None) -> DataFrame:
+    """(conv_id, turns) of a data set in any known layout, or in that of ``mapping``."""
+    m = mapping or select_mapping(df.schema, mappings)
     rename = lambda role: _renamed(m, role)
     if m.rows:
         order, role, text = m.rows

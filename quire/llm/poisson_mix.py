@@ -61,7 +61,7 @@ ADDED = ("rate", "n_copies", "copy_no", "shuffle_key")
 
 def replicate(docs: DataFrame, rates: DataFrame, seed: int = 17, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """One row a copy: the document's columns, ``rate``, ``n_copies``, ``copy_no`` and ``shuffle_key``; not yet shuffled."""
-    row, at, back = pack(docs, [c for c in docs.columns if c not in ADDED])
+    row, at, back = pack(docs, [c for c in docs.columns if c.lower() not in ADDED])
     group = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("?")).alias("group")
     body = at(text) if text in docs.columns else F.lit(None)
     own = docs.toDF(*own_names(docs)).select(*row).select("_row", group(at(source)), identity(at(doc_id), body).alias("key"), F.xxhash64(body).alias("tie"))
