@@ -161,10 +161,12 @@ def tail_lines(c: Column | str, n: int = 10) -> Column:
     return let(F.filter(lines(c), lambda x: ~is_empty(x)), lambda ls: F.when(F.size(ls) > 0, F.array_join(F.slice(ls, F.greatest(F.size(ls) - n + 1, F.lit(1)), n), "\n")))
 
 
-def bigrams(word: Column) -> Column:
-    """Neighbouring pairs of characters; the characters are cut once, as ``substr`` counts them from the start."""
-    pairs = lambda cs: F.zip_with(F.slice(cs, 1, F.greatest(F.size(cs) - 1, F.lit(0))), F.slice(cs, 2, F.greatest(F.size(cs) - 1, F.lit(0))), lambda x, y: F.concat(x, y))
-    return F.when(F.length(word) < 2, F.array().cast("array<string>")).otherwise(let(F.regexp_extract_all(word, F.lit("(?s)."), F.lit(0)), pairs))
+def bigrams(word: Column, pair=F.concat) -> Column:
+    """Neighbouring pairs of characters, each as ``pair`` of the two; the characters are cut once, as ``substr`` counts
+    them from the start."""
+    none = F.array().cast("array<string>" if pair is F.concat else "array<bigint>")
+    pairs = lambda cs: F.zip_with(F.slice(cs, 1, F.greatest(F.size(cs) - 1, F.lit(0))), F.slice(cs, 2, F.greatest(F.size(cs) - 1, F.lit(0))), lambda x, y: pair(x, y))
+    return F.when(F.length(word) < 2, none).otherwise(let(F.split(word, ""), pairs))
 
 
 def grams(line: Column) -> Column:
@@ -173,7 +175,7 @@ def grams(line: Column) -> Column:
         ends = F.filter(F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>")), lambda i: ~F.get(s, i).eqNullSafe(F.get(s, i + 1)))
         return let(ends, lambda e: F.flatten(F.transform(e, lambda at, k: F.transform(F.sequence(F.lit(1), at - F.coalesce(F.get(e, k - 1), F.lit(-1))), lambda c: F.xxhash64(F.get(s, at), c)))))
 
-    return let(normalise(line), lambda n: F.struct(n.alias("normal"), let(F.array_sort(bigrams(n)), numbered).alias("grams")))
+    return let(normalise(line), lambda n: F.struct(n.alias("normal"), let(F.sort_array(bigrams(n, F.xxhash64)), numbered).alias("grams")))
 
 
 def dice(a: Column, b: Column) -> Column:

@@ -101,6 +101,23 @@ def test_merge_against_a_plain_fold(spark):
     assert len(got) > 30 and got == {p: "\n".join(x for x, _ in ls).strip("\n") for p, ls in pages.items()}
 
 
+def test_merge_of_long_and_short_sections(spark):
+    """A page of 100,000 lines; seams that reach back over several short sections; rows that repeat an index; no Python."""
+    part = lambda k: "\n".join(f"line {i * 7919} of {i}" for i in range(k * 20_000, (k + 1) * 20_000 + 5))
+    rows = [(1, k, part(k)) for k in range(5)] + [(2, k, f"word{k}x one\nword{k + 1}x one") for k in range(40)]
+    rows += [(3, 0, "bb zz"), (3, 0, "aa yy"), (4, 0, ""), (4, 1, "\n \n"), (5, 0, "a b c d\ne f g h\ni j k l"), (5, 1, "i j k l"), (5, 2, "e f g h\ni j k l\nm n o p")]
+    df = M.merge_pages(spark.createDataFrame(rows, "page long, index int, text string"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString() and "Pandas" not in df._jdf.queryExecution().executedPlan().toString()
+    got = {r.page: r.text for r in df.collect()}
+    assert got[1].split("\n") == [f"line {i * 7919} of {i}" for i in range(100_005)]
+    assert got[3] == "aa yy\n\nbb zz" and got[4] == "" and got[5] == "a b c d\ne f g h\ni j k l\nm n o p"
+    merged = None
+    for page, _, text in rows:
+        if page == 2:
+            merged = M.joined(merged, lines_of(spark, text.split("\n")))
+    assert got[2] == M.text_of(merged)
+
+
 def test_blank_runs_and_pages(spark):
     rows = [(1, i, b) for i, b in enumerate([255, 255, 0, 255, 0, 255, 255, 255])] + [(2, 0, 0)]
     df = spark.createDataFrame(rows, "doc_id long, row int, brightness int")
