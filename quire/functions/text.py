@@ -105,7 +105,9 @@ def doubts(c: Column | str) -> Column:
 def mark_doubts(c: Column, found: Column) -> Column:
     """Wrap each whole word that is doubted, unless it is marked: words are neither split nor nested.
 
-    The text is cut at existing marks; only the parts between them are searched.
+    The text is cut at existing marks; only the parts between them are searched. A doubt that the text doesn't hold can't
+    match later either, as marks only cut the text, so each is looked up plainly and only those found are
+    searched as words, in their order; a doubt listed twice may match beside a mark that came between.
     """
     quoted = lambda d: F.concat(F.lit(r"\[unclear:[^\]]*\]?|(?<![" + ALNUM + r"_])(\Q"), F.replace(d, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)(?![" + ALNUM + r"_])"))
 
@@ -114,9 +116,10 @@ def mark_doubts(c: Column, found: Column) -> Column:
         marked = F.transform(hits, lambda h: F.when(h.startswith(UNCLEAR), h).otherwise(F.concat(F.lit("[unclear: "), h, F.lit("]"))))
         between = F.split(text, quoted(d), F.lit(-1))
         joined = F.array_join(F.flatten(F.zip_with(between, marked, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-        return F.when((F.length(d) < 2) | d.contains("unclear") | (F.size(hits) == 0), text).otherwise(joined)
+        return F.when(F.size(hits) == 0, text).otherwise(joined)
 
-    return F.aggregate(found, c, one)
+    fits = lambda text: F.filter(found, lambda d: (F.length(d) >= 2) & ~d.contains("unclear") & text.contains(d))
+    return let(c, lambda text: F.aggregate(fits(text), text, one))
 
 
 def transcribed(c: Column | str) -> Column:

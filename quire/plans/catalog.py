@@ -202,7 +202,7 @@ def split_footer(spark, sf_dir):
 @query()
 def mark_doubts(spark, sf_dir):
     raws = T.raw_answers(docs_of(spark, sf_dir))
-    return raws.select("doc_id", X.transcribed("raw").alias("text"), X.unclear_count(X.transcribed("raw")).alias("marks"))
+    return raws.select("doc_id", X.transcribed("raw").alias("text")).withColumn("marks", X.unclear_count("text"))
 
 
 @query(f"select doc_id, {FLAT.format('text')} as flat from documents")

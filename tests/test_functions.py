@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from quire.functions import layout as L
 from quire.functions import text as X
 from quire.functions import wire as V
+from quire.sources import tables as T
 
 
 @pytest.fixture(scope="module")
@@ -55,6 +57,48 @@ def test_mark_doubts(one, text, doubts, want):
     assert one(X.mark_doubts(F.lit(text), F.array(*map(F.lit, doubts)))) == want
 
 
+def plainly_marked(text, doubts):
+    """Each doubt in turn, over the parts of the text that are no marks, letter by letter."""
+    word = lambda part, at: 0 <= at < len(part) and regex.match(r"[\p{Alphabetic}\p{N}_]", part[at])
+    parts, at = [], 0
+    for m in regex.finditer(r"\[unclear:[^\]]*\]?", text):
+        parts, at = [*parts, (False, text[at : m.start()]), (True, m[0])], m.end()
+    parts.append((False, text[at:]))
+    for d in doubts:
+        if len(d) < 2 or "unclear" in d:
+            continue
+        after = []
+        for mark, part in parts:
+            begin = at = 0
+            while not mark and at < len(part):
+                if part.startswith(d, at) and not word(part, at - 1) and not word(part, at + len(d)):
+                    after += [(False, part[begin:at]), (True, f"[unclear: {d}]")]
+                    begin = at = at + len(d)
+                else:
+                    at += 1
+            after.append((mark, part[begin:]))
+        parts = after
+    return "".join(x for _, x in parts)
+
+
+def test_mark_doubts_of_whole_table(spark):
+    """All answers derived from the documents, with their own doubts and with long lists that repeat and overlap."""
+    from quire.plans import catalog
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    raws = T.raw_answers(docs)
+    body = X.clean(X.footer_body("raw"))
+    words = F.array_distinct(F.split(X.footer_body("raw"), r"\s+"))
+    two = F.transform(F.slice(words, 1, 30), lambda w, i: F.concat_ws(" ", F.get(words, i + 1), w))
+    many = F.concat(two, F.slice(words, 3, 60), two, F.array(F.lit("absent"), F.lit("a"), F.lit("unclear"), F.lit("..")))
+    got = raws.select("doc_id", body.alias("body"), X.doubts("raw").alias("own"), many.alias("many"), X.mark_doubts(body, many).alias("marked")).collect()
+    asked = {r.doc_id: r for r in catalog.QUERIES["mark_doubts"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == len(asked) == docs.count() and sum(r.marks for r in asked.values()) > 0
+    for r in got:
+        assert r.marked == plainly_marked(r.body, r.many)
+        assert asked[r.doc_id].text == plainly_marked(r.body, r.own) and asked[r.doc_id].marks == asked[r.doc_id].text.count("[unclear:")
+
+
 def test_flatten_and_normalise(one):
     assert one(X.flatten(F.lit("A-B  [unclear: Cé] 9!"))) == "a b cé 9"
     assert one(X.normalise(F.lit("- A b_C 9."))) == "abc9"
