@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.arrow import batched, rows_of
-from quire.llm.storage import hot_keys, join_unique, materialize
+from quire.llm.storage import discard, hot_keys, join_unique, materialize
 
 SEED = 42
 
@@ -219,8 +219,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label) of the nodes in ``edges`` (a, b): label is one node of the component.
 
     Each round hooks trees on their neighbours' grandparents and shortcuts, so the rounds grow with the logarithm of
-    the longest path; minima are aggregated before the shuffle, and each round is a table in the shared folder. Nodes
-    with many edges and labels with many nodes are joined apart from the rest.
+    the longest path; minima are aggregated before the shuffle, and each round is a table in the shared folder that is
+    deleted when the next is written. Nodes with many edges and labels with many nodes are joined apart from the rest.
     """
     both = materialize(edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     hubs = hot_keys(both, "b")
@@ -230,15 +230,19 @@ def components(edges: DataFrame) -> DataFrame:
     nodes, total = told(labels)
     while True:
         upper = labels.select(F.col("node").alias("label"), F.col("label").alias("grand"))
-        seen = materialize(join_unique(labels, upper, "label", hot_keys(labels, "label", nodes)).select("node", "label", "grand"), "grand")
+        crowded = hot_keys(labels, "label", nodes)
+        seen = materialize(join_unique(labels, upper, "label", crowded).select("node", "label", "grand"), "grand")
         near = join_unique(both, seen.select(F.col("node").alias("b"), F.col("grand").alias("offer")), "b", hubs).groupBy("a").agg(F.min("offer").alias("offer"))
         moves = seen.join(near, seen["node"] == near["a"]).select(F.inline(F.array(
             F.struct(F.col("node"), F.least("offer", "grand").alias("label")),
             F.struct(F.col("label").alias("node"), F.least("offer", "grand").alias("label")),
         )))
-        labels = materialize(moves.unionAll(labels).groupBy("node").agg(F.min("label").alias("label")), "labels")
+        moved = materialize(moves.unionAll(labels).groupBy("node").agg(F.min("label").alias("label")), "labels")
+        discard(labels, crowded, seen)
+        labels = moved
         before, (_, total) = total, told(labels)
         if total == before:
+            discard(both, hubs)
             return labels
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,18 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/quire/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession):
+    """Within it, the shuffle files of a query are deleted as soon as that query ends, not when the driver next collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -32,10 +45,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     a small one is broadcast by the size check of ``spark.sql.autoBroadcastJoinThreshold`` and a large one isn't.
     """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with freed_shuffles(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables, each as ``materialize`` returned it, that no later job reads; a folder elsewhere is left alone."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            if f"/quire/{context.applicationId}/" in folder:
+                path = context._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def hot_keys(df: DataFrame, key: str, total: int | None = None, share: int = 1000) -> DataFrame:
     """(key) of the keys that hold more than one in ``share`` of the ``total`` rows, of which there are fewer than
     ``share``."""
