@@ -22,6 +22,7 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import itertools
@@ -44,6 +45,9 @@ BASES = (911_382_323, 972_663_749)
 BLOCK, WINDOW = 1 << 16, 8
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
+#: First characters of a text by which rows with equal doc_ids are divided; sampled rows for each range.
+HEAD, SAMPLE = 64, 20
+
 _powers: dict[tuple[int, int], np.ndarray] = {}
 
 
@@ -249,35 +253,49 @@ def likeness(a: str, b: str) -> float:
     return min(max(min(head + tail, min(n, m)), spans) / max(n, m), 1.0)
 
 
+def range_ends(docs: DataFrame, parts: int, rows: int) -> list[tuple[bool, int, str]]:
+    """The last (known, doc_id, head) of each range but the last, from a random sample of about ``SAMPLE`` rows a range."""
+    if parts < 2:
+        return []
+    some = docs.select("doc_id", "head").sample(fraction=min(1.0, SAMPLE * parts / rows), seed=8)
+    keys = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["head"]) for r in some.toLocalIterator())
+    return sorted({keys[len(keys) * k // parts] for k in range(1, parts)}) if keys else []
+
+
 def with_next(docs: DataFrame, spread: int = 200) -> DataFrame:
     """Sorted partitions (part, guest, doc_id, text) in which a document's next one is the row after it.
 
-    Ranges of doc_id come from its quantiles. The first document of each range is dealt to the range before it as
-    well, as a guest that only serves as the next one, and the first of all to the last range. Texts are shuffled
-    once; only doc_ids are read to find the ranges. Their number grows with the root of the bytes of text (divided
-    by ``spread``), so both the ranges and the list of their cuts stay moderate: 150 at 0.9 GB, 50,000 at 100 TB.
+    Ranges of (doc_id, first characters of the text) come from a sample, so that many rows without doc_id, or with the
+    same, are divided too; only rows that also begin alike stay together. The first document of each range is dealt to
+    the range before it as well, as a guest that only serves as the next one, and the first of all to the last range.
+    Texts are shuffled once. The number of ranges grows with the root of the bytes of text (divided by ``spread``), so the
+    ranges, the sample and the list of their ends stay moderate: 150 ranges at 0.9 GB, 50,000 at 100 TB.
     """
     total, rows = docs.agg(F.sum(F.octet_length("text").cast("long")), F.count("*")).first()
     parts = max(1, min(math.ceil(math.sqrt(total or 0) / spread), rows or 1))
-    cuts = sorted({int(c) for c in (docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 50 * parts)).first()[0] or [])}) if parts > 1 else []
-    bounds = docs.sparkSession.sparkContext.broadcast(np.array(cuts, np.int64))  # one number a partition
+    docs = docs.withColumn("head", F.substring("text", 1, HEAD))
+    ends = range_ends(docs, parts, rows)
+    bounds = docs.sparkSession.sparkContext.broadcast(ends)  # one a range
+    last_known = docs.sparkSession.sparkContext.broadcast(np.array([i for known, i, _ in ends if known], np.int64))
 
     @F.pandas_udf("int")
-    def range_of(key: pd.Series) -> pd.Series:
-        # To the left of a cut that equals the key, so that rows with equal keys stay together; a null comes first.
-        known = key.notna().to_numpy()
-        out = np.zeros(len(key), np.int32)
-        out[known] = np.searchsorted(bounds.value, key[known].astype("int64").to_numpy(), side="left")
-        return pd.Series(out)
-
-    ranged = docs.withColumn("part", range_of("doc_id"))
-    # A null doc_id comes before all others of its range, so it is the first where there is one.
-    firsts = ranged.groupBy("part").agg(F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("null_first")).orderBy("part").collect()  # one row a partition
+    def range_of(known: pd.Series, ids: pd.Series, head: pd.Series) -> pd.Series:
+        # To the left of an end that equals the row, so that equal rows stay together; a null comes first.
+        known, ids, nulls = known.to_numpy(), ids.to_numpy(), len(bounds.value) - len(last_known.value)
+        low = np.where(known, nulls + np.searchsorted(last_known.value, ids, side="left"), 0)
+        high = np.where(known, nulls + np.searchsorted(last_known.value, ids, side="right"), nulls)
+        for at in np.flatnonzero(low < high).tolist():
+            low[at] = bisect.bisect_left(bounds.value, (bool(known[at]), int(ids[at]), head.iat[at]), int(low[at]), int(high[at]))
+        return pd.Series(low.astype(np.int32))
+
+    ranged = docs.withColumn("part", range_of(F.col("doc_id").isNotNull(), F.coalesce("doc_id", F.lit(0)), "head"))
+    least = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "head"))
+    firsts = ranged.groupBy("part").agg(least.alias("least")).orderBy("part").select("part", "least.*").collect()  # one row a partition
     found = [r["part"] for r in firsts]
     before = dict(zip(found, [found[-1], *found])) if found else {}
-    guests = docs.sparkSession.createDataFrame([(r["part"], None if r["null_first"] else r["least"], before[r["part"]]) for r in firsts], "first_part int, first_id long, host int")
-    # The least text of the first doc_id is the first row of a range.
-    lead = ranged.join(F.broadcast(guests), (ranged["part"] == guests["first_part"]) & ranged["doc_id"].eqNullSafe(guests["first_id"]))
+    guests = docs.sparkSession.createDataFrame([(r["part"], r["doc_id"], r["head"], before[r["part"]]) for r in firsts], "first_part int, first_id long, first_head string, host int")
+    # The least text of the first doc_id and beginning is the first row of a range.
+    lead = ranged.join(F.broadcast(guests), (ranged["part"] == guests["first_part"]) & ranged["doc_id"].eqNullSafe(guests["first_id"]) & (ranged["head"] == guests["first_head"]))
     lead = lead.groupBy("part", "host", "doc_id").agg(F.min("text").alias("text")).select(F.col("host").alias("part"), F.lit(True).alias("guest"), "doc_id", "text")
     both = ranged.select("part", F.lit(False).alias("guest"), "doc_id", "text").unionAll(lead)
     return both.repartition(max(len(found), 1), "part").sortWithinPartitions("part", "guest", "doc_id", "text")
