@@ -29,7 +29,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, a Jaccard similarity of 0.8 or more."""
+    """One document of each group of near copies: SimHash of five-word shingles and BK-trees find candidates, a Jaccard
+    similarity of 0.8 or more decides."""
     return near_copies.deduplicate(docs.select(COLUMNS))
 
 

@@ -1,9 +1,12 @@
-"""Near copies by the Jaccard similarity of their word shingles.
+"""Near copies by SimHash, BK-trees and the Jaccard similarity of word shingles.
 
 Two texts are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more; a group of near
-copies is what links connect. Candidates come from MinHash: the minima of ``ROWS`` hash functions make a band's key, and
-texts that share the key of any of ``BANDS`` bands are candidates. A pair at 0.8 shares none with probability
-(1 - 0.8**8)**40 = 0.0006. Candidates that hang together are a pool; inside a pool every pair is decided by its exact
+copies is what links connect. Candidates come from SimHash: a text's fingerprint has 128 bits that are compared, and
+further bits that deal it to a shard of each of several tables. In a task each shard has a BK-tree, as in ``simhash_bk``,
+that is asked for the fingerprints within ``RADIUS`` bits. A bit differs for a pair at 0.8 with probability 0.151, so it
+is farther than 36 of 128 bits with 0.00005, and the tables are as many as leave it without a common shard with 0.0006.
+The bits of a shard's key grow with the number of texts up to ``MOST_BITS``; a shard with far more texts than a tree
+should hold is divided in parts that all meet each other. Candidates that hang together are a pool; inside a pool every pair is decided by its exact
 similarity, unless links found before join both texts already. A pool of more than ``pool_size`` texts or
 ``POOL_BYTES`` of text is divided: first each part is decided by itself, then two texts of each group found so far meet, and only pools that are still several
 groups have every part meet every other part, so no pair is left out. Links leave a task as a forest.
@@ -11,8 +14,6 @@ groups have every part meet every other part, so no pair is left out. Links leav
 Most texts are in no pool and aren't marked to go. A Bloom filter of bounded size tells which may be, and only those are
 shuffled to meet the pools or the marks exactly; the others stay where they are.
 
-Hamming distances of SimHash can't serve as the candidate search here: see the README for the radius a pair at 0.8 needs.
-
 Defined cases: words are split as ASCII and lower-cased, as in ``simhash_bk``; fewer words than a shingle holds give one
 shingle of them all; null and empty texts and those without words are copies of each other; a null doc_id stays only if
 its group holds no other; of repeated rows one stays; a very long text is split in pieces, and only the hashes of its
@@ -21,8 +22,9 @@ shingles are held; other columns are kept, whatever their names; an empty table
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,14 +35,22 @@ from pyspark.sql import functions as F
 
 from quire.llm.arrow import batched, rows_of
 from quire.llm.bloom_cascade import build_level, hashes, passes
-from quire.llm.simhash_bk import components, pieces
+from quire.llm.simhash_bk import components, forest, pieces
 from quire.llm.storage import discard, hot_keys, join_unique, materialize, own_names, pack
 
 SHINGLE = 5
-BANDS, ROWS = 40, 8
 #: Least similarity of a link, as a fraction.
 LEAST = (4, 5)
 
+#: 64-bit words of the fingerprint that trees compare, and the radius of their search.
+WORDS, RADIUS = 2, 36
+#: Chance that a bit of SimHash is equal for two sets of one size at ``LEAST``, whose cosine is 2 s / (1 + s).
+AGREE = 1 - math.acos(2 * LEAST[0] / (LEAST[0] + LEAST[1])) / math.pi
+#: Chance that such a pair is in no common shard; texts of a shard on average; most bits of a shard's key.
+MISSED, SHARD, MOST_BITS = 0.0006, 256, 16
+#: Texts that a tree holds about; a shard with more than twice as many is divided.
+TREE_SIZE = 2048
+
 #: Bytes of text that a part of a pool holds about; a longer text is a part by itself or with few others.
 POOL_BYTES = 16 << 20
 
@@ -48,9 +58,6 @@ POOL_BYTES = 16 << 20
 #: size and lets more pass, so that more texts are shuffled and the result is the same.
 FILTER_RATE, FILTER_BYTES = 0.02, 16 << 20
 
-_random = np.random.default_rng(42)
-FACTORS = _random.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
-OFFSETS = _random.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -76,15 +83,35 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(out)
 
 
-def band_keys(found: np.ndarray, step: int = 1024) -> np.ndarray:
-    """One signed 64-bit key for each band."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(found), step):
-        np.minimum(least, (found[at : at + step, None] * FACTORS + OFFSETS).min(axis=0), out=least)
-    keys = np.arange(BANDS, dtype=np.uint64)
-    for column in least.reshape(BANDS, ROWS).T:
-        keys = mixed(keys * MULTIPLIER + column)
-    return keys.view(np.int64)
+def tables(count: int) -> tuple[int, int]:
+    """(bits, number): the bits of a shard's key for ``count`` texts, and the tables that a pair at ``LEAST`` needs."""
+    bits = min(MOST_BITS, max(1, math.ceil(math.log2(max(2, count) / SHARD))))
+    return bits, math.ceil(math.log(MISSED) / math.log1p(-(AGREE**bits)))
+
+
+_number = WORDS + -(-MOST_BITS * tables(SHARD << MOST_BITS)[1] // 64)
+_random = np.random.default_rng(42)
+FACTORS = _random.integers(0, 1 << 64, _number, np.uint64) | np.uint64(1)
+OFFSETS = _random.integers(0, 1 << 64, _number, np.uint64)
+#: For each byte, a word whose bytes are its bits, so that a sum of up to 255 such words counts each bit.
+SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
+def simhash(found: np.ndarray, words: int) -> np.ndarray:
+    """The first ``words`` words of the SimHash of a set of hashes: a bit is 1 if over half of the hashes of its word set it."""
+    counts = np.zeros(64 * words, np.int64)
+    for at in range(0, len(found), 255):
+        hashed = mixed(found[at : at + 255, None] * FACTORS[:words] + OFFSETS[:words])
+        counts += SPREAD[hashed.view(np.uint8)].sum(axis=0).view(np.uint8)
+    return np.packbits(2 * counts > len(found), bitorder="little").view(np.uint64)
+
+
+def band_keys(found: np.ndarray, bits: int = MOST_BITS, number: int | None = None, fingerprint: np.ndarray | None = None) -> np.ndarray:
+    """The shard of a set of hashes in each table: the table's own ``bits`` of SimHash, after those that trees compare."""
+    number = number or tables(SHARD << bits)[1]
+    whole = simhash(found, WORDS + -(-bits * number // 64)) if fingerprint is None else fingerprint
+    own = np.unpackbits(whole[WORDS:].view(np.uint8), count=bits * number, bitorder="little").reshape(number, bits)
+    return (np.arange(number) << bits) + own @ (1 << np.arange(bits))
 
 
 def may_hold(keys: DataFrame, most: int = FILTER_BYTES) -> Callable[[str], Column]:
@@ -102,36 +129,86 @@ def may_hold(keys: DataFrame, most: int = FILTER_BYTES) -> Callable[[str], Colum
     return lambda column: held(*hashes(F.col(column)))
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """(tie, n_bytes, keys) of (tie, text)."""
-    schema = pa.schema([("tie", pa.int64()), ("n_bytes", pa.int64()), ("keys", pa.list_(pa.int64()))])
+def sketches(docs: DataFrame, bits: int, number: int) -> DataFrame:
+    """(tie, n_bytes, w0, w1, keys) of (tie, text): the words that trees compare, and the shard in each table."""
+    schema = pa.schema([("tie", pa.int64()), ("n_bytes", pa.int64()), ("w0", pa.int64()), ("w1", pa.int64()), ("keys", pa.list_(pa.int32()))])
+    words = WORDS + -(-bits * number // 64)
 
     def sketched(batches):
         def rows():
             for batch in batches:
                 for tie, text in rows_of(batch, "tie", "text"):
-                    yield tie, len((text or "").encode()), band_keys(shingles(text))
+                    found = shingles(text)
+                    whole = simhash(found, words)
+                    yield tie, len((text or "").encode()), *whole[:WORDS].view(np.int64).tolist(), band_keys(found, bits, number, whole)
 
         yield from batched(rows(), schema)
 
-    return docs.mapInArrow(sketched, "tie long, n_bytes long, keys array<long>")
+    return docs.mapInArrow(sketched, "tie long, n_bytes long, w0 long, w1 long, keys array<int>")
+
+
+def units_of(batches: Iterator[pa.RecordBatch], unit: list[str], names: list[str]) -> Iterator[list[np.ndarray]]:
+    """The columns ``names`` of each run of rows with equal ``unit``, which may go on in the next batch."""
+    last, held = None, []
+    for batch in batches:
+        column = lambda c: batch.column(batch.schema.get_field_index(c)).to_numpy()  # noqa: B023, E731
+        keys, rows = np.stack([column(c) for c in unit], axis=1), [column(c) for c in names]
+        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        for start, stop in itertools.pairwise([0, *cuts.tolist(), len(keys)] if len(keys) else []):
+            if held and (keys[start] != last).any():
+                yield [np.concatenate(x) for x in zip(*held)]
+                held = []
+            last = keys[start]
+            held.append([r[start:stop] for r in rows])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def near_fingerprints(fps: np.ndarray, part: np.ndarray, radius: int = RADIUS, visits: int = 1 << 19) -> list[tuple[int, int]]:
+    """Forest edges (place, place) of the rows of ``fps`` that differ in at most ``radius`` bits, by a BK-tree of one part
+    that is asked for the other, or for itself if there is one part."""
+    order = np.lexsort(fps.T)
+    new = np.r_[True, (fps[order[1:]] != fps[order[:-1]]).any(axis=1)]
+    first = order[new]
+    edges = list(zip(np.repeat(first, np.diff(np.r_[np.flatnonzero(new), len(order)]))[~new].tolist(), order[~new].tolist()))
+    # A fingerprint that both parts hold counts for one of them: its pairs within a part are that part's own unit's.
+    same = part.min() == part.max()
+    tree = first[part[first] == part.min()]
+    queries = tree if same else first[part[first] != part.min()]
+    if len(first) > 1 and len(tree) and len(queries):
+        both = tree if same else np.concatenate([queries, tree])
+        found = forest(fps[tree], fps[queries], radius, max(1, visits // len(tree)), same)
+        edges += [(int(both[x]), int(both[y])) for x, y in found]
+    return edges
 
 
-def candidates(sketched: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect the texts of each shared band key.
+def candidates(sketched: DataFrame, tree_size: int = TREE_SIZE) -> DataFrame:
+    """Edges (a, b) that connect the texts whose fingerprints are near and which share a shard of any table."""
+    fps = materialize(sketched.select("tie", "w0", "w1", "keys").distinct(), "distinct")
+    # Crowded shards are told by a sixteenth of the texts; which are divided changes no pair, only who meets where.
+    n = F.count("*") * 16
+    some = fps.where(F.pmod("tie", F.lit(16)) == 0).select(F.explode("keys").alias("key"))
+    crowded = materialize(some.groupBy("key").agg(n.alias("n")).where(F.col("n") > 2 * tree_size).select("key", F.ceil(F.col("n") / tree_size).cast("int").alias("parts")), "crowded")
+    dealt, none = fps.select(F.explode("keys").alias("key"), "tie", "w0", "w1"), F.lit(0)
+    units = dealt.join(F.broadcast(crowded), "key", "left_anti").select("key", none.alias("i"), none.alias("j"), none.alias("part"), "tie", "w0", "w1")
+    if not crowded.isEmpty():
+        divided = dealt.join(F.broadcast(crowded), "key").withColumn("part", F.pmod(F.xxhash64("key", "tie"), "parts").cast("int"))
+        meet = F.transform(F.sequence(none, F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
+        units = units.unionAll(divided.select("key", "part", "tie", "w0", "w1", F.inline(meet)).select(units.columns))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    Every text has an edge to the least text that it shares a key with. The other keys' least texts are then linked to
-    that one, of which there are few; so a group of n copies has about n edges, not one for each key.
-    """
-    keyed = sketched.select("tie", F.explode("keys").alias("key"))
-    shared = materialize(keyed.groupBy("key").agg(F.min("tie").alias("least"), F.max("tie").alias("most"), F.count("*").alias("n")).where("least < most").select("key", "least", "n"), "shared")
-    hot = materialize(shared.where(F.col("n") * 1000 > F.lit(sketched.count() * BANDS)).select("key"), "hot")
-    # Sort-merge at any size: the shared keys grow with the documents.
-    met = materialize(join_unique(keyed, shared.select("key", "least").hint("merge"), "key", hot).select("tie", "least").distinct(), "met")
-    stars = materialize(met.groupBy("tie").agg(F.min("least").alias("label")), "stars")
-    rest = met.join(stars, "tie").select(F.col("label").alias("a"), F.col("least").alias("b")).distinct()
-    edges = materialize(stars.select(F.col("tie").alias("a"), F.col("label").alias("b")).unionAll(rest).where("a <> b").distinct(), "candidates")
-    discard(shared, hot, met, stars)
+    def trees(batches):
+        def rows():
+            for tie, part, *words in units_of(batches, ["key", "i", "j"], ["tie", "part", "w0", "w1"]):
+                if len(tie) > 1:
+                    for x, y in near_fingerprints(np.stack(words, axis=1).view(np.uint64), part):
+                        yield int(tie[x]), int(tie[y])
+
+        yield from batched(rows(), schema)
+
+    by_unit = units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    edges = materialize(by_unit.mapInArrow(trees, "a long, b long").distinct(), "candidates")
+    discard(fps, crowded)
     return edges
 
 
@@ -255,7 +332,7 @@ def link_groups(texts: DataFrame, pools: DataFrame, pool_size: int = 256, hot: D
 
 def groups(texts: DataFrame, pool_size: int = 256) -> DataFrame:
     """(node, label) of the ties in (tie, text) that have near copies: label is one tie of the group."""
-    sketched = materialize(sketches(texts), "sketches")
+    sketched = materialize(sketches(texts, *tables(texts.count())), "sketches")
     edges = candidates(sketched)
     hot, found = hot_keys(sketched, "tie"), components(edges)
     sizes = sketched.groupBy(F.col("tie").alias("node")).agg(F.max("n_bytes").alias("n_bytes"))

@@ -83,6 +83,17 @@ def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text
     return docs.selectExpr(f"cast({doc_id} as bigint) as doc_id", f"cast({text} as string) as text").mapInArrow(hashed, "doc_id long, fp long")
 
 
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints, each of one 64-bit word or a row of several."""
+    far = np.bitwise_count(a ^ b)
+    if far.ndim == 1:
+        return far.astype(np.int64)
+    total = far[:, 0].astype(np.int64)
+    for k in range(1, far.shape[1]):
+        total += far[:, k]
+    return total
+
+
 class BKTree:
     """One node an item. Nodes are built level by level: of the items that took the same edges so far the first becomes
     a node, and the others go on by their distance to it. ``children[node, d]`` to ``children[node, d + 1]`` are the
@@ -92,7 +103,8 @@ class BKTree:
         n = len(items)
         self.place = np.zeros(n, np.int64)  # of a node's item
         self.levels = 0
-        self.children = np.zeros((n, 67), np.int32)
+        width = self.width = 64 * (items.shape[1] if items.ndim > 1 else 1) + 2
+        self.children = np.zeros((n, width + 1), np.int32)
         waiting, group, nodes = np.arange(n), np.zeros(n, np.int64), 0
         owners = np.zeros(0, np.int64)
         while len(waiting):
@@ -101,38 +113,42 @@ class BKTree:
             self.place[own] = waiting[first]
             if self.levels:
                 # Nodes of this level are in the order of (parent, distance), which ``keys`` holds as one number.
-                counts = np.zeros((len(owners), 66), np.int64)
-                counts[keys // 66, keys % 66] = 1
+                counts = np.zeros((len(owners), width), np.int64)
+                counts[keys // width, keys % width] = 1
                 ends = nodes + np.cumsum(counts, axis=None).reshape(counts.shape)
                 self.children[owners, 1:] = ends
                 self.children[owners, 0] = np.concatenate([[nodes], ends[:-1, -1]])
             rest = np.ones(len(waiting), bool)
             rest[first] = False
             waiting, group = waiting[rest], group[rest]
-            far = np.bitwise_count(items[waiting] ^ items[self.place[own][group]]).astype(np.int64)
-            group = group * 66 + far
+            far = distances(items[waiting], items[self.place[own][group]])
+            group = group * width + far
             owners, nodes = own, nodes + len(own)
             self.levels += 1
         self.values = items[self.place] if n else items
+        self.inner = self.children[:, -1] > self.children[:, 0]  # nodes with children
 
     def near(self, queries: np.ndarray, radius: int):
         """Yield arrays (places of queries, places of items) within the radius; the queries go down together."""
         who, node = np.arange(len(queries)), np.zeros(len(queries), np.int64)
         while len(who):
-            far = np.bitwise_count(queries[who] ^ self.values[node]).astype(np.int64)
+            far = distances(queries[who], self.values[node])
             hit = far <= radius
             if hit.any():
                 yield who[hit], self.place[node[hit]]
+            inner = self.inner[node]
+            who, node, far = who[inner], node[inner], far[inner]
             low = self.children[node, np.maximum(far - radius, 0)].astype(np.int64)
-            count = self.children[node, np.minimum(far + radius, 65) + 1] - low
+            count = self.children[node, np.minimum(far + radius, self.width - 1) + 1] - low
             who, total = np.repeat(who, count), int(count.sum())
             node = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(total) if total else np.zeros(0, np.int64)
 
 
-def forest(tree_items: np.ndarray, queries: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges (place, place) over queries, then items, that connect what is linked; at most one for each."""
-    n = len(queries)
-    parent = np.arange(n + len(tree_items))
+def forest(tree_items: np.ndarray, queries: np.ndarray, radius: int, step: int = QUERIES, same: bool = False) -> list[tuple[int, int]]:
+    """Edges (place, place) over queries, then items, that connect what is linked; at most one for each. If queries and
+    items are the ``same``, places are over the items alone."""
+    n, first = len(queries), 0 if same else len(queries)
+    parent = np.arange(first + len(tree_items))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -141,9 +157,9 @@ def forest(tree_items: np.ndarray, queries: np.ndarray, radius: int) -> list[tup
         return x
 
     tree, edges = BKTree(tree_items), []
-    for at in range(0, n, QUERIES):
-        for who, place in tree.near(queries[at : at + QUERIES], radius):
-            a, b = who + at, place + n
+    for at in range(0, n, step):
+        for who, place in tree.near(queries[at : at + step], radius):
+            a, b = who + at, place + first
             # Most hits of a dense shard are joined already; only those with another label are looked at one by one.
             new = parent[a] != parent[b]
             for x, y in zip(a[new].tolist(), b[new].tolist()):
