@@ -23,9 +23,13 @@ rows are predicted each; other columns are ignored or kept as they are; an empty
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import chain as joined_lists
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +41,14 @@ from quire.llm.arrow import batched
 from quire.llm.storage import materialize
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]{0,63}")
+#: The same words where a lower-case text is all ASCII.
+ASCII_WORD = re.compile(r"[a-z]{1,64}")
 SPACE = regex.compile(r"\s")
 UNDETERMINED = "und"
 
-#: Words that a task remembers the scores of; words of a chain; characters of a text that are read at once.
-MEMO, CHAIN, PIECE = 250_000, 1024, 1 << 20
+#: Words that a task remembers the scores of; features that it remembers the buckets of; words of a chain; characters of
+#: a text that are read at once.
+MEMO, FEATURES, CHAIN, PIECE = 250_000, 250_000, 1024, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -60,7 +67,8 @@ class Settings:
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    text = (text or "").lower()
+    return (ASCII_WORD if text.isascii() else WORD).findall(text)
 
 
 def chains(text: str | None, piece: int = PIECE, chain: int = CHAIN):
@@ -74,14 +82,36 @@ def chains(text: str | None, piece: int = PIECE, chain: int = CHAIN):
         at = stop
 
 
-def features(word: str, lexicon: frozenset[str], buckets: int) -> list[int]:
+class Buckets(dict):
+    """The bucket of a feature; those of a bounded number of features are remembered."""
+
+    def __init__(self, buckets: int):
+        super().__init__()
+        self.buckets = buckets
+
+    def __missing__(self, feature: str) -> int:
+        found = zlib.crc32(feature.encode()) % self.buckets
+        if len(self) < FEATURES:
+            self[feature] = found
+        return found
+
+
+def features(word: str, lexicon: frozenset[str], buckets: Buckets | int) -> list[int]:
     """Buckets of the affixes (up to 4 letters), n-grams (2 and 3, with word ends) and the lexicon entry."""
-    edged = f"<{word}>"
-    found = [f"p{word[:k]}" for k in (1, 2, 3, 4)] + [f"s{word[-k:]}" for k in (1, 2, 3, 4)]
-    found += [edged[i : i + 2] for i in range(len(edged) - 1)] + [edged[i : i + 3] for i in range(len(edged) - 2)]
+    buckets, edged = Buckets(buckets) if isinstance(buckets, int) else buckets, f"<{word}>"
+    pairs = list(map(add, edged, edged[1:]))
+    found = {*pairs, *map(add, pairs, edged[2:])}
+    found.update(("p" + word[:1], "p" + word[:2], "p" + word[:3], "p" + word[:4], "s" + word[-1:], "s" + word[-2:], "s" + word[-3:], "s" + word[-4:]))
     if word in lexicon:
-        found.append(f"w{word}")
-    return [zlib.crc32(x.encode()) % buckets for x in set(found)]
+        found.add("w" + word)
+    return list(map(buckets.__getitem__, found))
+
+
+def flattened(ids: Iterable[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(values, lengths) of lists, of which none is held: many small ones at once are slow to collect."""
+    lengths: list[int] = []
+    noted = (lengths.append(len(x)) or x for x in ids)
+    return np.fromiter(joined_lists.from_iterable(noted), np.int64), np.array(lengths)
 
 
 def forward_backward(scores: np.ndarray, sizes: np.ndarray, start: np.ndarray, trans: np.ndarray, pairs: bool = False):
@@ -121,12 +151,12 @@ class Model:
     trans: np.ndarray
     lexicon: frozenset[str]
 
-    def word_scores(self, words: list[str]) -> np.ndarray:
+    def word_scores(self, words: list[str], buckets: Buckets | None = None) -> np.ndarray:
         if not words:
             return np.zeros((0, len(self.langs)), np.float32)
-        ids = [features(w, self.lexicon, len(self.weights)) for w in words]
-        at = np.cumsum([0, *map(len, ids[:-1])])
-        return np.add.reduceat(self.weights[np.concatenate([np.array(x) for x in ids])], at, axis=0)
+        buckets = Buckets(len(self.weights)) if buckets is None else buckets
+        flat, lengths = flattened(features(w, self.lexicon, buckets) for w in words)
+        return np.add.reduceat(self.weights[flat], np.cumsum(lengths) - lengths, axis=0)
 
 
 def splice(texts: list[tuple[list[str], int]], settings: Settings) -> list[tuple[list[str], list[int]]]:
@@ -163,15 +193,15 @@ def fit(sample: list[tuple[str, str]], settings: Settings = Settings()) -> Model
     n, labels, flat_words = len(sequences), len(langs), np.array([vocabulary[w] for words, _ in sequences for w in words], np.int32)
     flat_truth = np.array([x for _, ls in sequences for x in ls], np.int32)
     ends = np.cumsum(sizes)
-    ids = [features(w, lexicon, settings.buckets) for w in vocabulary]
-    flat, lengths = np.concatenate([np.array(x) for x in ids]), np.array([len(x) for x in ids])
+    buckets = Buckets(settings.buckets)
+    flat, lengths = flattened(features(w, lexicon, buckets) for w in vocabulary)
     at = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    owner = np.repeat(np.arange(len(ids)), lengths)
+    owner = np.repeat(np.arange(len(lengths)), lengths)
     used, flat = np.unique(flat, return_inverse=True)
 
     def slopes(scores: np.ndarray, start: np.ndarray, trans: np.ndarray) -> list[np.ndarray]:
         """Truth less expectation of (words, start, transitions), summed over ``batch`` sequences at a time."""
-        by_word, starts, steps = np.zeros((len(ids), labels)), np.zeros(labels), np.zeros((labels, labels))
+        by_word, starts, steps = np.zeros((len(lengths), labels)), np.zeros(labels), np.zeros((labels, labels))
         for low in range(0, n, settings.batch):
             some = sizes[low : low + settings.batch]
             mask = np.arange(int(some[0]))[None, :] < some[:, None]
@@ -182,7 +212,7 @@ def fit(sample: list[tuple[str, str]], settings: Settings = Settings()) -> Model
             gap = -gamma[mask].astype(np.float64)
             gap[np.arange(len(gap)), flat_truth[inside]] += 1
             for k in range(labels):
-                by_word[:, k] += np.bincount(flat_words[inside], gap[:, k], len(ids))
+                by_word[:, k] += np.bincount(flat_words[inside], gap[:, k], len(lengths))
             starts += np.bincount(truth[:, 0], minlength=labels) - gamma[:, 0].sum(axis=0)
             both = mask[:, 1:]
             np.add.at(steps, (truth[:, :-1][both], truth[:, 1:][both]), 1)
@@ -208,18 +238,16 @@ class Labeller:
 
     def __init__(self, model: Model):
         self.model, self.known, self.scores, self.filled = model, {}, np.zeros((1024, len(model.langs)), np.float32), 0
+        self.buckets = Buckets(len(model.weights))
 
     def places(self, words: list[str]) -> np.ndarray:
-        got = list(map(self.known.get, words))
-        if None in got:
-            new = list({w for w, p in zip(words, got) if p is None})
+        if new := list(set(words).difference(self.known)):
             while self.filled + len(new) > len(self.scores):
                 self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            self.scores[self.filled : self.filled + len(new)] = self.model.word_scores(new)
+            self.scores[self.filled : self.filled + len(new)] = self.model.word_scores(new, self.buckets)
             self.known.update(zip(new, range(self.filled, self.filled + len(new))))
             self.filled += len(new)
-            got = list(map(self.known.__getitem__, words))
-        return np.array(got, np.int64)
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def predict(self, texts: list[str | None], cells: int = 200_000) -> list[tuple[str, float]]:
         """Chains of like length go through forward-backward together, about ``cells`` words at a time."""
