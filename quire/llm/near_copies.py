@@ -11,6 +11,11 @@ similarity, unless links found before join both texts already. A pool of more th
 ``POOL_BYTES`` of text is divided: first each part is decided by itself, then two texts of each group found so far meet, and only pools that are still several
 groups have every part meet every other part, so no pair is left out. Links leave a task as a forest.
 
+A group of copies would be found again by every table and every two parts that hold some of it. So the first
+``FIRST`` tables are searched before the others, and what they join counts as one in all later searches, as do groups
+of links between steps: a later task tells only what joins two of them, and the graphs that label propagation takes
+hold these joins alone. Their edges grow with the texts, not with tables or parts.
+
 Most texts are in no pool and aren't marked to go. A Bloom filter of bounded size tells which may be, and only those are
 shuffled to meet the pools or the marks exactly; the others stay where they are.
 
@@ -35,7 +40,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.arrow import batched, rows_of
 from quire.llm.bloom_cascade import build_level, hashes, passes
-from quire.llm.simhash_bk import components, forest, pieces
+from quire.llm.simhash_bk import components, composed, first_of, forest, pieces
 from quire.llm.storage import discard, hot_keys, join_unique, materialize, own_names, pack
 
 SHINGLE = 5
@@ -51,6 +56,9 @@ MISSED, SHARD, MOST_BITS = 0.0006, 256, 16
 #: Texts that a tree holds about; a shard with more than twice as many is divided.
 TREE_SIZE = 2048
 
+#: Tables that are searched before the others.
+FIRST = 4
+
 #: Bytes of text that a part of a pool holds about; a longer text is a part by itself or with few others.
 POOL_BYTES = 16 << 20
 
@@ -164,57 +172,104 @@ def units_of(batches: Iterator[pa.RecordBatch], unit: list[str], names: list[str
         yield [np.concatenate(x) for x in zip(*held)]
 
 
-def near_fingerprints(fps: np.ndarray, part: np.ndarray, radius: int = RADIUS, visits: int = 1 << 19) -> list[tuple[int, int]]:
+def near_fingerprints(fps: np.ndarray, part: np.ndarray, radius: int = RADIUS, visits: int = 1 << 19, own: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Forest edges (place, place) of the rows of ``fps`` that differ in at most ``radius`` bits, by a BK-tree of one part
-    that is asked for the other, or for itself if there is one part."""
-    order = np.lexsort(fps.T)
+    that is asked for the other, or for itself if there is one part. Rows with equal ``own`` count as connected."""
+    own = np.arange(len(fps)) if own is None else own
+    if len(own) == 0 or (own == own[0]).all():
+        return []
+    order = np.lexsort((own, *fps.T))
     new = np.r_[True, (fps[order[1:]] != fps[order[:-1]]).any(axis=1)]
     first = order[new]
-    edges = list(zip(np.repeat(first, np.diff(np.r_[np.flatnonzero(new), len(order)]))[~new].tolist(), order[~new].tolist()))
+    # Of equal fingerprints each other owner has one edge to the first row.
+    told = ~new & np.r_[False, own[order[1:]] != own[order[:-1]]]
+    edges = list(zip(first[np.cumsum(new) - 1][told].tolist(), order[told].tolist()))
     # A fingerprint that both parts hold counts for one of them: its pairs within a part are that part's own unit's.
     same = part.min() == part.max()
     tree = first[part[first] == part.min()]
     queries = tree if same else first[part[first] != part.min()]
     if len(first) > 1 and len(tree) and len(queries):
         both = tree if same else np.concatenate([queries, tree])
-        found = forest(fps[tree], fps[queries], radius, max(1, visits // len(tree)), same)
+        found = forest(fps[tree], fps[queries], radius, max(1, visits // len(tree)), same, own[both])
         edges += [(int(both[x]), int(both[y])) for x, y in found]
     return edges
 
 
-def candidates(sketched: DataFrame, tree_size: int = TREE_SIZE) -> DataFrame:
-    """Edges (a, b) that connect the texts whose fingerprints are near and which share a shard of any table."""
-    fps = materialize(sketched.select("tie", "w0", "w1", "keys").distinct(), "distinct")
-    # Crowded shards are told by a sixteenth of the texts; which are divided changes no pair, only who meets where.
-    n = F.count("*") * 16
-    some = fps.where(F.pmod("tie", F.lit(16)) == 0).select(F.explode("keys").alias("key"))
-    crowded = materialize(some.groupBy("key").agg(n.alias("n")).where(F.col("n") > 2 * tree_size).select("key", F.ceil(F.col("n") / tree_size).cast("int").alias("parts")), "crowded")
-    dealt, none = fps.select(F.explode("keys").alias("key"), "tie", "w0", "w1"), F.lit(0)
-    units = dealt.join(F.broadcast(crowded), "key", "left_anti").select("key", none.alias("i"), none.alias("j"), none.alias("part"), "tie", "w0", "w1")
-    if not crowded.isEmpty():
-        divided = dealt.join(F.broadcast(crowded), "key").withColumn("part", F.pmod(F.xxhash64("key", "tie"), "parts").cast("int"))
-        meet = F.transform(F.sequence(none, F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
-        units = units.unionAll(divided.select("key", "part", "tie", "w0", "w1", F.inline(meet)).select(units.columns))
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def near_edges(units: DataFrame) -> DataFrame:
+    """Edges (a, b, x, y) of the near fingerprints of each unit (key, i, j, part, tie, own, w0, w1): x and y are the owners
+    of the ties a and b, and each two owners have one edge at most."""
+    schema = pa.schema([(c, pa.int64()) for c in "abxy"])
 
     def trees(batches):
         def rows():
-            for tie, part, *words in units_of(batches, ["key", "i", "j"], ["tie", "part", "w0", "w1"]):
+            for tie, own, part, *words in units_of(batches, ["key", "i", "j"], ["tie", "own", "part", "w0", "w1"]):
                 if len(tie) > 1:
-                    for x, y in near_fingerprints(np.stack(words, axis=1).view(np.uint64), part):
-                        yield int(tie[x]), int(tie[y])
+                    for p, q in near_fingerprints(np.stack(words, axis=1).view(np.uint64), part, own=own):
+                        p, q = (p, q) if own[p] < own[q] else (q, p)
+                        yield int(tie[p]), int(tie[q]), int(own[p]), int(own[q])
 
         yield from batched(rows(), schema)
 
     by_unit = units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    edges = materialize(by_unit.mapInArrow(trees, "a long, b long").distinct(), "candidates")
-    discard(fps, crowded)
-    return edges
+    found = by_unit.mapInArrow(trees, "a long, b long, x long, y long")
+    one = found.groupBy("x", "y").agg(F.min(F.struct("a", "b")).alias("e"))
+    return materialize(one.select("e.a", "e.b", "x", "y"), "candidates")
+
+
+def searched(sketched: DataFrame, tree_size: int = TREE_SIZE) -> tuple[DataFrame, DataFrame]:
+    """(edges, labels): edges (a, b) that connect the texts whose fingerprints are near and which share a shard of any
+    table, and the (node, label) that they join."""
+    fps = materialize(sketched.select("tie", "w0", "w1", "keys").distinct(), "distinct")
+    # Crowded shards are told by a sixteenth of the texts; which are divided changes no pair, only who meets where.
+    n = F.count("*") * 16
+    some = fps.where(F.pmod("tie", F.lit(16)) == 0).select(F.explode("keys").alias("key"))
+    crowded = materialize(some.groupBy("key").agg(n.alias("n")).where(F.col("n") > 2 * tree_size).select("key", F.ceil(F.col("n") / tree_size).cast("int").alias("parts")), "crowded")
+    any_crowded, none = not crowded.isEmpty(), F.lit(0)
+    row = ["key", "i", "j", "part", "tie", "own", "w0", "w1"]
+
+    def units(dealt: DataFrame) -> DataFrame:
+        return dealt.join(F.broadcast(crowded), "key", "left_anti").select("key", none.alias("i"), none.alias("j"), none.alias("part"), *row[4:])
+
+    def divided(dealt: DataFrame) -> DataFrame:
+        return dealt.join(F.broadcast(crowded), "key").withColumn("part", F.pmod(F.xxhash64("key", "tie"), "parts").cast("int"))
+
+    def all_units(dealt: DataFrame, least: int = 0) -> DataFrame:
+        apart = F.filter(F.sequence(none, F.col("parts") - 1), lambda j: F.abs(F.col("part") - j) >= least)
+        meet = F.transform(apart, lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
+        return divided(dealt).select("key", "part", *row[4:], F.inline(meet)).select(row)
+
+    # First each part of a few tables by itself, where a large group has an edge a text and table at most.
+    first = fps.select(F.explode(F.slice("keys", 1, FIRST)).alias("key"), "tie", F.col("tie").alias("own"), "w0", "w1")
+    alone = units(first)
+    if any_crowded:
+        alone = alone.unionAll(divided(first).select("key", F.col("part").alias("i"), F.col("part").alias("j"), *row[3:]))
+    edges = near_edges(alone)
+    labels = components(edges.select("a", "b"))
+    # Sort-merge at any size: the labels grow with the documents.
+    held = may_hold(labels.select(F.col("node").alias("key")))("tie")
+    met = fps.where(held).join(labels.withColumnRenamed("node", "tie").hint("merge"), "tie", "left").withColumn("own", F.coalesce("label", "tie")).drop("label")
+    owned = materialize(met.unionByName(fps.where(~held).withColumn("own", F.col("tie"))), "owned")
+    discard(fps)
+    dealt = lambda keys: owned.select(F.explode(keys).alias("key"), *row[4:])
+    others = dealt(F.slice("keys", FIRST + 1, F.greatest(F.size("keys") - FIRST, none)))
+    rest = units(others)
+    if any_crowded:
+        rest = rest.unionAll(all_units(others)).unionAll(all_units(dealt(F.slice("keys", 1, FIRST)), 1))
+    more = near_edges(rest)
+    joined = components(more.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    whole = composed(labels, joined)
+    discard(owned, crowded, labels, joined)
+    return edges.unionAll(more).select("a", "b"), whole
+
+
+def candidates(sketched: DataFrame, tree_size: int = TREE_SIZE) -> DataFrame:
+    """Edges (a, b) that connect the texts whose fingerprints are near and which share a shard of any table."""
+    return searched(sketched, tree_size)[0]
 
 
-def linked_pairs(sets: list[np.ndarray], side: np.ndarray, least: tuple[int, int] = LEAST) -> list[tuple[int, int]]:
+def linked_pairs(sets: list[np.ndarray], side: np.ndarray, least: tuple[int, int] = LEAST, own: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A forest of the pairs of sets whose similarity is ``least`` or more; ``side`` limits the pairs to unequal sides
-    where it has two."""
+    where it has two. Sets with equal ``own`` count as linked."""
     n = len(sets)
     order = np.argsort([len(s) for s in sets], kind="stable")
     sizes = np.array([len(s) for s in sets])[order]
@@ -225,7 +280,7 @@ def linked_pairs(sets: list[np.ndarray], side: np.ndarray, least: tuple[int, int
     starts = np.searchsorted(ids[by_id], np.arange(ids.max() + 2))
     at = np.concatenate([[0], np.cumsum(sizes)])
     two = side.min() != side.max()
-    parent = list(range(n))
+    parent = list(range(n)) if own is None else first_of(own[order]).tolist()
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -256,27 +311,27 @@ def linked_pairs(sets: list[np.ndarray], side: np.ndarray, least: tuple[int, int
 
 
 def decided(units: DataFrame) -> DataFrame:
-    """Forest edges (a, b) of the linked texts of each unit (label, i, j, part, tie, text); where it has two parts only
-    pairs of both are decided."""
+    """Forest edges (a, b) of the owners of the linked texts of each unit (label, i, j, part, tie, own, text); where it has
+    two parts only pairs of both are decided. Texts with equal owners count as linked."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def decide(batches):
-        def of(ties, sets, parts):
-            if len(sets) > 1:
-                for x, y in linked_pairs(sets, np.array(parts)):
-                    yield ties[x], ties[y]
+        def of(owns, sets, parts):
+            if len(set(owns)) > 1:
+                for x, y in linked_pairs(sets, np.array(parts), own=np.array(owns)):
+                    yield min(owns[x], owns[y]), max(owns[x], owns[y])
 
         def rows():
-            unit, ties, sets, parts = None, [], [], []
+            unit, owns, sets, parts = None, [], [], []
             for batch in batches:
-                for label, i, j, tie, text, p in rows_of(batch, "label", "i", "j", "tie", "text", "part"):
+                for label, i, j, own, text, p in rows_of(batch, "label", "i", "j", "own", "text", "part"):
                     if unit != (label, i, j):
-                        yield from of(ties, sets, parts)
-                        unit, ties, sets, parts = (label, i, j), [], [], []
-                    ties.append(tie)
+                        yield from of(owns, sets, parts)
+                        unit, owns, sets, parts = (label, i, j), [], [], []
+                    owns.append(own)
                     sets.append(shingles(text))
                     parts.append(p)
-            yield from of(ties, sets, parts)
+            yield from of(owns, sets, parts)
 
         yield from batched(rows(), schema)
 
@@ -287,7 +342,7 @@ def all_parts(members: DataFrame, least: int = 0) -> DataFrame:
     """The units of each part with every other one that is ``least`` parts away or more."""
     apart = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.abs(F.col("part") - j) >= least)
     meet = F.transform(apart, lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
-    return members.select("label", "part", "tie", "text", F.inline(meet))
+    return members.select("label", "part", "tie", "own", "text", F.inline(meet))
 
 
 def with_parts(members: DataFrame, pool_size: int, pool_bytes: int = POOL_BYTES) -> DataFrame:
@@ -307,34 +362,38 @@ def link_groups(texts: DataFrame, pools: DataFrame, pool_size: int = 256, hot: D
     # Sort-merge at any size: the pools grow with the documents.
     found = join_unique(near, sized.hint("merge"), "tie", hot)
     members = materialize(found.groupBy("tie", "label", "n_bytes", "parts", "part").agg(F.min("text").alias("text")), "members")
-    edges = materialize(decided(members.withColumn("i", F.col("part")).withColumn("j", F.col("part"))), "links")
+    edges = materialize(decided(members.withColumn("own", F.col("tie")).withColumn("i", F.col("part")).withColumn("j", F.col("part"))), "links")
     discard(sized)
     large = members.where("parts > 1")
     labels = components(edges)
     if large.isEmpty():
         discard(members, edges)
         return labels
-    grouped = lambda own: large.join(own.withColumnRenamed("label", "own"), F.col("tie") == F.col("node"), "left").withColumn("own", F.coalesce("own", "tie"))
-    ends = grouped(labels).groupBy("label", "own").agg(F.min("tie").alias("x"), F.max("tie").alias("y")).select(F.explode(F.array("x", "y")).alias("tie")).distinct()
-    few = materialize(large.join(ends, "tie").select("tie", "label", "n_bytes", "text"), "ends")
-    more = materialize(edges.unionAll(decided(all_parts(with_parts(few, pool_size, pool_bytes)))), "links")
-    discard(few, edges, labels)
-    labels = components(more)
+    grouped = lambda own: large.join(own.withColumnRenamed("label", "own"), F.col("tie") == F.col("node"), "left").withColumn("own", F.coalesce("own", "tie")).drop("node")
+
+    def joined(before: DataFrame, units: DataFrame) -> DataFrame:
+        """The labels after the links that the units find between the groups so far."""
+        more = materialize(decided(units).distinct(), "links")
+        upper = components(more)
+        after = composed(before, upper)
+        discard(before, more, upper)
+        return after
+
+    ends = grouped(labels).groupBy("label", "own").agg(F.min("tie").alias("x"), F.max("tie").alias("y")).select(F.explode(F.array("x", "y")).alias("tie"), "own").distinct()
+    few = materialize(large.join(ends, "tie").select("tie", "own", "label", "n_bytes", "text"), "ends")
+    labels = joined(labels, all_parts(with_parts(few, pool_size, pool_bytes)))
     split = materialize(grouped(labels).groupBy("label").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x < y").select("label"), "split")
     if not split.isEmpty():
-        last = materialize(more.unionAll(decided(all_parts(large.join(split, "label", "left_semi"), 1))), "links")
-        discard(labels)
-        labels = components(last)
-        discard(last)
-    discard(members, more, split)
+        labels = joined(labels, all_parts(grouped(labels).join(split, "label", "left_semi"), 1))
+    discard(members, edges, few, split)
     return labels
 
 
 def groups(texts: DataFrame, pool_size: int = 256) -> DataFrame:
     """(node, label) of the ties in (tie, text) that have near copies: label is one tie of the group."""
     sketched = materialize(sketches(texts, *tables(texts.count())), "sketches")
-    edges = candidates(sketched)
-    hot, found = hot_keys(sketched, "tie"), components(edges)
+    edges, found = searched(sketched)
+    hot = hot_keys(sketched, "tie")
     sizes = sketched.groupBy(F.col("tie").alias("node")).agg(F.max("n_bytes").alias("n_bytes"))
     pools = materialize(found.join(sizes, "node"), "sized")
     discard(sketched, edges, found)

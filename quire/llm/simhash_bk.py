@@ -144,11 +144,17 @@ class BKTree:
             node = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(total) if total else np.zeros(0, np.int64)
 
 
-def forest(tree_items: np.ndarray, queries: np.ndarray, radius: int, step: int = QUERIES, same: bool = False) -> list[tuple[int, int]]:
+def first_of(known: np.ndarray) -> np.ndarray:
+    """For each place the first one with an equal value."""
+    _, first, which = np.unique(known, return_index=True, return_inverse=True)
+    return first[which]
+
+
+def forest(tree_items: np.ndarray, queries: np.ndarray, radius: int, step: int = QUERIES, same: bool = False, known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Edges (place, place) over queries, then items, that connect what is linked; at most one for each. If queries and
-    items are the ``same``, places are over the items alone."""
+    items are the ``same``, places are over the items alone. Places with equal ``known`` count as connected."""
     n, first = len(queries), 0 if same else len(queries)
-    parent = np.arange(first + len(tree_items))
+    parent = np.arange(first + len(tree_items)) if known is None else first_of(known)
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -262,6 +268,16 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def composed(labels: DataFrame, upper: DataFrame) -> DataFrame:
+    """(node, label) after the labels in ``labels`` (node, label), and nodes that it lacks, were joined by ``upper`` (node, label)."""
+    named = upper.select(F.col("node").alias("label"), F.col("label").alias("top"))
+    tops = materialize(labels.select("label").distinct().join(named, "label", "left").select("label", F.coalesce("top", "label").alias("top")), "tops")
+    moved = join_unique(labels, tops, "label").select("node", F.col("top").alias("label"))
+    out = materialize(moved.unionAll(upper.join(labels, "node", "left_anti").select("node", "label")), "composed")
+    discard(tops)
+    return out
+
+
 def owners(by_doc: DataFrame, radius: int) -> DataFrame:
     """(fp, component_id) of the distinct fingerprints in (doc_id, fp)."""
     fps = materialize(by_doc.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")

@@ -69,3 +69,35 @@ def test_candidates_hold_every_link(spark, tree_size):
 def test_tables_grow_with_the_texts():
     assert [near_copies.tables(n) for n in (0, 1000, 256_000)] == [(1, 4), (2, 6), (10, 35)]
     assert all((1 - near_copies.AGREE**bits) ** number <= near_copies.MISSED for bits, number in map(near_copies.tables, (1, 10**4, 10**6, 10**9)))
+
+
+def one_group(n=240, seed=4):
+    """Near copies of one text, each with a word or two changed, and texts half of which is the same."""
+    rng = np.random.default_rng(seed)
+    words, out = [f"w{k}" for k in range(120)], []
+    for k in range(n):
+        own = list(words)
+        for at in rng.integers(0, 120, 1 + k % 2):
+            own[at] = f"x{rng.integers(10**6)}"
+        out.append(" ".join(own))
+    return out + [" ".join(words[:60] + [f"y{k}_{i}" for i in range(60)]) for k in range(10)]
+
+
+@pytest.mark.parametrize("tree_size", [2048, 8])
+def test_edges_of_a_large_group_grow_with_its_texts(spark, tree_size):
+    texts = one_group()
+    rows = spark.createDataFrame(list(enumerate(texts)), "tie long, text string")
+    edges, labels = near_copies.searched(near_copies.sketches(rows, 4, 24), tree_size)
+    assert len(edges.collect()) <= (near_copies.FIRST + 1) * len(texts)
+    assert joined(len(texts), [tuple(r)[:2] for r in edges.collect()]) == joined(len(texts), [tuple(r) for r in labels.collect()])
+
+
+def test_links_of_a_large_group_grow_with_its_texts(spark, monkeypatch):
+    texts, counts, plain = one_group(), [], near_copies.components
+    rows = spark.createDataFrame(list(enumerate(texts)), "tie long, text string")
+    pool = spark.createDataFrame([(k, 0) for k in range(len(texts))], "node long, label long")
+    monkeypatch.setattr(near_copies, "components", lambda edges: counts.append(edges.count()) or plain(edges))
+    label = {r.node: r.label for r in near_copies.link_groups(rows, pool, pool_size=10).collect()}
+    want = plain_groups(texts)
+    assert all((label.get(i, i) == label.get(j, j)) == (want[i] == want[j]) for i, j in itertools.combinations(range(len(texts)), 2))
+    assert sum(counts) <= 2 * len(texts)
