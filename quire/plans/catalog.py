@@ -18,6 +18,7 @@ from quire.plans import prompts as P
 from quire.plans import render as RE
 from quire.sources import images as I
 from quire.sources import tables as T
+from quire.sources import transcripts as TR
 from quire.streaming import progress as ST
 from quire.streaming import run as RUN
 
@@ -727,13 +728,11 @@ def render_json(spark, sf_dir):
   || string_agg(case when n > 1 then '## Page ' || number || chr(10) || chr(10) else '' end || text || chr(10), chr(10) || chr(10) order by number) as body from paged group by doc_id)
 select doc_id, source || '.md' as name, body from made""")
 def saved_documents(spark, sf_dir):
-    """Every document written to a file of its own, and the files read back."""
+    """Every document written to a file of its own, and the files read back by the lists of the tasks that wrote them."""
     folder = T.shared_folder(spark, "saved")
     rendered = RE.paged(docs_of(spark, sf_dir)).select("doc_id", RE.filename(F.col("source"), F.lit("markdown")).alias("name"), RE.markdown().alias("body"))
-    RE.save(rendered, folder).write.format("noop").mode("overwrite").save()
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    part = lambda k: F.element_at(F.split("path", "/"), k)
-    return files.select(part(-2).cast("long").alias("doc_id"), part(-1).alias("name"), F.decode("content", "UTF-8").alias("body"))
+    TR.save(rendered, folder)
+    return TR.load(spark, folder)
 
 
 @query(f"with {PAGED} select doc_id as grp, coalesce(string_agg(text, chr(10) || chr(10) order by number) filter (where text <> ''), '') as text from paged group by doc_id")

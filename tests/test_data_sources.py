@@ -5,11 +5,14 @@ from __future__ import annotations
 import http.server
 import json
 import threading
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import wire as V
+from quire.plans import catalog
+from quire.plans import render as RE
 from quire.sources import listings as L
 from quire.sources import transcripts as T
 
@@ -54,6 +57,41 @@ def test_files_without_a_commit_are_not_seen(spark, tmp_path):
     assert rows_of(spark, f"file://{tmp_path}/out") == [(1, "n", "x")] and first.attempt != again.attempt
 
 
+def test_a_task_that_goes_on_after_the_abort_adds_nothing(tmp_path):
+    writer = T.Writer(f"file://{tmp_path}/run-of-tests/out", False)
+
+    def rows():
+        yield {"doc_id": 1, "name": "n", "body": "x"}
+        writer.abort([])
+        yield {"doc_id": 2, "name": "n", "body": "x"}
+
+    with pytest.raises(OSError):
+        writer.write(rows())
+    with pytest.raises(OSError):
+        writer.write(iter([]))
+    assert list((tmp_path / "run-of-tests" / "out").iterdir()) == []
+
+
+def test_odd_names_and_repeated_rows(spark, tmp_path):
+    rows = [(1, "n", "a"), (1, "n", "a"), (1, "n", "b"), (None, "n", "c"), (2, "x" * 255, "d"), (3, "x" * 255, ""), (4, "é", None), (12, "3-n", "e"), (-1, "2-3-n", "\u2028\n")]
+    T.save(spark.createDataFrame(rows, "doc_id long, name string, body string").coalesce(1), f"file://{tmp_path}/out")
+    got = T.load(spark, f"file://{tmp_path}/out").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(str((a, b, c or "")) for a, b, c in rows)
+
+
+def test_saved_documents_are_not_listed_by_the_driver(spark):
+    """Folders of files grew with the documents, and the driver held the status of each file."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    saved = catalog.QUERIES["saved_documents"](spark, "/root/testdata/sf0.001")
+    assert saved.inputFiles() == [] and saved.rdd.getNumPartitions() < 10
+    root = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    newest = max(root.glob("saved-*"), key=lambda p: p.stat().st_mtime_ns)
+    files = list(newest.rglob("*.md"))
+    assert len(files) == docs.count() == saved.count() and len({p.parent for p in files}) < 10
+    want = RE.paged(docs).select("doc_id", F.concat("source", F.lit(".md")).alias("name"), RE.markdown().alias("body"))
+    assert sorted(map(tuple, saved.collect())) == sorted(map(tuple, want.collect()))
+
+
 @pytest.fixture
 def device():
     asked = []
