@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 from dataclasses import dataclass
 
 import ahocorasick
@@ -13,44 +14,167 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as X
 
-#: Characters of a gram, and of the window whose least gram stands for an anchor.
-GRAM, WINDOW = 12, 40
+#: Anchors shorter than a window are searched by automata, of at most so many anchors each: some 2 million nodes.
+WINDOW, SHORT = 40, 50_000
 
-#: Short anchors in an automaton, at most: some 2 million nodes.
-SHORT = 50_000
+#: (characters of a gram, grams of a window, characters of a window): longer anchors meet on longer grams, which fewer texts share.
+CLASSES = tuple((gram, grams, gram + grams - 1) for gram, grams in ((24, 16), (48, 32), (96, 64)))
+
+#: Bits of the filter of keys, as a power of two, at most; characters that are hashed at once.
+FILTER_BITS, AT_ONCE = 27, 1 << 19
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass
 class Hits:
-    """``docs`` (doc_id, _row, dense), ``anchors`` (item_id, _item, dense) and the pairs ``found`` (_row, _item)."""
+    """``docs`` (doc_id, _row, _text), ``anchors`` (item_id, _item, _anchor) and which text holds which anchor: ``pairs`` (_text, _anchor).
+
+    ``_row`` and ``_item`` stand for different rows, ``_text`` and ``_anchor`` for different dense texts, so that copies are searched once.
+    """
 
     docs: DataFrame
     anchors: DataFrame
-    found: DataFrame
+    pairs: DataFrame
+
+    @property
+    def found(self) -> DataFrame:
+        """(_row, _item) of the anchors that documents hold."""
+        rows, items = self.docs.select("_row", "_text").distinct(), self.anchors.select("_item", "_anchor").distinct()
+        return rows.join(self.pairs, "_text").join(items, "_anchor").select("_row", "_item")
 
 
-def gram_hashes(codes: np.ndarray, size: int) -> np.ndarray:
-    n = len(codes) - size + 1
-    out = np.full(max(n, 0), size, np.uint64)
-    for k in range(size if n > 0 else 0):
-        out = out * MULTIPLIER + codes[k : k + n]
-        out ^= out >> np.uint64(29)
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = a * MULTIPLIER + b
+    out ^= out >> np.uint64(29)
     return out * MULTIPLIER
 
 
-def document_keys(text: str) -> np.ndarray:
-    """The least gram of every window of a text."""
-    codes = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
-    if len(codes) < WINDOW:
-        return np.zeros(0, np.int64)
-    return np.unique(np.lib.stride_tricks.sliding_window_view(gram_hashes(codes, GRAM), WINDOW - GRAM + 1).min(axis=1)).view(np.int64)
+def least_grams(codes: np.ndarray) -> list[np.ndarray]:
+    """For each class, the least hash of a gram in the window that begins at each place."""
+    hashes, size, out = {1: codes}, 1, []
+    while size < 64:
+        h = hashes[size]
+        hashes[2 * size] = mixed(h[: max(0, len(h) - size)], h[size:])
+        size *= 2
+    for gram, grams, _ in CLASSES:
+        head, tail = hashes[gram * 2 // 3], hashes[gram // 3]
+        n = max(0, len(codes) - gram + 1)
+        least, wide = mixed(head[:n], tail[gram * 2 // 3 :][:n]), 1
+        while wide < grams:
+            least = np.minimum(least[: max(0, len(least) - wide)], least[wide:])
+            wide *= 2
+        out.append(least)
+    return out
+
+
+def codes_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
+
+
+def slots(keys: np.ndarray) -> np.ndarray:
+    """Places of keys in the largest filter."""
+    return mixed(keys, keys >> np.uint64(32)) >> np.uint64(64 - FILTER_BITS)
 
 
-def anchor_key(text: str) -> int:
+def anchor_key(text: str) -> np.uint64:
     """A key that any text which contains the anchor, of a window's length at least, has as well."""
-    codes = np.frombuffer(text[:WINDOW].encode("utf-32-le"), "<u4").astype(np.uint64)
-    return int(gram_hashes(codes, GRAM).min().view(np.int64))
+    k = max(k for k, c in enumerate(CLASSES) if c[2] <= len(text))
+    return least_grams(codes_of(text[: CLASSES[k][2]]))[k][0]
+
+
+def anchor_keys(anchors: DataFrame) -> DataFrame:
+    """(_anchor, key, slot, size, head, digest) of anchors (_anchor, dense) of a window's length at least."""
+    schema = pa.schema([("_anchor", pa.int64()), ("key", pa.int64()), ("slot", pa.int64()), ("size", pa.int32()), ("head", pa.string()), ("digest", pa.binary())])
+
+    def each(batches):
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            keys = np.array([anchor_key(t) for t in texts], np.uint64)
+            digests = [hashlib.md5(t.encode()).digest() for t in texts]
+            columns = [batch.column(0), keys.view(np.int64), slots(keys).view(np.int64), [len(t) for t in texts], [t[:WINDOW] for t in texts], digests]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    return anchors.select("_anchor", "dense").mapInArrow(each, "_anchor long, key long, slot long, size int, head string, digest binary")
+
+
+def key_filter(wants: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """(words, bits): a bit for the keys of each slot, at least 16 bits for each of ``n`` keys. A very large suite lets more pass."""
+    bits = min(FILTER_BITS, max(10, (16 * n).bit_length()))
+    slot = F.shiftright("slot", FILTER_BITS - bits)
+    ones = wants.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((slot >> {FILTER_BITS - bits}) & 63 as int))")).alias("ones")).toArrow()
+    words = np.zeros(1 << (bits - 6), np.uint64)
+    words[ones["word"].to_numpy()] = ones["ones"].to_numpy().view(np.uint64)
+    return words, bits
+
+
+def text_keys(texts: list[str], passes) -> tuple[np.ndarray, np.ndarray]:
+    """(index, key) of the keys of texts, each once, that ``passes`` lets through. Texts are hashed side by side, long ones in pieces that overlap."""
+    found, held, size = [], [], 0
+
+    def hashed():
+        codes = codes_of("".join(piece for _, piece in held))
+        lengths = np.array([len(piece) for _, piece in held])
+        left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes))
+        at = np.repeat(np.array([k for k, _ in held]), lengths)
+        for least, (_, _, window) in zip(least_grams(codes), CLASSES):
+            new = left[: len(least)] >= window
+            new[1:] &= ~new[:-1] | (least[1:] != least[:-1]) | (at[1 : len(least)] != at[: max(0, len(least) - 1)])
+            places = np.flatnonzero(new)
+            places = places[passes(least[places])]
+            found.append(np.rec.fromarrays([at[places], least[places]], names="at,key"))
+
+    for k, text in enumerate(texts):
+        for i in range(0, len(text), AT_ONCE):
+            held.append((k, text[i : i + AT_ONCE + CLASSES[-1][2] - 1]))
+            size += len(held[-1][1])
+            if size >= AT_ONCE:
+                hashed()
+                held, size = [], 0
+    if held:
+        hashed()
+    unique = np.unique(np.concatenate(found)) if found else np.rec.fromarrays([np.zeros(0, int), np.zeros(0, np.uint64)], names="at,key")
+    return unique["at"], unique["key"]
+
+
+def document_keys(texts: DataFrame, wants: DataFrame, n: int) -> DataFrame:
+    """(_text, key) of texts (_text, dense), without those keys that surely none of ``n`` anchors has."""
+    words, bits = key_filter(wants, n)
+    shared = texts.sparkSession.sparkContext.broadcast((words.tobytes(), bits))
+    schema = pa.schema([("_text", pa.int64()), ("key", pa.int64())])
+
+    def each(batches):
+        raw, bits = shared.value
+        words = np.frombuffer(raw, np.uint64)
+
+        def passes(keys):
+            slot = slots(keys) >> np.uint64(FILTER_BITS - bits)
+            return (words[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+        for batch in batches:
+            at, keys = text_keys(batch.column(1).to_pylist(), passes)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(keys.view(np.int64))], schema=schema)
+
+    return texts.select("_text", "dense").mapInArrow(each, "_text long, key long")
+
+
+def verified(met: DataFrame) -> DataFrame:
+    """(_text, _anchor) of the meetings (_text, _anchor, size, head, digest, dense) at which the text holds the anchor."""
+    schema = pa.schema([("_text", pa.int64()), ("_anchor", pa.int64())])
+
+    def holds(text, size, head, digest):
+        at = text.find(head)
+        while 0 <= at <= len(text) - size:
+            if hashlib.md5(text[at : at + size].encode()).digest() == digest:
+                return True
+            at = text.find(head, at + 1)
+        return False
+
+    def each(batches):
+        for batch in batches:
+            keep = pa.array([holds(*r) for r in zip(*(batch.column(k).to_pylist() for k in range(2, 6)))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], schema=schema)
+
+    return met.select("_text", "_anchor", "dense", "size", "head", "digest").mapInArrow(each, "_text long, _anchor long")
 
 
 def short_hits(docs: DataFrame, anchors: DataFrame, most: int = SHORT) -> DataFrame:
@@ -85,19 +209,6 @@ def short_hits(docs: DataFrame, anchors: DataFrame, most: int = SHORT) -> DataFr
     return functools.reduce(DataFrame.unionByName, map(search, range(groups)))
 
 
-def keyed(rows: DataFrame, name: str, keys) -> DataFrame:
-    """(name, key) with the keys of each row's ``dense``."""
-    schema = pa.schema([(name, pa.int64()), ("key", pa.int64())])
-
-    def each(batches):
-        for batch in batches:
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                some = keys(text)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), row, np.int64)), pa.array(some)], schema=schema)
-
-    return rows.select(name, "dense").mapInArrow(each, f"{name} long, key long")
-
-
 def row_key() -> Column:
     """A key of (doc_id, text), by which what is found out about a document meets its rows."""
     return F.xxhash64("doc_id", "text").alias("_row")
@@ -106,28 +217,29 @@ def row_key() -> Column:
 def anchor_hits(docs: DataFrame, anchors: DataFrame) -> Hits:
     """A document holds an anchor if its flattened text does, or does without spaces; the first implies the second.
 
-    Documents and long anchors meet on hashed keys, and each meeting is verified; short ones are searched by automata.
-    Empty anchors are in every document.
+    Documents and long anchors meet on hashed keys, and each meeting is verified by the anchor's length, beginning and digest, so
+    that only documents are shuffled as texts, once; short ones are searched by automata. Empty anchors are in every document.
     """
     dense = F.replace(X.flatten("text"), F.lit(" "), F.lit(""))
-    known = docs.select("doc_id", row_key(), dense.alias("dense"))
-    asked = anchors.select("item_id", F.xxhash64("item_id", "text").alias("_item"), dense.alias("dense"))
-    each, one = known.dropDuplicates(["_row"]), asked.dropDuplicates(["_item"])
-    has = keyed(each, "_row", document_keys)
-    wants = keyed(one.where(F.length("dense") >= WINDOW), "_item", lambda text: np.array([anchor_key(text)], np.int64))
-    met = has.join(wants, "key").select("_row", "_item").distinct()
-    texts = met.join(each.select("_row", F.col("dense").alias("_text")), "_row").join(one.select("_item", "dense"), "_item")
-    found = texts.where(F.contains("_text", "dense")).select("_row", "_item")
-    short = one.where(F.length("dense").between(1, WINDOW - 1))
-    if not short.isEmpty():
-        found = found.unionByName(short_hits(each, short))
-    everywhere = each.select("_row").crossJoin(one.where("dense = ''").select("_item"))
-    return Hits(known, asked, found.unionByName(everywhere))
+    known = docs.select("doc_id", row_key(), dense.alias("dense")).withColumn("_text", F.xxhash64("dense"))
+    asked = anchors.select("item_id", F.xxhash64("item_id", "text").alias("_item"), dense.alias("dense")).withColumn("_anchor", F.xxhash64("dense"))
+    each = known.select("_text", "dense").dropDuplicates(["_text"])
+    size = F.length("dense")
+    long, short, empty = asked.agg(F.count_if(size >= WINDOW), F.count_if(size.between(1, WINDOW - 1)), F.count_if(size == 0)).first()
+    wants = anchor_keys(asked.where(size >= WINDOW))
+    met = document_keys(each, wants, long).join(wants.drop("slot").dropDuplicates(["_anchor"]), "key").drop("key")
+    pairs = verified(met.join(each, "_text"))
+    if short:
+        few = asked.where(size.between(1, WINDOW - 1)).select(F.col("_anchor").alias("_item"), "dense").dropDuplicates(["_item"])
+        pairs = pairs.unionByName(short_hits(each.withColumnRenamed("_text", "_row"), few).toDF("_text", "_anchor"))
+    if empty:
+        pairs = pairs.unionByName(each.select("_text").crossJoin(F.broadcast(asked.where(size == 0).select("_anchor").distinct())))  # one row
+    return Hits(known.drop("dense"), asked.drop("dense"), pairs)
 
 
 def found_anchors(hits: Hits) -> DataFrame:
     """(doc_id, item_id) of the anchors that were found."""
-    return hits.docs.select("doc_id", "_row").join(hits.found, "_row").join(hits.anchors.select("item_id", "_item"), "_item").select("doc_id", "item_id")
+    return hits.docs.select("doc_id", "_text").join(hits.pairs, "_text").join(hits.anchors.select("item_id", "_anchor"), "_anchor").select("doc_id", "item_id")
 
 
 def recall_by_row(hits: Hits) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 from quire.operators import recall as R
 
 
@@ -55,3 +57,41 @@ def test_short_anchors_in_groups(spark):
     for most in (1, 2, 100):
         got = sorted(tuple(r) for r in R.short_hits(docs, anchors, most).collect())
         assert got == [(1, 10), (1, 11), (1, 12), (2, 14)]
+
+
+def shuffled(spark, after=-1):
+    """(bytes that stages after this one wrote to shuffles, last stage)."""
+    sc = spark.sparkContext
+    store = sc._jsc.sc().statusStore()
+    sc._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    stages = store.stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    of = [(stages.apply(k).stageId(), stages.apply(k).shuffleWriteBytes()) for k in range(stages.size())]
+    return sum(n for k, n in of if k > after), max((k for k, _ in of), default=-1)
+
+
+def test_anchors_with_a_common_beginning_do_not_meet_each_document(spark):
+    """Texts were shuffled for each meeting, and anchors with the same beginning met all documents that have it."""
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    common = word(100)
+    asked = [common + word(120) for _ in range(150)] + [word(60)]
+    texts = [word(800) + a + word(800) for a in asked]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *texts])], "doc_id long, text string")
+    anchors = spark.createDataFrame(list(enumerate(asked)), "item_id long, text string")
+    before = shuffled(spark)[1]
+    got = [tuple(r) for r in R.found_anchors(R.anchor_hits(docs, anchors)).collect()]
+    assert sorted(got) == sorted((i + n, i) for i in range(len(asked)) for n in (0, len(asked)))
+    assert 0 < shuffled(spark, before)[0] < 3 * sum(map(len, texts))
+
+
+def test_keys_of_windows(monkeypatch):
+    monkeypatch.setattr(R, "AT_ONCE", 500)
+    rng = random.Random(8)
+    texts = ["", "ab", "x" * 3000, *("".join(rng.choice("abé😀") for _ in range(rng.choice([20, 39, 40, 170, 490, 700, 2600]))) for _ in range(60))]
+    at, keys = R.text_keys(texts, lambda k: np.ones(len(k), bool))
+    of = [set(keys[at == k].tolist()) for k in range(len(texts))]
+    assert len(keys) == sum(map(len, of))
+    for text, known in zip(texts, of):
+        for n in (39, 40, 78, 79, 80, 158, 159, 160, 1000):
+            for i in {0, len(text) - n, rng.randrange(len(text) - n + 1)} if len(text) >= n else ():
+                assert int(R.anchor_key(text[i : i + n])) in known
