@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
+from quire.sources import tables as T
 
 #: Anchors shorter than a window are searched by automata, of at most so many anchors each: some 2 million nodes.
 WINDOW, SHORT = 40, 50_000
@@ -82,19 +83,22 @@ def anchor_key(text: str) -> np.uint64:
     return least_grams(codes_of(text[: CLASSES[k][2]]))[k][0]
 
 
-def anchor_keys(anchors: DataFrame) -> DataFrame:
-    """(_anchor, key, slot, size, head, digest) of anchors (_anchor, dense) of a window's length at least."""
-    schema = pa.schema([("_anchor", pa.int64()), ("key", pa.int64()), ("slot", pa.int64()), ("size", pa.int32()), ("head", pa.string()), ("digest", pa.binary())])
+def prepared(anchors: DataFrame) -> DataFrame:
+    """(item_id, _item, _anchor, size, head, key, slot, digest) of anchors (item_id, _item, _anchor, dense), as a table: texts are flattened
+    once. The last three are null for anchors shorter than a window, which ``head`` holds whole."""
+    names = ["item_id", "_item", "_anchor", "size", "head", "key", "slot", "digest"]
 
     def each(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            keys = np.array([anchor_key(t) for t in texts], np.uint64)
-            digests = [hashlib.md5(t.encode()).digest() for t in texts]
-            columns = [batch.column(0), keys.view(np.int64), slots(keys).view(np.int64), [len(t) for t in texts], [t[:WINDOW] for t in texts], digests]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+            texts = batch.column(3).to_pylist()
+            long = np.array([len(t) >= WINDOW for t in texts], bool)
+            keys = np.array([anchor_key(t) if x else 0 for t, x in zip(texts, long)], np.uint64)
+            numbers = [pa.array(c.view(np.int64), mask=~long) for c in (keys, slots(keys))]
+            digests = pa.array([hashlib.md5(t.encode()).digest() if x else None for t, x in zip(texts, long)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(t) for t in texts], pa.int32()), pa.array([t[:WINDOW] for t in texts], pa.string()), *numbers, digests], names=names)
 
-    return anchors.select("_anchor", "dense").mapInArrow(each, "_anchor long, key long, slot long, size int, head string, digest binary")
+    made = anchors.select("item_id", "_item", "_anchor", "dense").mapInArrow(each, f"item_id {anchors.schema['item_id'].dataType.simpleString()}, _item long, _anchor long, size int, head string, key long, slot long, digest binary")
+    return T.written(made, T.shared_folder(anchors.sparkSession, "anchors"))
 
 
 def key_filter(wants: DataFrame, n: int) -> tuple[np.ndarray, int]:
@@ -222,19 +226,19 @@ def anchor_hits(docs: DataFrame, anchors: DataFrame) -> Hits:
     """
     dense = F.replace(X.flatten("text"), F.lit(" "), F.lit(""))
     known = docs.select("doc_id", row_key(), dense.alias("dense")).withColumn("_text", F.xxhash64("dense"))
-    asked = anchors.select("item_id", F.xxhash64("item_id", "text").alias("_item"), dense.alias("dense")).withColumn("_anchor", F.xxhash64("dense"))
+    asked = prepared(anchors.select("item_id", F.xxhash64("item_id", "text").alias("_item"), dense.alias("dense")).withColumn("_anchor", F.xxhash64("dense")))
     each = known.select("_text", "dense").dropDuplicates(["_text"])
-    size = F.length("dense")
-    long, short, empty = asked.agg(F.count_if(size >= WINDOW), F.count_if(size.between(1, WINDOW - 1)), F.count_if(size == 0)).first()
-    wants = anchor_keys(asked.where(size >= WINDOW))
-    met = document_keys(each, wants, long).join(wants.drop("slot").dropDuplicates(["_anchor"]), "key").drop("key")
+    short, empty = F.col("size").between(1, WINDOW - 1), F.col("size") == 0
+    wants = asked.where(F.col("size") >= WINDOW).select("_anchor", "key", "slot", "size", "head", "digest")
+    n, some_short, some_empty = asked.agg(F.count_if(F.col("size") >= WINDOW), F.count_if(short), F.count_if(empty)).first()
+    met = document_keys(each, wants, n).join(wants.drop("slot").dropDuplicates(["_anchor"]), "key").drop("key")
     pairs = verified(met.join(each, "_text"))
-    if short:
-        few = asked.where(size.between(1, WINDOW - 1)).select(F.col("_anchor").alias("_item"), "dense").dropDuplicates(["_item"])
+    if some_short:
+        few = asked.where(short).select(F.col("_anchor").alias("_item"), F.col("head").alias("dense")).dropDuplicates(["_item"])
         pairs = pairs.unionByName(short_hits(each.withColumnRenamed("_text", "_row"), few).toDF("_text", "_anchor"))
-    if empty:
-        pairs = pairs.unionByName(each.select("_text").crossJoin(F.broadcast(asked.where(size == 0).select("_anchor").distinct())))  # one row
-    return Hits(known.drop("dense"), asked.drop("dense"), pairs)
+    if some_empty:
+        pairs = pairs.unionByName(each.select("_text").crossJoin(F.broadcast(asked.where(empty).select("_anchor").distinct())))  # one row
+    return Hits(known.drop("dense"), asked.select("item_id", "_item", "_anchor"), pairs)
 
 
 def found_anchors(hits: Hits) -> DataFrame:
